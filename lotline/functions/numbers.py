@@ -33,7 +33,7 @@ def percent_text(fraction: Column | str, scale: int = 2) -> Column:
 def to_number(c: Column | str) -> Column:
     """Text or number -> double; non-numeric text -> null (never raises)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.try_cast(F.trim(c.cast("string")), "double")
+    return F.trim(c.cast("string")).try_cast("double")
 
 
 def normalise_key(c: Column | str) -> Column:
@@ -41,6 +41,6 @@ def normalise_key(c: Column | str) -> Column:
     written as a float ('6248.0') becomes '6248'."""
     c = F.col(c) if isinstance(c, str) else c
     text = F.trim(c.cast("string"))
-    num = F.try_cast(text, "double")
+    num = text.try_cast("double")
     whole = num.isNotNull() & (num == F.floor(num))
     return F.when(whole, F.floor(num).cast("bigint").cast("string")).otherwise(text)

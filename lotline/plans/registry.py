@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotline.plans import oracle_units, units
+from lotline.plans import lotperf, oracle_lotperf, oracle_units, units
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +21,15 @@ def queries() -> dict[str, Query]:
         "bin_pareto": units.q_bin_pareto,
         "unit_exceptions": units.q_unit_exceptions,
         "run_summary": units.q_run_summary,
+        "lot_performance": lotperf.q_lot_performance,
+        "lab_report": lotperf.q_lab_report,
+        "product_targets": lotperf.q_product_targets,
+        "target_compare": lotperf.q_target_compare,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(oracle_units.SQL)
+    out.update(oracle_lotperf.SQL)
     return out

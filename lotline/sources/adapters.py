@@ -52,7 +52,8 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE WHEN event_type = 'signup' AND user_id % 10 = 0 THEN NULL ELSE 'W' || CAST(CAST(floor(event_id / 2) AS BIGINT) AS STRING) END AS visual_id",
         f"CASE WHEN {_SLOT} % 4 = 0 THEN '7820' ELSE '6248' END AS operation",
         f"'F' || CAST({_SLOT} % 3 AS STRING) AS facility",
-        "CASE event_id % 6 WHEN 0 THEN 'SPH' WHEN 1 THEN 'SPC' WHEN 2 THEN 'SCC' WHEN 3 THEN 'SCS' WHEN 4 THEN 'scs' END AS sub_flow_step",
+        "CASE event_id % 8 WHEN 0 THEN 'SPH' WHEN 1 THEN 'CLASSHOT' WHEN 2 THEN 'CLASSCOLD' WHEN 3 THEN 'SCS'"
+        " WHEN 4 THEN 'PHMHOT' WHEN 5 THEN 'scs' WHEN 6 THEN 'PHMCOLD' END AS sub_flow_step",
         "'Q' || CAST(user_id % 2 AS STRING) AS s_spec",
         f"'PG' || CAST({_SLOT} % 5 AS STRING) AS prodgroup3",
         "'PRG' || CAST(user_id % 2 AS STRING) AS program_name",
