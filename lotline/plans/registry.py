@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotline.plans import lotperf, oracle_lotperf, oracle_units, units
+from lotline.plans import lotperf, oracle_lotperf, oracle_testtime, oracle_units, testtime, units
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,13 @@ def queries() -> dict[str, Query]:
         "lab_report": lotperf.q_lab_report,
         "product_targets": lotperf.q_product_targets,
         "target_compare": lotperf.q_target_compare,
+        "parse_durations": testtime.q_parse_durations,
+        "common_bin": testtime.q_common_bin,
+        "avg_test_times": testtime.q_avg_test_times,
+        "lot_ttg": testtime.q_lot_ttg,
+        "lot_ttg_global": testtime.q_lot_ttg_global,
+        "program_delta": testtime.q_program_delta,
+        "top_delta": testtime.q_top_delta,
     }
 
 
@@ -32,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(oracle_units.SQL)
     out.update(oracle_lotperf.SQL)
+    out.update(oracle_testtime.SQL)
     return out

@@ -70,7 +70,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE WHEN l_linenumber <= 4 THEN '6248' ELSE '7820' END AS operation",
         "'8PXA' || l_returnflag || l_linestatus || 'B0' AS devrevstep",
         "CASE WHEN l_orderkey % 53 = 0 THEN NULL"
-        " WHEN l_partkey % 2 = 1 THEN 'TPX' || CAST(l_suppkey % 3 AS STRING) || 'A0B1CH' || CAST(l_suppkey % 2 AS STRING)"
+        " WHEN l_orderkey % 2 = 1 THEN 'TPX' || CAST(l_suppkey % 3 AS STRING) || 'A0B1CH' || CAST(l_suppkey % 2 AS STRING)"
         " ELSE 'TPX' || CAST(l_suppkey % 3 AS STRING) || 'A0B1CE' || CAST(l_suppkey % 2 AS STRING) END AS program_name",
         "CAST(l_partkey % 4 AS STRING) AS dlcp",
         "'T' || CAST(l_suppkey % 20 AS STRING) AS test_name",
