@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotline.plans import lotperf, oracle_lotperf, oracle_testtime, oracle_units, testtime, units
+from lotline.plans import diff, oracle_diff, lotperf, oracle_lotperf, oracle_testtime, oracle_units, testtime, units
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,11 @@ def queries() -> dict[str, Query]:
         "lot_ttg_global": testtime.q_lot_ttg_global,
         "program_delta": testtime.q_program_delta,
         "top_delta": testtime.q_top_delta,
+        "snapshot_added": diff.q_snapshot_added,
+        "snapshot_removed": diff.q_snapshot_removed,
+        "change_log": diff.q_change_log,
+        "diff_counts": diff.q_diff_counts,
+        "diff_counts_dropna": diff.q_diff_counts_dropna,
     }
 
 
@@ -40,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle_units.SQL)
     out.update(oracle_lotperf.SQL)
     out.update(oracle_testtime.SQL)
+    out.update(oracle_diff.SQL)
     return out

@@ -106,3 +106,53 @@ def test_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def test_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "test_durations")
+
+
+# Catalogue snapshots (old, new) from orders: the new one loses some rows,
+# changes a column on others, repeats some rows and gains renamed models.
+_SNAP_COLS = [
+    "'PRG' || CAST(o_custkey % 50 AS STRING) AS program_name",
+    "{model} AS model_name",
+    "o_orderstatus AS ccb",
+    "{package} AS package",
+    "'D' || CAST(o_custkey % 7 AS STRING) AS device",
+    "'R' || CAST(o_orderkey % 3 AS STRING) AS revision",
+    "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 'S' || CAST(o_orderkey % 4 AS STRING) END AS stepping",
+    "CASE WHEN o_custkey % 19 = 0 THEN NULL ELSE 'DIE' || CAST(o_custkey % 11 AS STRING) END AS die_code_name",
+    "'T' || CAST(o_orderkey % 9 AS STRING) AS test_name",
+]
+_MODEL = "'M' || CAST(o_orderkey AS STRING)"
+SNAPSHOT_SQL = {
+    "snap_old": [c.format(model=_MODEL, package="o_orderpriority") for c in _SNAP_COLS],
+    "snap_new": [c.format(model=_MODEL,
+                          package="CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority || '-X' ELSE o_orderpriority END")
+                 for c in _SNAP_COLS],
+    "snap_new_models": [c.format(model="'M' || CAST(o_orderkey AS STRING) || 'B'", package="o_orderpriority")
+                        for c in _SNAP_COLS],
+}
+SNAP_NEW_KEEP = "o_orderkey % 10 <> 0"
+SNAP_NEW_REPEAT = "o_orderkey % 17 = 0"
+SNAP_NEW_MODELS = "o_orderkey % 23 = 0"
+
+
+def snapshot_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "orders").selectExpr(*SNAPSHOT_SQL["snap_old"])
+
+
+def snapshot_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders")
+    kept = o.filter(SNAP_NEW_KEEP).selectExpr(*SNAPSHOT_SQL["snap_new"])
+    repeated = o.filter(SNAP_NEW_REPEAT).selectExpr(*SNAPSHOT_SQL["snap_new"])
+    models = o.filter(SNAP_NEW_MODELS).selectExpr(*SNAPSHOT_SQL["snap_new_models"])
+    return kept.unionByName(repeated).unionByName(models)
+
+
+def snapshot_sql() -> str:
+    """DuckDB CTEs ``snap_old`` and ``snap_new``."""
+    old = ", ".join(SNAPSHOT_SQL["snap_old"])
+    new = ", ".join(SNAPSHOT_SQL["snap_new"])
+    models = ", ".join(SNAPSHOT_SQL["snap_new_models"])
+    return (f"snap_old AS (SELECT {old} FROM orders), "
+            f"snap_new AS (SELECT {new} FROM orders WHERE {SNAP_NEW_KEEP} "
+            f"UNION ALL SELECT {new} FROM orders WHERE {SNAP_NEW_REPEAT} "
+            f"UNION ALL SELECT {models} FROM orders WHERE {SNAP_NEW_MODELS})")
