@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotline.plans import diff, oracle_diff, lotperf, oracle_lotperf, oracle_testtime, oracle_units, testtime, units
+from lotline.plans import diff, lotperf, nested, oracle_diff, oracle_nested, oracle_lotperf, oracle_testtime, oracle_units, testtime, units
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,10 @@ def queries() -> dict[str, Query]:
         "change_log": diff.q_change_log,
         "diff_counts": diff.q_diff_counts,
         "diff_counts_dropna": diff.q_diff_counts_dropna,
+        "flatten_limits": nested.q_flatten_limits,
+        "leak_class_limits": nested.q_leak_class_limits,
+        "flatten_modes": nested.q_flatten_modes,
+        "mode_counts": nested.q_mode_counts,
     }
 
 
@@ -46,4 +50,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle_lotperf.SQL)
     out.update(oracle_testtime.SQL)
     out.update(oracle_diff.SQL)
+    out.update(oracle_nested.SQL)
     return out
