@@ -62,7 +62,11 @@ def pick_limit_pair(klass: Column, vss_high: Column, vss_low: Column,
              .when(is_lo, F.struct(vcc_high.alias("high"), vcc_low.alias("low"), F.lit("VCC").alias("type"))))
 
 
-def config_kind(configuration: Column, marker: str = "GetLimitsFromRule") -> Column:
+# Fixed value: the rule-call marker inside a configuration value.
+RULE_MARKER = "_Rules.Temp("
+
+
+def config_kind(configuration: Column, marker: str = RULE_MARKER) -> Column:
     """Rule configuration when the text calls the rule function, else hardcoded."""
     return F.when(configuration.contains(marker), F.lit("rule")).otherwise(F.lit("hardcoded"))
 

@@ -10,7 +10,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotline.plans import diff, lotperf, nested, oracle_diff, oracle_nested, oracle_lotperf, oracle_testtime, oracle_units, testtime, units
+from lotline.plans import (
+    diff,
+    lotperf,
+    nested,
+    oracle_diff,
+    oracle_lotperf,
+    oracle_nested,
+    oracle_testtime,
+    oracle_textjobs,
+    oracle_units,
+    testtime,
+    textjobs,
+    units,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +54,21 @@ def queries() -> dict[str, Query]:
         "leak_class_limits": nested.q_leak_class_limits,
         "flatten_modes": nested.q_flatten_modes,
         "mode_counts": nested.q_mode_counts,
+        "program_lines": textjobs.q_program_lines,
+        "extract_instances": textjobs.q_extract_instances,
+        "extract_instances_lite": textjobs.q_extract_instances_lite,
+        "instance_counts": textjobs.q_instance_counts,
+        "instance_crosstab": textjobs.q_instance_crosstab,
+        "extract_limits": textjobs.q_extract_limits,
+        "limits_long": textjobs.q_limits_long,
+        "pin_groups": textjobs.q_pin_groups,
+        "pins_per_group": textjobs.q_pins_per_group,
+        "pin_group_match": textjobs.q_pin_group_match,
+        "group_match_counts": textjobs.q_group_match_counts,
+        "resources": textjobs.q_resources,
+        "page_ids": textjobs.q_page_ids,
+        "limits_join": textjobs.q_limits_join,
+        "match_rate": textjobs.q_match_rate,
     }
 
 
@@ -51,4 +79,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle_testtime.SQL)
     out.update(oracle_diff.SQL)
     out.update(oracle_nested.SQL)
+    out.update(oracle_textjobs.SQL)
     return out
