@@ -35,17 +35,15 @@ def require_columns(df: DataFrame, required: Iterable[str], optional: Iterable[s
 
 
 def resolve_aliases(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
-    """For each target name, the first column whose trimmed upper-case
-    name is in its alias list is renamed to the target. Other columns stay."""
-    norm = {c.strip().upper(): c for c in reversed(df.columns)}  # first wins
+    """For each target name, the first column (in frame order) whose
+    trimmed upper-case name is in the target's alias list is renamed to the
+    target. Other columns stay."""
     out = df
     for target, names in aliases.items():
-        for name in names:
-            src = norm.get(name.strip().upper())
-            if src is not None:
-                if src != target:
-                    out = out.withColumnRenamed(src, target)
-                break
+        wanted = {n.strip().upper() for n in names}
+        src = next((c for c in df.columns if c.strip().upper() in wanted), None)
+        if src is not None and src != target:
+            out = out.withColumnRenamed(src, target)
     return out
 
 
@@ -160,7 +158,7 @@ def first_non_null(candidates: Sequence[str], present: Sequence[str]) -> Column:
     cols = [F.col(c).cast("string") for c in candidates if c in present]
     if not cols:
         return F.lit(None).cast("string")
-    return F.trim(F.regexp_replace(F.coalesce(*cols), r"\r?\n", " "))
+    return F.regexp_replace(F.regexp_replace(F.coalesce(*cols), "\n", " "), r"^\s+|\s+\z", "")
 
 
 def prefix_from_source(file_col: Column, name_col: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotline.functions.numbers import round_half_up
-from lotline.operators.clean import prefix_from_source
+from lotline.operators.clean import first_non_null, prefix_from_source
 
 LIMIT_KEYS = ("test_type", "configuration")
 
@@ -90,18 +90,34 @@ def positional_zip(rows: DataFrame, ids: DataFrame, group: str, row_order: str,
     i = ids.select(group, F.col(id_col).alias("_id"), ipos.alias("_pos"))
     return (r.join(i, [group, "_pos"], "left")
              .withColumn(id_col, F.coalesce(F.col("_id"), F.lit("")))
-             .drop("_id").withColumnRenamed("_pos", "position"))
+             .drop("_id", "_pos"))
 
 
-def template_defaults(sheet: DataFrame, group: str, order_col: str, columns: Sequence[str]) -> DataFrame:
-    """Per sheet, the row with the most non-null cells among
-    ``columns`` (ties: the first by ``order_col``) is the template; every
-    null cell takes the template's value (P7-style coalesce)."""
+def template_row(template: DataFrame, group: str, order_col: str, columns: Sequence[str]) -> DataFrame:
+    """Per sheet, the template row with the most non-null cells among
+    ``columns`` (ties: the first by ``order_col``); one row per sheet."""
     score = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in columns])
-    best = (sheet.withColumn("_score", score)
-                 .groupBy(group)
-                 .agg(F.max_by(F.struct(*[F.col(c).alias(c) for c in columns]),
-                               F.struct(F.col("_score"), (-F.col(order_col)).alias("_o"))).alias("_t")))
-    filled = sheet.join(best, group, "left")
-    return filled.select(*[F.coalesce(F.col(c), F.col("_t")[c]).alias(c) if c in columns else F.col(c)
-                           for c in sheet.columns])
+    best = (template.withColumn("_score", score)
+                    .groupBy(group)
+                    .agg(F.max_by(F.struct(*[F.col(c).alias(c) for c in columns]),
+                                  F.struct(F.col("_score"), (-F.col(order_col)).alias("_o"))).alias("_t")))
+    return best.select(group, *[F.col("_t")[c].alias(c) for c in columns])
+
+
+def fill_template(rows: DataFrame, defaults: DataFrame, group: str,
+                  mapped: Mapping[str, Sequence[str]], columns: Sequence[str]) -> DataFrame:
+    """P7 + P8: every row becomes a template row. A mapped column takes the
+    first non-null of its candidate columns in the row (newlines to spaces,
+    trimmed; it stays null when none is present); every other template
+    column takes the sheet's default. Defaults join on the sheet key."""
+    d = defaults.select(group, *[F.col(c).alias(f"_d_{c}") for c in columns if c in defaults.columns])
+    j = rows.join(d, group, "left")
+    out = []
+    for c in columns:
+        if c in mapped:
+            out.append(first_non_null(mapped[c], rows.columns).alias(c))
+        elif c in defaults.columns:
+            out.append(F.col(f"_d_{c}").alias(c))
+        else:
+            out.append(F.lit(None).cast("string").alias(c))
+    return j.select(group, *[c for c in rows.columns if c not in columns and c != group], *out)

@@ -17,9 +17,11 @@ from lotline.plans import (
     oracle_diff,
     oracle_lotperf,
     oracle_nested,
+    oracle_requests,
     oracle_testtime,
     oracle_textjobs,
     oracle_units,
+    requests,
     testtime,
     textjobs,
     units,
@@ -69,6 +71,13 @@ def queries() -> dict[str, Query]:
         "page_ids": textjobs.q_page_ids,
         "limits_join": textjobs.q_limits_join,
         "match_rate": textjobs.q_match_rate,
+        "request_order": requests.q_request_order,
+        "request_spans": requests.q_request_spans,
+        "request_ids": requests.q_request_ids,
+        "request_fill": requests.q_request_fill,
+        "request_status": requests.q_request_status,
+        "lot_list": requests.q_lot_list,
+        "lot_batches": requests.q_lot_batches,
     }
 
 
@@ -80,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle_diff.SQL)
     out.update(oracle_nested.SQL)
     out.update(oracle_textjobs.SQL)
+    out.update(oracle_requests.SQL)
     return out

@@ -82,6 +82,20 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         f"'L' || lpad(CAST({_LOT} AS STRING), 5, '0') AS lot",
         "CASE WHEN l_quantity < 40 THEN '100' ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS functional_bin",
     ]),
+    # Request sheets: 50 requests per sheet, source lots interleaved, some
+    # blank or missing cells.
+    "requests": ("customer", [
+        "c_custkey AS ordinal",
+        "CAST(floor(c_custkey / 50) AS BIGINT) AS sheet",
+        "CASE WHEN c_custkey % 29 = 0 THEN NULL WHEN c_custkey % 31 = 0 THEN '  '"
+        " ELSE 'SL' || CAST(c_nationkey % 6 AS STRING) END AS source_lot",
+        "c_mktsegment AS part_type",
+        "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(c_custkey % 4 + 1 AS STRING) END AS quantity",
+        "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(6248 + c_nationkey % 3 AS STRING) END AS operation",
+        "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'E' || CAST(c_custkey % 13 AS STRING) END AS eng_id",
+        "'MIR' || CAST(c_custkey AS STRING) AS mir",
+        "CASE WHEN c_acctbal > 5000 THEN 'HRI' END AS hri",
+    ]),
 }
 
 
@@ -108,6 +122,10 @@ def test_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "test_durations")
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "requests")
+
+
 # Catalogue snapshots (old, new) from orders: the new one loses some rows,
 # changes a column on others, repeats some rows and gains renamed models.
 _SNAP_COLS = [

@@ -140,12 +140,22 @@ TEMPLATES: dict[str, tuple[str, int, str, list[str]]] = {
         " ELSE '' END",
         f"'// customer ' || {_C}",
     ]),
+    # Lot lists: one id per line with surrounding blanks, '#' lines, blank
+    # lines and repeated ids (orders of one customer share a lot).
+    "lot_list": ("orders", 200, f"'lots_' || lpad(CAST({_floor('o_orderkey', 200)} AS STRING), 5, '0') || '.txt'", [
+        "CASE WHEN o_orderkey % 9 = 0 THEN '# ' WHEN o_orderkey % 11 = 0 THEN '' ELSE '  ' END"
+        f" || CASE WHEN o_orderkey % 11 = 0 AND o_orderkey % 9 <> 0 THEN ''"
+        f" ELSE 'L' || lpad(CAST({_floor('o_custkey', 3)} AS STRING), 5, '0') || ' ' END",
+        "CASE WHEN o_orderkey % 4 = 0 THEN '#note ' || CAST(o_orderkey AS STRING) ELSE '' END",
+    ]),
 }
 
+_KEYS = {"part": "p_partkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey"}
+
 def template_lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """(file, line_no, line) straight from the template (no text round trip)."""
     table, per_file, file_expr, exprs = TEMPLATES[name]
-    key = {"part": "p_partkey", "customer": "c_custkey", "supplier": "s_suppkey"}[table]
+    key = _KEYS[table]
     df = read_table(spark, sf_dir, table).selectExpr(f"{file_expr} AS file", f"{key} % {per_file} AS _slot",
                                                      f"array({', '.join(exprs)}) AS _lines")
     width = len(exprs)
@@ -169,7 +179,7 @@ def template_sql(name: str) -> str:
     """DuckDB CTE ``<name>_lines(file, line_no, line)`` with line numbers
     renumbered from 0 per file, as the line reader numbers them."""
     table, per_file, file_expr, exprs = TEMPLATES[name]
-    key = {"part": "p_partkey", "customer": "c_custkey", "supplier": "s_suppkey"}[table]
+    key = _KEYS[table]
     width = len(exprs)
     parts = [f"SELECT {file_expr} AS file, ({key} % {per_file}) * {width} + {i} AS raw_no, {e} AS line FROM {table}"
              for i, e in enumerate(exprs)]
