@@ -5,12 +5,11 @@ Input is ``(file, line_no, line)`` (see ``lotline.sources.text``). Every
 window is partitioned by file and ordered by line number, so files are
 processed in parallel and no window spans the whole table.
 
-Test blocks (T2/T3) are found without a range join: one ordered pass per
-file gives each line the next block-ending line (``first`` over the
-following rows), so each wanted head knows where its field window stops;
-the head then lists the (at most 49) line numbers of its window, and an
-equi-join on (file, line_no) brings in the per-line field matches, which a
-hash aggregate reduces to the first match per field.
+Test blocks (T2/T3) need neither a range join nor a self join: one
+reverse-ordered pass per file gives every line the next block-ending line
+and the next line where each field matches (running ``last`` windows,
+O(n) per file), so each wanted head reads its window end and its first
+field matches off its own row.
 """
 
 from __future__ import annotations
@@ -53,44 +52,34 @@ def _first_match(value: Column) -> Column:
     return F.min(F.when(value.isNotNull(), F.struct(F.col("line_no").alias("n"), value.alias("v"))))["v"]
 
 
-def field_candidates(lines: DataFrame) -> DataFrame:
-    """Per line: the TestType, BypassPort and Configuration value the line
-    would give if it were searched (W6 inputs). A Configuration line
-    without both '=' and ';' is joined with the following lines up to the
-    first one holding ';' (at most 9)."""
-    line = F.col("line")
-    w = _by_file()
-    has_cfg = line.contains("Configuration")
-    single = has_cfg & line.contains("=") & line.contains(";")
-    multi = has_cfg & ~single
-    ahead = F.collect_list("line").over(w.rowsBetween(1, CONFIG_LOOKAHEAD))
-    semi = F.array_position(F.transform(ahead, lambda x: x.contains(";")), True)
-    taken = F.when(semi > 0, F.slice(ahead, 1, semi)).otherwise(ahead)
-    joined = F.concat_ws(" ", F.concat(F.array(line), taken))
-    cfg = (F.when(single, _extract(line, CONFIG_RE))
-            .when(multi, _extract(joined, CONFIG_RE)))
-    return lines.select(
-        "file", "line_no",
-        _extract(line, TEST_TYPE_RE).alias("c_test_type"),
-        _strip(_extract(line, BYPASS_RE)).alias("c_bypass"),
-        _strip(cfg).alias("c_config"),
-    )
+def _desc() -> Window:
+    return Window.partitionBy("file").orderBy(F.col("line_no").desc())
 
 
-def test_heads(lines: DataFrame, window: int, offset_one_ends: bool) -> DataFrame:
-    """Wanted heads with the last line number of their field window.
+def _scan_blocks(lines: DataFrame, window: int, offset_one_ends: bool,
+                 fields: dict[str, Column]) -> DataFrame:
+    """W5 + W6 in one ordered pass per file (no join).
 
-    A window ends at the first line whose stripped text starts with 'Test '
-    (any method, indented too, the end line itself still searched), at
-    ``window`` lines, or at the end of the file. With ``offset_one_ends``
-    false the line right after the head never ends the window."""
-    w = _by_file()
+    Lines are walked in reverse order, so running ``last(..., ignorenulls)``
+    windows give, for every line, the first block-ending line at or after it
+    and the first line after it where each field matches; both are O(n)
+    per file. A wanted head's window ends at the first line whose stripped
+    text starts with 'Test ' (from the second line after the head, or the
+    first with ``offset_one_ends``; that line is still searched), after
+    ``window`` lines, or at the end of the file. A field is taken when its
+    first match after the head lies inside the window.
+    Returns one row per wanted head."""
+    w = _desc()
+    upto_cur = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto_prev = w.rowsBetween(Window.unboundedPreceding, -1)
     is_end = F.col("line").rlike(END_RE)
-    next_end = F.first(F.when(is_end, F.col("line_no")), ignorenulls=True).over(
-        w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    df = lines.withColumn("_next_end", next_end)
+    df = lines.select("file", "line_no", "line", *[c.alias(f"_c_{n}") for n, c in fields.items()])
+    nxt = [F.last(F.when(F.col(f"_c_{n}").isNotNull(), F.struct(F.col("line_no").alias("n"), F.col(f"_c_{n}").alias("v"))),
+                  ignorenulls=True).over(upto_prev).alias(f"_n_{n}") for n in fields]
+    df = df.select("file", "line_no", "line",
+                   F.last(F.when(is_end, F.col("line_no")), ignorenulls=True).over(upto_cur).alias("_ne"), *nxt)
     start = 1 if offset_one_ends else 2
-    df = df.withColumn("_end", F.lead("_next_end", start).over(w))
+    df = df.withColumn("_end", F.lag("_ne", start).over(w))
     heads = df.filter(F.col("line").rlike(HEAD_RE))
     cap = F.col("line_no") + window
     last = F.least(F.coalesce(F.col("_end"), cap), cap)
@@ -98,28 +87,40 @@ def test_heads(lines: DataFrame, window: int, offset_one_ends: bool) -> DataFram
         "file", F.col("line_no").alias("head_line"),
         F.regexp_extract("line", HEAD_RE, 2).alias("test_instance_name"),
         F.regexp_extract("line", HEAD_RE, 1).alias("test_method"),
-        last.alias("_last"))
+        *[F.when(F.col(f"_n_{n}")["n"] <= last, F.col(f"_n_{n}")["v"]).alias(n) for n in fields])
 
 
-def _window_fields(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    members = heads.select("file", "head_line",
-                           F.explode(F.sequence(F.col("head_line") + 1, F.col("_last"))).alias("line_no"))
-    cand = field_candidates(lines)
-    hits = members.join(cand, ["file", "line_no"])
-    return hits.groupBy("file", "head_line").agg(
-        _first_match(F.col("c_test_type")).alias("test_type"),
-        _first_match(F.col("c_bypass")).alias("bypass_port"),
-        _first_match(F.col("c_config")).alias("raw_config"))
+def _config_candidate(lines: DataFrame) -> DataFrame:
+    """Adds ``_cfg``: the Configuration value a line would give. A line with
+    'Configuration' but without both '=' and ';' is joined (with spaces) with
+    the following lines up to the first one holding ';' (at most 9)."""
+    w = _desc()
+    line = F.col("line")
+    ahead = F.filter(F.array(*[F.lag("line", k).over(w) for k in range(1, CONFIG_LOOKAHEAD + 1)]),
+                     lambda x: x.isNotNull())
+    df = lines.withColumn("_ahead", ahead)
+    has_cfg = line.contains("Configuration")
+    single = has_cfg & line.contains("=") & line.contains(";")
+    semi = F.array_position(F.transform("_ahead", lambda x: x.contains(";")), True)
+    taken = F.when(semi > 0, F.slice("_ahead", 1, semi)).otherwise(F.col("_ahead"))
+    joined = F.concat_ws(" ", F.concat(F.array(line), taken))
+    cfg = F.when(single, _extract(line, CONFIG_RE)).when(has_cfg, _extract(joined, CONFIG_RE))
+    return df.withColumn("_cfg", _strip(cfg)).drop("_ahead")
 
 
 def extract_instances(lines: DataFrame, rule_marker: str = RULE_MARKER) -> DataFrame:
     """T2 (+ P15): leakage test instances with name, method, test type,
     bypass port, configuration and the four rule parameters (hot, cold,
     phm-hot, all; hot is the primary configuration of a rule call).
-    Missing values are 'UNKNOWN'."""
-    heads = test_heads(lines, FULL_WINDOW, offset_one_ends=False)
-    fields = _window_fields(lines, heads)
-    df = heads.join(fields, ["file", "head_line"], "left")
+    Missing values are 'UNKNOWN'. One sort per file, no shuffle beyond the
+    partitioning by file."""
+    df = _config_candidate(lines)
+    fields = {
+        "test_type": _extract(F.col("line"), TEST_TYPE_RE),
+        "bypass_port": _strip(_extract(F.col("line"), BYPASS_RE)),
+        "raw_config": F.col("_cfg"),
+    }
+    df = _scan_blocks(df, FULL_WINDOW, False, fields)
     raw = F.coalesce(F.col("raw_config"), F.lit(UNKNOWN))
     is_rule = raw.contains(rule_marker)
     params = F.when(is_rule, F.regexp_extract_all(raw, F.lit(PARAM_RE), 1)).otherwise(F.array().cast("array<string>"))
@@ -145,15 +146,9 @@ def extract_instances(lines: DataFrame, rule_marker: str = RULE_MARKER) -> DataF
 def extract_instances_lite(lines: DataFrame) -> DataFrame:
     """Name, method and bypass port; 29-line window that stops at the
     next 'Test ' line (the line right after the head included)."""
-    heads = test_heads(lines, LITE_WINDOW, offset_one_ends=True)
-    members = heads.select("file", "head_line",
-                           F.explode(F.sequence(F.col("head_line") + 1, F.col("_last"))).alias("line_no"))
-    cand = lines.select("file", "line_no", _strip(_extract(F.col("line"), BYPASS_RE)).alias("c_bypass"))
-    first = (members.join(cand, ["file", "line_no"]).groupBy("file", "head_line")
-                    .agg(_first_match(F.col("c_bypass")).alias("bypass_port")))
-    return (heads.join(first, ["file", "head_line"], "left")
-                 .select("file", "head_line", F.col("test_instance_name").alias("instance_name"), "test_method",
-                         F.coalesce(F.col("bypass_port"), F.lit(UNKNOWN)).alias("bypass_port")))
+    df = _scan_blocks(lines, LITE_WINDOW, True, {"bypass_port": _strip(_extract(F.col("line"), BYPASS_RE))})
+    return df.select("file", "head_line", F.col("test_instance_name").alias("instance_name"), "test_method",
+                     F.coalesce(F.col("bypass_port"), F.lit(UNKNOWN)).alias("bypass_port"))
 
 
 def instance_counts(instances: DataFrame, method_col: str = "test_method",
