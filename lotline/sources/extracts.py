@@ -45,3 +45,16 @@ def unit_results_extract(raw: DataFrame, lots: DataFrame | None = None, distinct
     )
     df = derive_device_parts(df)
     return df.dropDuplicates() if distinct else df
+
+
+def union_batches(batches: list[DataFrame]) -> DataFrame:
+    """The per-batch extracts as one table; columns are matched by name
+    and a column missing from a batch is null there. (Reading all batch
+    files with one multi-path read is the cheaper form when they share a
+    schema.)"""
+    if not batches:
+        raise ValueError("no batches")
+    out = batches[0]
+    for b in batches[1:]:
+        out = out.unionByName(b, allowMissingColumns=True)
+    return out
