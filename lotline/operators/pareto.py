@@ -138,20 +138,21 @@ def run_summary(pareto: DataFrame, units: DataFrame, filters: Mapping[str, objec
                 top_n: int = 3, step_col: str = "process_step") -> DataFrame:
     """A16 + O3: per process step of the main functional table: lot count,
     the top bins by row total (ties: smaller bin first), exception count and
-    the grand total (counted once, not doubled). All parts are keyed by the
-    process step and joined on it."""
+    the grand total (counted once, not doubled).
+
+    The top bins and the grand total come from one pass over the Pareto
+    rows of each step (a step's table is bounded by its bins); the lot and
+    exception counts are one aggregate over the normalized units."""
     main = pareto.filter((F.col("slice") == "main") & (F.col("bin_kind") == "functional"))
-    w = Window.partitionBy(step_col).orderBy(F.col("quantity").desc(), F.col("bin"))
-    top = (main.filter(F.col("row_kind") == "bin_total")
-               .withColumn("_rn", F.row_number().over(w))
-               .filter(F.col("_rn") <= top_n)
-               .groupBy(step_col)
-               .agg(F.array_sort(F.collect_list(F.struct("_rn", "bin"))).alias("_t"))
-               .select(step_col, F.concat_ws(",", F.transform("_t", lambda x: x["bin"])).alias("top_bins")))
-    grand = (main.filter(F.col("row_kind") == "grand_total")
-                 .select(step_col, F.col("quantity").alias("grand_total")))
+    is_row = F.col("row_kind") == "bin_total"
+    w = Window.partitionBy(step_col).orderBy((~is_row).cast("int"), F.col("quantity").desc(), F.col("bin"))
+    ranked = main.withColumn("_rn", F.row_number().over(w))
+    top = F.array_sort(F.collect_list(F.when(is_row & (F.col("_rn") <= top_n), F.struct("_rn", "bin"))))
+    per_table = ranked.groupBy(step_col).agg(
+        F.max(F.when(F.col("row_kind") == "grand_total", F.col("quantity"))).alias("grand_total"),
+        F.concat_ws(",", F.transform(top, lambda x: x["bin"])).alias("top_bins"))
     norm = normalized_units(units, filters)
     missing = F.col("lot").isNull() | F.col("visual_id").isNull()
     per_step = norm.groupBy(step_col).agg(F.countDistinct("lot").alias("lot_count"),
                                           F.count_if(missing).alias("exception_count"))
-    return grand.join(top, step_col, "left").join(per_step, step_col, "left")
+    return per_table.join(per_step, step_col, "left")

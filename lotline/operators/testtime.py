@@ -103,18 +103,43 @@ def lot_ttg(filtered: DataFrame, scope: str = "group") -> DataFrame:
                     "functional_bin")
 
 
+def duration_cells(parsed: DataFrame) -> DataFrame:
+    """Pre-aggregation for the family comparison: one row per (bin, DLCP,
+    test, program, unit) with sums and the row count. Shuffles far fewer
+    rows than the raw durations and keeps every later step exact (a mean is
+    sum / count)."""
+    return parsed.groupBy("functional_bin", "dlcp", "test_name", "program_name", "visual_id").agg(
+        F.sum("pre_time").alias("pre_sum"), F.sum("main_time").alias("main_sum"),
+        F.sum("total_time").alias("total_sum"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def common_bin_cells(cells: DataFrame) -> DataFrame:
+    """A2 on pre-aggregated cells: the cells of the bin with most rows."""
+    top = (cells.filter(F.col("functional_bin").isNotNull()).groupBy("functional_bin")
+                .agg(F.sum("n_rows").alias("rows")).orderBy(F.col("rows").desc(), "functional_bin")
+                .limit(1).select("functional_bin"))
+    return cells.join(F.broadcast(top), "functional_bin", "left_semi")
+
+
 def program_delta(filtered: DataFrame, min_units: int = MIN_UNITS) -> DataFrame:
+    """A4 on duration rows (already restricted to one bin)."""
+    return program_delta_cells(duration_cells(filtered), min_units)
+
+
+def program_delta_cells(cells: DataFrame, min_units: int = MIN_UNITS) -> DataFrame:
     """A4: per (DLCP, test), EDGE minus CCG mean total time.
 
     Needs >= ``min_units`` distinct units in the group, both families, and
     >= ``min_units`` units (summed per program) in each family. A family's
     mean is the unweighted mean of its programs' means.
     """
-    base = filtered.filter(F.col("dlcp").isNotNull() & F.col("test_name").isNotNull())
+    base = cells.filter(F.col("dlcp").isNotNull() & F.col("test_name").isNotNull())
     per_prog = (base.filter(F.col("program_name").isNotNull())
                     .groupBy("dlcp", "test_name", "program_name")
-                    .agg(F.avg("pre_time").alias("pre"), F.avg("main_time").alias("main"),
-                         F.avg("total_time").alias("total"), F.countDistinct("visual_id").alias("n"))
+                    .agg((F.sum("pre_sum") / F.sum("n_rows")).alias("pre"),
+                         (F.sum("main_sum") / F.sum("n_rows")).alias("main"),
+                         (F.sum("total_sum") / F.sum("n_rows")).alias("total"),
+                         F.count("visual_id").alias("n"))
                     .withColumn("family", program_family(F.col("program_name"))))
     ccg, edge = F.col("family") == "CCG", F.col("family") == "EDGE"
 

@@ -61,3 +61,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and stream state (never machine-local on a cluster)."""
     return ensure_checkpoint_dir(spark)
+
+
+def materialize(df):
+    """Compute an intermediate once and cut its lineage: a reliable
+    ``checkpoint`` into the shared ``spark.checkpoint.dir`` (survives the
+    loss of the executors that computed it). Used where several branches of
+    one query read the same expensive input, which Spark would otherwise
+    recompute per branch (inferred filters make the branches' plans differ,
+    so exchange reuse does not apply)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
