@@ -31,6 +31,11 @@ FULL_WINDOW = 49
 LITE_WINDOW = 29
 CONFIG_LOOKAHEAD = 9
 UNKNOWN = "UNKNOWN"
+# A file is processed in chunks of this many lines, so one huge file is many
+# tasks; each chunk also sees the first HALO lines of the next chunk, enough
+# for every window that starts inside it (49 lines + 9 lines of lookahead).
+CHUNK_LINES = 50_000
+HALO = FULL_WINDOW + CONFIG_LOOKAHEAD + 2
 
 
 def _strip(c: Column) -> Column:
@@ -47,13 +52,44 @@ def _by_file() -> Window:
     return Window.partitionBy("file").orderBy("line_no")
 
 
+def _with_chunks(lines: DataFrame, chunk_lines: int, halo: int) -> DataFrame:
+    """Adds ``_chunk`` and ``_home``: every line is in its own chunk
+    (``_home`` true) and, as a read-only copy, in every earlier chunk whose
+    end it follows by less than ``halo`` lines (one earlier chunk when
+    chunks are longer than the halo)."""
+    l = F.col("line_no")
+    home = F.floor(l / F.lit(chunk_lines)).cast("long")
+    first = F.greatest(F.floor((l - F.lit(halo)) / F.lit(chunk_lines)).cast("long"), F.lit(0).cast("long"))
+    return (lines.withColumn("_chunk", F.explode(F.sequence(F.least(first, home), home)))
+                 .withColumn("_home", F.col("_chunk") == home))
+
+
+def _carry_forward(lines: DataFrame, value: Column, name: str, chunk_lines: int) -> DataFrame:
+    """W3/W4 in chunks: ``name`` = the last non-null ``value`` at or before
+    each line of its file. Within a chunk a running ``last``; across chunks
+    the last value of the earlier chunks (a window over the per-chunk
+    summaries, one row per chunk), joined back on (file, chunk)."""
+    c = F.floor(F.col("line_no") / F.lit(chunk_lines)).cast("long")
+    df = lines.withColumn("_chunk", c).withColumn("_v", value)
+    w = Window.partitionBy("file", "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding,
+                                                                             Window.currentRow)
+    df = df.withColumn("_local", F.last("_v", ignorenulls=True).over(w))
+    last_in_chunk = F.max(F.when(F.col("_v").isNotNull(), F.struct(F.col("line_no").alias("n"), F.col("_v").alias("v"))))
+    summary = df.groupBy("file", "_chunk").agg(last_in_chunk["v"].alias("_lv"))
+    before = Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select("file", "_chunk", F.last("_lv", ignorenulls=True).over(before).alias("_in"))
+    return (df.join(carried, ["file", "_chunk"], "left")
+              .withColumn(name, F.coalesce(F.col("_local"), F.col("_in")))
+              .drop("_chunk", "_v", "_local", "_in"))
+
+
 def _first_match(value: Column) -> Column:
     """Value at the smallest line number among rows where it is not null."""
     return F.min(F.when(value.isNotNull(), F.struct(F.col("line_no").alias("n"), value.alias("v"))))["v"]
 
 
 def _desc() -> Window:
-    return Window.partitionBy("file").orderBy(F.col("line_no").desc())
+    return Window.partitionBy("file", "_chunk").orderBy(F.col("line_no").desc())
 
 
 def _scan_blocks(lines: DataFrame, window: int, offset_one_ends: bool,
@@ -73,14 +109,14 @@ def _scan_blocks(lines: DataFrame, window: int, offset_one_ends: bool,
     upto_cur = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto_prev = w.rowsBetween(Window.unboundedPreceding, -1)
     is_end = F.col("line").rlike(END_RE)
-    df = lines.select("file", "line_no", "line", *[c.alias(f"_c_{n}") for n, c in fields.items()])
+    df = lines.select("file", "_chunk", "_home", "line_no", "line", *[c.alias(f"_c_{n}") for n, c in fields.items()])
     nxt = [F.last(F.when(F.col(f"_c_{n}").isNotNull(), F.struct(F.col("line_no").alias("n"), F.col(f"_c_{n}").alias("v"))),
                   ignorenulls=True).over(upto_prev).alias(f"_n_{n}") for n in fields]
-    df = df.select("file", "line_no", "line",
+    df = df.select("file", "_chunk", "_home", "line_no", "line",
                    F.last(F.when(is_end, F.col("line_no")), ignorenulls=True).over(upto_cur).alias("_ne"), *nxt)
     start = 1 if offset_one_ends else 2
     df = df.withColumn("_end", F.lag("_ne", start).over(w))
-    heads = df.filter(F.col("line").rlike(HEAD_RE))
+    heads = df.filter(F.col("_home") & F.col("line").rlike(HEAD_RE))
     cap = F.col("line_no") + window
     last = F.least(F.coalesce(F.col("_end"), cap), cap)
     return heads.select(
@@ -108,13 +144,14 @@ def _config_candidate(lines: DataFrame) -> DataFrame:
     return df.withColumn("_cfg", _strip(cfg)).drop("_ahead")
 
 
-def extract_instances(lines: DataFrame, rule_marker: str = RULE_MARKER) -> DataFrame:
+def extract_instances(lines: DataFrame, rule_marker: str = RULE_MARKER,
+                      chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """T2 (+ P15): leakage test instances with name, method, test type,
     bypass port, configuration and the four rule parameters (hot, cold,
     phm-hot, all; hot is the primary configuration of a rule call).
     Missing values are 'UNKNOWN'. One sort per file, no shuffle beyond the
     partitioning by file."""
-    df = _config_candidate(lines)
+    df = _config_candidate(_with_chunks(lines, chunk_lines, HALO))
     fields = {
         "test_type": _extract(F.col("line"), TEST_TYPE_RE),
         "bypass_port": _strip(_extract(F.col("line"), BYPASS_RE)),
@@ -143,10 +180,11 @@ def extract_instances(lines: DataFrame, rule_marker: str = RULE_MARKER) -> DataF
     )
 
 
-def extract_instances_lite(lines: DataFrame) -> DataFrame:
+def extract_instances_lite(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """Name, method and bypass port; 29-line window that stops at the
     next 'Test ' line (the line right after the head included)."""
-    df = _scan_blocks(lines, LITE_WINDOW, True, {"bypass_port": _strip(_extract(F.col("line"), BYPASS_RE))})
+    df = _scan_blocks(_with_chunks(lines, chunk_lines, HALO), LITE_WINDOW, True,
+                      {"bypass_port": _strip(_extract(F.col("line"), BYPASS_RE))})
     return df.select("file", "head_line", F.col("test_instance_name").alias("instance_name"), "test_method",
                      F.coalesce(F.col("bypass_port"), F.lit(UNKNOWN)).alias("bypass_port"))
 
@@ -196,16 +234,28 @@ COMMENT_PREFIX = "注释:"
 CONDITIONS = ("PHMCOLD", "PHMHOT", "CLASSCOLD", "CLASSHOT", "ALL")
 
 
-def limit_blocks(lines: DataFrame) -> DataFrame:
+def limit_blocks(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """W5 for limit blocks: a block runs from a head to the line before the
     next boundary line (a head, commented or not, indented or not).
     Returns (file, block_line, test_name, commented, body) for blocks that
     open with a head; the body is the rest of the head line and the block's
-    lines joined with newlines (one block is one bounded group)."""
-    w = _by_file()
+    lines joined with newlines (a block is the unit the patterns search, so
+    it is one group; blocks are small, files need not be).
+
+    Block numbers are a running count of boundary lines, computed per chunk
+    of the file plus the count of the earlier chunks (a prefix sum over
+    one row per chunk), so a long file is many tasks."""
     boundary = F.col("line").rlike(LIMIT_BOUNDARY_RE)
-    df = lines.withColumn("_block", F.sum(F.when(boundary, 1).otherwise(0)).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    c = F.floor(F.col("line_no") / F.lit(chunk_lines)).cast("long")
+    df = lines.withColumn("_chunk", c).withColumn("_b", F.when(boundary, 1).otherwise(0))
+    w = Window.partitionBy("file", "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding,
+                                                                             Window.currentRow)
+    df = df.withColumn("_local", F.sum("_b").over(w))
+    counts = df.groupBy("file", "_chunk").agg(F.sum("_b").alias("_cnt"))
+    before = Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", "_chunk", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    df = (df.join(offsets, ["file", "_chunk"], "left")
+            .withColumn("_block", F.col("_local") + F.col("_off")))
     head = F.col("line").rlike(LIMIT_HEAD_RE)
     piece = F.when(head & boundary, F.regexp_extract("line", LIMIT_HEAD_RE, 3)).otherwise(F.col("line"))
     g = df.groupBy("file", "_block").agg(
@@ -220,7 +270,7 @@ def limit_blocks(lines: DataFrame) -> DataFrame:
         F.array_join(F.transform("_parts", lambda x: x["p"]), "\n").alias("body"))
 
 
-def extract_limits(lines: DataFrame) -> DataFrame:
+def extract_limits(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """T4 (+ P12, W10): one row per (category, test name) with the five
     high and five low limits. Commented heads and names ending '_FF' are
     skipped. The first pattern pair where the high or the low side matches
@@ -230,7 +280,7 @@ def extract_limits(lines: DataFrame) -> DataFrame:
     The winning pair's index is found first; its two patterns are then
     picked as column values, so each limit is a single ``regexp_extract``
     rather than a chain over all pairs."""
-    b = limit_blocks(lines).filter(~F.col("commented") & ~F.col("test_name").endswith("_FF"))
+    b = limit_blocks(lines, chunk_lines).filter(~F.col("commented") & ~F.col("test_name").endswith("_FF"))
     body = F.col("body")
     hits = [F.when(body.rlike(hi) | body.rlike(lo), F.lit(k + 1)) for k, (hi, lo, _) in enumerate(LIMIT_PATTERNS)]
     b = b.withColumn("_pair", F.coalesce(*hits))
@@ -270,7 +320,7 @@ GROUP_RE = r"^Group\s+(.+)$"
 PIN_RE = r"^\s*(#?[A-Z][A-Z0-9_]*(?:__[A-Z]+)?)[;,]?\s*$"
 
 
-def extract_pin_groups(lines: DataFrame) -> DataFrame:
+def extract_pin_groups(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """T5 (+ W4): (group, pin) rows. A group opens at 'Group <name>' and
     closes at a line holding '}' while open; pins are upper-case ids
     (optionally '#'-prefixed, optional __SUFFIX, optional ';' or ',') on
@@ -279,9 +329,7 @@ def extract_pin_groups(lines: DataFrame) -> DataFrame:
     is_group = s.rlike(GROUP_RE)
     event = (F.when(is_group, F.struct(F.lit(True).alias("open"), F.regexp_extract(s, GROUP_RE, 1).alias("g")))
               .when(s.contains("}"), F.struct(F.lit(False).alias("open"), F.lit(None).cast("string").alias("g"))))
-    w = _by_file().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = (lines.withColumn("_s", s).withColumn("_ev", event)
-               .withColumn("_state", F.last("_ev", ignorenulls=True).over(w)))
+    df = _carry_forward(lines.withColumn("_s", s).withColumn("_ev", event), F.col("_ev"), "_state", chunk_lines)
     pins = df.filter(F.col("_ev").isNull() & (F.col("_s") != "") & F.col("_state")["open"]
                      & F.col("_s").rlike(PIN_RE))
     return pins.select("file", "line_no", F.col("_state")["g"].alias("pin_group"),
@@ -315,12 +363,11 @@ def distinctive_value(raw: Column) -> Column:
     return F.when(ok, F.bround(num * 1000, 0).cast("bigint").cast("string")).otherwise(F.lit(""))
 
 
-def extract_resources(lines: DataFrame) -> DataFrame:
+def extract_resources(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """T6 (+ W3): (resource, pin, raw value, distinctive value); the current
     resource name is carried down the file ('' before the first one)."""
     res = F.when(F.col("line").rlike(RESOURCE_RE), F.regexp_extract("line", RESOURCE_RE, 1))
-    w = _by_file().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = lines.withColumn("_res", F.last(res, ignorenulls=True).over(w))
+    df = _carry_forward(lines, res, "_res", chunk_lines)
     pins = df.filter(F.col("line").rlike(RESOURCE_PIN_RE))
     raw = F.regexp_extract("line", RESOURCE_PIN_RE, 2)
     return pins.select("file", "line_no", F.coalesce(F.col("_res"), F.lit("")).alias("resource"),

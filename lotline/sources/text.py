@@ -23,7 +23,28 @@ def lines_from_text(df: DataFrame, file_col: str = "file", text_col: str = "text
 
 
 def read_program_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text files under ``path`` -> (file, line_no, line)."""
+    """Text files under ``path`` -> (file, line_no, line), for files of
+    any size. Files are read in splits (a large file is many tasks); each
+    line's number is its index inside its split plus the number of lines in
+    the file's earlier splits (a prefix sum over the per-split counts, one
+    small aggregate). Line breaks are \\n, \\r\\n or \\r, and a final
+    line break adds no empty line (as ``str.splitlines``)."""
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_blk"),
+        F.monotonically_increasing_id().alias("_mid"),
+        F.col("value").alias("line"))
+    splits = raw.groupBy("file", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_blk")
+                              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select("file", "_blk", "_m0", F.coalesce(before, F.lit(0)).alias("_off"))
+    return (raw.join(offsets, ["file", "_blk"])
+               .select("file", (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long").alias("line_no"), "line"))
+
+
+def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """S4 for small files: one task per file (``wholetext``) and split in
+    memory; line numbers need no prefix sum."""
     whole = (spark.read.text(path, wholetext=True)
                   .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
     return lines_from_text(whole)

@@ -156,3 +156,28 @@ def test_ids_first_seen_distinct_capped(spark):
     df = spark.createDataFrame([(1, "VPO  A1 x VPO B2 VPO A1 VPO C3 VPO D4")], "k int, t string")
     got = rows(textjobs.extract_ids(df, "k", "t", "VPO", 3), "seq", "id")
     assert got == [(1, "A1"), (2, "B2"), (3, "C3")]
+
+
+def test_small_chunks_give_same_results(spark):
+    """Chunk boundaries (with their halo) must not change any result."""
+    big = PROGRAM * 3
+    ls = lines(spark, big)
+    for fn in (textjobs.extract_instances, textjobs.extract_instances_lite):
+        assert rows(fn(ls, chunk_lines=4)) == rows(fn(ls))
+    limits = lines(spark, LIMITS * 2, "l.mtpl")
+    assert rows(textjobs.extract_limits(limits, chunk_lines=3)) == rows(textjobs.extract_limits(limits))
+    pins = lines(spark, PINS * 2, "pins.txt")
+    assert rows(textjobs.extract_pin_groups(pins, chunk_lines=2)) == rows(textjobs.extract_pin_groups(pins))
+    soc = lines(spark, SOC * 2, "soc.txt")
+    assert rows(textjobs.extract_resources(soc, chunk_lines=3)) == rows(textjobs.extract_resources(soc))
+
+
+def test_split_line_numbers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lotline.sources.text import read_program_lines, read_whole_files
+    p = tmp_path / "prog.mtpl"
+    p.write_text(PROGRAM * 200)
+    a = read_program_lines(spark, str(tmp_path))
+    b = read_whole_files(spark, str(tmp_path)).select("file", F.col("line_no").cast("long"), "line")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
