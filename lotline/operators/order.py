@@ -23,7 +23,7 @@ def group_by_first_seen(df: DataFrame, sheet: str, key: str, order_col: str) ->
     out = df.withColumn("first_seen", F.when(k.isNotNull(), first))
     pos = F.row_number().over(Window.partitionBy(sheet).orderBy(F.col("first_seen").asc_nulls_last(),
                                                                 F.col(order_col)))
-    return out.withColumn("position", pos)
+    return out.withColumn("position", pos.cast("long"))
 
 
 def run_spans(df: DataFrame, sheet: str, order_col: str, columns: Sequence[str]) -> DataFrame:

@@ -385,8 +385,8 @@ def extract_ids(df: DataFrame, key: str, text_col: str, label_re: str, max_ids:
     first-seen order, at most ``max_ids`` per text (the expected count)."""
     pattern = f"{label_re}\\s*({ID_CHARS})"
     found = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 1)).alias("pos", "id"))
-    first = found.groupBy(key, "id").agg(F.min("pos").alias("first_pos"))
+    first = found.groupBy(key, "id").agg(F.min("pos").cast("long").alias("first_pos"))
+    seq = F.row_number().over(Window.partitionBy(key).orderBy("first_pos")).cast("long")
     if max_ids is None:
-        return first.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy("first_pos")))
-    seq = F.row_number().over(Window.partitionBy(key).orderBy("first_pos"))
+        return first.withColumn("seq", seq)
     return first.withColumn("seq", seq).filter(F.col("seq") <= max_ids)

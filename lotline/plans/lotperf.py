@@ -24,7 +24,7 @@ def product_targets_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg("test_time").alias("tt"),
         F.avg(F.when(F.col("within_lao_sfs_latest_flag") == "N", 1).otherwise(0)).alias("rc"))
     w = Window.orderBy("operation", F.col("sub_flow_step").asc_nulls_last(), "devrevstep")
-    g = g.withColumn("ordinal", F.row_number().over(w))
+    g = g.withColumn("ordinal", F.row_number().over(w).cast("long"))
     prev_op = F.lag("operation").over(Window.orderBy("ordinal"))
     prev_sf = F.lag("sub_flow_step").over(Window.orderBy("ordinal"))
     op_text = F.when(F.col("devrevstep").contains("AF"), F.concat(F.col("operation"), F.lit(".0"))) \

@@ -16,10 +16,12 @@ def spread(df: DataFrame) -> DataFrame:
     work after the scan uses every core. A large table on a cluster has far
     more splits than slots, so this is a no-op there; column pruning and
     filter pushdown still reach the scan below the exchange."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a Spark Connect session): leave as read
+        return df
+    return df.repartition(slots) if splits < slots else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
