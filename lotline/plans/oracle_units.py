@@ -116,7 +116,13 @@ FROM grand g LEFT JOIN top t ON g.process_step = t.process_step
 LEFT JOIN per_step p ON g.process_step = p.process_step
 """
 
+INGEST_EXTRACTS = f"""
+WITH {UNITS_CTE}
+SELECT lot, visual_id, process_step, devrevstep, functional_bin, interface_bin, subflow_latest_flag FROM units
+"""
+
 SQL = {
+    "ingest_extracts": INGEST_EXTRACTS,
     "unit_results_extract": UNIT_RESULTS_EXTRACT,
     "bin_pareto": BIN_PARETO,
     "unit_exceptions": UNIT_EXCEPTIONS,

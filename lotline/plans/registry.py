@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lotline.plans import (
     diff,
+    ingest,
     lotperf,
     nested,
     oracle_diff,
@@ -78,6 +79,7 @@ def queries() -> dict[str, Query]:
         "request_status": requests.q_request_status,
         "lot_list": requests.q_lot_list,
         "lot_batches": requests.q_lot_batches,
+        "ingest_extracts": ingest.q_ingest_extracts,
     }
 
 

@@ -35,11 +35,12 @@ def extract_stream(spark: SparkSession, src_dir: str, schema: T.StructType, fmt:
 
 def ingest_extracts(spark: SparkSession, src_dir: str, schema: T.StructType, out_path: str,
                     name: str = "extracts", fmt: str = "csv", checkpoint: str | None = None,
-                    transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+                    transform: Callable[[DataFrame], DataFrame] | None = None,
+                    max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Append every new extract file to the parquet table ``out_path``
     (optionally transformed row by row first) and stop when caught up.
     The checkpoint lives under the session's ``spark.checkpoint.dir``."""
-    stream = extract_stream(spark, src_dir, schema, fmt)
+    stream = extract_stream(spark, src_dir, schema, fmt, max_files_per_trigger)
     if transform is not None:
         stream = transform(stream)
     ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/{name}"
