@@ -33,13 +33,18 @@ def _num(c: Column) -> Column:
 def parse_durations(df: DataFrame, col: str = "test_result") -> DataFrame:
     """PRE and MAIN milliseconds from the packed text, searched anywhere
     in the value; ET must be present but is not used; total = PRE + MAIN.
-    Rows without a match (or null) are dropped."""
-    pre = _num(F.regexp_extract(F.col(col), DURATION_PATTERN, 1))
-    main = _num(F.regexp_extract(F.col(col), DURATION_PATTERN, 2))
-    return (df.withColumn("pre_time", pre).withColumn("main_time", main)
-              .filter(F.col("pre_time").isNotNull())
+    Rows without a match (or null) are dropped.
+
+    The pattern is matched once per row (whole match), and the two numbers
+    are cut out of the matched text with plain string functions."""
+    m = F.regexp_extract(F.col(col), DURATION_PATTERN, 0)
+    parts = F.split(F.col("_m"), "_")          # PRE, <n>MS, MAIN, <n>MS, ET, <n>MS
+    pre = _num(F.regexp_replace(F.element_at(parts, 2), "MS$", ""))
+    main = _num(F.regexp_replace(F.element_at(parts, 4), "MS$", ""))
+    return (df.withColumn("_m", m).filter(F.col("_m") != "")
+              .withColumn("pre_time", pre).withColumn("main_time", main)
               .withColumn("total_time", F.col("pre_time") + F.col("main_time"))
-              .drop(col))
+              .drop(col, "_m"))
 
 
 def most_common_bin(parsed: DataFrame, bin_col: str = "functional_bin") -> DataFrame:
