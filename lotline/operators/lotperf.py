@@ -29,6 +29,7 @@ from lotline.functions.numbers import normalise_key, percent_text, round_half_up
 from lotline.operators.clean import (
     exclude_value_keep_nulls,
     optional_predicates,
+    require_columns,
     resolve_by_rule,
     select_rename,
 )
@@ -55,6 +56,8 @@ def lot_performance(sessions: DataFrame, keys: Sequence[str] = PERF_KEYS,
     operation, sub-flow step, device step, program) and its measures, with
     each percent text next to its number; DISTINCT over that projection.
     """
+    require_columns(sessions, [*keys, "visual_id", "goodbad_flag", "within_lao_sfs_latest_flag",
+                               "within_session_sequence_number", "test_time", "devrevstep"])
     df = sessions
     if exclude_sub_flows:
         df = optional_predicates(df, not_in={"sub_flow_step": exclude_sub_flows})

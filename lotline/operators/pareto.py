@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lotline.functions.classify import severity
 from lotline.functions.numbers import round_half_up, to_number
-from lotline.operators.clean import UNKNOWN, exceptions, fill_unknown
+from lotline.operators.clean import exceptions, fill_unknown, require_columns
 
 # The default slices of the daily report.
 MAIN_FILTERS = {"subflow_latest_flag": "Y", "substructure_id": "U1.U2"}
@@ -100,6 +100,8 @@ def bin_pareto(units: DataFrame, slices: Mapping[str, Mapping[str, object]] | No
     """
     slices = dict(slices or {"main": MAIN_FILTERS, "retest": RETEST_FILTERS})
     bin_kinds = dict(bin_kinds or {"functional": "functional_bin", "interface": "interface_bin"})
+    require_columns(units, [id_col, dev_col, bin_kinds.get("functional", "functional_bin")],
+                    optional=[step_col, bin_kinds.get("interface", "interface_bin")])
     cols = units.columns
     kinds = {k: c for k, c in bin_kinds.items() if c in cols}
     has_step = step_col in cols

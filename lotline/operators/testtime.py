@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 
 from lotline.functions.classify import program_family
 from lotline.functions.numbers import round_half_up
+from lotline.operators.clean import require_columns
 
 # Fixed value: the packed duration format.
 DURATION_PATTERN = r"PRE_(\d+\.\d+)MS_MAIN_(\d+\.\d+)MS_ET_(\d+\.\d+)MS"
 MIN_UNITS = 5
+# Fixed value: columns a duration table must have.
+REQUIRED = ("visual_id", "operation", "devrevstep", "program_name", "dlcp", "test_name", "test_result",
+            "lot", "functional_bin")
 TOP_DELTAS = 20
 
 
@@ -37,6 +41,7 @@ def parse_durations(df: DataFrame, col: str = "test_result") -> DataFrame:
 
     The pattern is matched once per row (whole match), and the two numbers
     are cut out of the matched text with plain string functions."""
+    require_columns(df, REQUIRED)
     m = F.regexp_extract(F.col(col), DURATION_PATTERN, 0)
     parts = F.split(F.col("_m"), "_")          # PRE, <n>MS, MAIN, <n>MS, ET, <n>MS
     pre = _num(F.regexp_replace(F.element_at(parts, 2), "MS$", ""))
