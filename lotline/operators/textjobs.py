@@ -288,7 +288,9 @@ def extract_limits(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFram
     hi_pat = F.element_at(F.array(*[F.lit(p[0]) for p in LIMIT_PATTERNS]), pick)
     lo_pat = F.element_at(F.array(*[F.lit(p[1]) for p in LIMIT_PATTERNS]), pick)
     commented = F.element_at(F.array(*[F.lit(p[2]) for p in LIMIT_PATTERNS]), pick)
-    b = b.withColumn("_hp", hi_pat).withColumn("_lp", lo_pat).withColumn("_cm", commented)
+    # rows of one pair side by side: the per-row pattern is compiled once per run of rows
+    b = (b.withColumn("_hp", hi_pat).withColumn("_lp", lo_pat).withColumn("_cm", commented)
+          .sortWithinPartitions("_pair"))
 
     def side(pat: str, i: int) -> Column:
         ok = F.col("_pair").isNotNull() & F.regexp(body, F.col(pat))
