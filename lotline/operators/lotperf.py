@@ -150,11 +150,13 @@ def lab_report(perf: DataFrame, sort: bool = True) -> DataFrame:
 
 
 def forward_fill(df: DataFrame, columns: Sequence[str], order_col: str = "ordinal",
-                 partition_cols: Sequence[str] = ()) -> DataFrame:
-    """Carry the last non-null value down in sheet order (merged cells).
-    Partitioned by sheet/file when given; a sheet is one ordered group."""
-    w = (Window.partitionBy(*partition_cols) if partition_cols else Window.partitionBy()).orderBy(order_col) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                 partition_cols: Sequence[str] = ("sheet",)) -> DataFrame:
+    """Carry the last non-null value down in sheet order (merged cells),
+    per sheet (a sheet is one ordered group; sheets run in parallel)."""
+    if not partition_cols:
+        raise ValueError("forward_fill needs the sheet/file column(s) to partition by")
+    w = Window.partitionBy(*partition_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding,
+                                                                          Window.currentRow)
     out = df
     for c in columns:
         out = out.withColumn(c, F.last(F.col(c), ignorenulls=True).over(w))
@@ -208,14 +210,14 @@ def target_lookup(facts: DataFrame, targets: DataFrame, keys: Sequence[str] = TA
     return joined.select(*[f[c] for c in facts.columns], *[F.col(f"_t.{c}").alias(c) for c in target_cols])
 
 
-def target_compare(perf: DataFrame, targets: DataFrame) -> DataFrame:
+def target_compare(perf: DataFrame, targets: DataFrame, order_col: str = "ordinal") -> DataFrame:
     """Lot performance with product targets and status (J6 + P18 + P17).
 
     Yield and RCS targets are normalised to percent numbers (a value in
     [0, 1] is a fraction, shown with two decimals); ETT is judged against
     the TTG target.
     """
-    joined = target_lookup(perf, targets)
+    joined = target_lookup(perf, targets, order_col=order_col)
     yt = round_half_up(normalise_rate(F.col("yield_target")), 2)
     rt = round_half_up(normalise_rate(F.col("rcs_target")), 2)
     tt = F.col("ttg_target").cast("string").try_cast("double")

@@ -11,28 +11,30 @@ from lotline.sources import adapters
 
 
 def product_targets_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A product-target sheet derived from the sessions: one row per
-    (operation, sub-flow step, device step) with yield, TTG and RCS
-    targets, written the way people keep it in a spreadsheet: merged cells
-    (a repeated operation / sub-flow left blank), operations of one product
-    line typed as '6248.0', yield as a fraction, RCS as percent text.
-    The sheet has one row per product key, so its size is bounded by the
-    catalogue, not by the number of sessions."""
+    """Product-target sheets derived from the sessions: one sheet per
+    operation, one row per (sub-flow step, device step) with yield, TTG and
+    RCS targets, written the way people keep them in a spreadsheet: merged
+    cells (the operation, and a repeated sub-flow step, left blank below
+    their first row), operations of one product line typed as '6248.0',
+    yield as a fraction, RCS as percent text. A sheet has one row per
+    product key, so its size is bounded by the catalogue; every window is
+    per sheet."""
     s = adapters.test_sessions(spark, sf_dir)
     g = s.groupBy("operation", "sub_flow_step", "devrevstep").agg(
         F.avg(F.when(F.col("goodbad_flag") == "G", 1).otherwise(0)).alias("y"),
         F.avg("test_time").alias("tt"),
         F.avg(F.when(F.col("within_lao_sfs_latest_flag") == "N", 1).otherwise(0)).alias("rc"))
-    w = Window.orderBy("operation", F.col("sub_flow_step").asc_nulls_last(), "devrevstep")
-    g = g.withColumn("ordinal", F.row_number().over(w).cast("long"))
-    prev_op = F.lag("operation").over(Window.orderBy("ordinal"))
-    prev_sf = F.lag("sub_flow_step").over(Window.orderBy("ordinal"))
+    w = Window.partitionBy("operation").orderBy(F.col("sub_flow_step").asc_nulls_last(), "devrevstep")
+    g = (g.withColumn("ordinal", F.row_number().over(w).cast("long"))
+          .withColumn("_prev_sf", F.lag("sub_flow_step").over(w)))
     op_text = F.when(F.col("devrevstep").contains("AF"), F.concat(F.col("operation"), F.lit(".0"))) \
         .otherwise(F.col("operation"))
+    first = F.col("ordinal") == 1
     return g.select(
+        F.col("operation").alias("sheet"),
         "ordinal",
-        F.when(prev_op.eqNullSafe(F.col("operation")), F.lit(None)).otherwise(op_text).alias("operation"),
-        F.when(prev_op.eqNullSafe(F.col("operation")) & prev_sf.eqNullSafe(F.col("sub_flow_step")), F.lit(None))
+        F.when(first, op_text).alias("operation"),
+        F.when(~first & F.col("_prev_sf").eqNullSafe(F.col("sub_flow_step")), F.lit(None))
          .otherwise(F.col("sub_flow_step")).alias("sub_flow_step"),
         "devrevstep",
         round_half_up(F.col("y"), 2).cast("decimal(10,2)").cast("string").alias("yield_target"),
@@ -42,8 +44,9 @@ def product_targets_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def product_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sheet with merged cells filled down (operation, sub-flow step)."""
-    return lotperf.forward_fill(product_targets_sheet(spark, sf_dir), ["operation", "sub_flow_step"])
+    """Each sheet with its merged cells filled down (operation, sub-flow step)."""
+    return lotperf.forward_fill(product_targets_sheet(spark, sf_dir), ["operation", "sub_flow_step"],
+                                order_col="ordinal", partition_cols=["sheet"])
 
 
 def q_lot_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +62,5 @@ def q_product_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_target_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lotperf.target_compare(q_lot_performance(spark, sf_dir), product_targets(spark, sf_dir))
+    targets = product_targets(spark, sf_dir).withColumn("_order", F.struct("sheet", "ordinal"))
+    return lotperf.target_compare(q_lot_performance(spark, sf_dir), targets, order_col="_order")

@@ -85,24 +85,29 @@ tg AS (
          avg(CASE WHEN within_lao_sfs_latest_flag = 'N' THEN 1 ELSE 0 END) AS rc
   FROM test_sessions GROUP BY operation, sub_flow_step, devrevstep
 ),
-tgo AS (SELECT *, row_number() OVER (ORDER BY operation, sub_flow_step NULLS LAST, devrevstep) AS ordinal FROM tg),
-tgl AS (SELECT *, lag(operation) OVER (ORDER BY ordinal) AS prev_op, lag(sub_flow_step) OVER (ORDER BY ordinal) AS prev_sf FROM tgo),
+tgo AS (
+  SELECT *, row_number() OVER (PARTITION BY operation ORDER BY sub_flow_step NULLS LAST, devrevstep) AS ordinal,
+         lag(sub_flow_step) OVER (PARTITION BY operation ORDER BY sub_flow_step NULLS LAST, devrevstep) AS prev_sf
+  FROM tg
+),
 sheet AS (
-  SELECT ordinal,
-         CASE WHEN prev_op IS NOT DISTINCT FROM operation THEN NULL
-              WHEN devrevstep LIKE '%AF%' THEN operation || '.0' ELSE operation END AS operation,
-         CASE WHEN prev_op IS NOT DISTINCT FROM operation AND prev_sf IS NOT DISTINCT FROM sub_flow_step THEN NULL
-              ELSE sub_flow_step END AS sub_flow_step,
+  SELECT operation AS sheet, ordinal,
+         CASE WHEN ordinal = 1 THEN CASE WHEN devrevstep LIKE '%AF%' THEN operation || '.0' ELSE operation END END
+           AS operation,
+         CASE WHEN ordinal > 1 AND prev_sf IS NOT DISTINCT FROM sub_flow_step THEN NULL ELSE sub_flow_step END
+           AS sub_flow_step,
          devrevstep,
          CAST(CAST(round(CAST(y AS DECIMAL(38, 10)), 2) AS DECIMAL(10, 2)) AS VARCHAR) AS yield_target,
          {r("tt", 1)} AS ttg_target,
          CAST(CAST(round(CAST(rc * 100 AS DECIMAL(38, 10)), 1) AS DECIMAL(10, 1)) AS VARCHAR) || '%' AS rcs_target
-  FROM tgl
+  FROM tgo
 ),
 targets AS (
-  SELECT ordinal,
-         last_value(operation IGNORE NULLS) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS operation,
-         last_value(sub_flow_step IGNORE NULLS) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sub_flow_step,
+  SELECT sheet, ordinal,
+         last_value(operation IGNORE NULLS) OVER (PARTITION BY sheet ORDER BY ordinal
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS operation,
+         last_value(sub_flow_step IGNORE NULLS) OVER (PARTITION BY sheet ORDER BY ordinal
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sub_flow_step,
          devrevstep, yield_target, ttg_target, rcs_target
   FROM sheet
 )"""
@@ -130,10 +135,10 @@ def status(v: str, t: str, higher_is_good: bool) -> str:
 TARGET_COMPARE = f"""
 WITH {PERF_CTE}, {TARGETS_CTE},
 f AS (SELECT row_number() OVER () AS _fid, *, {nk('operation')} AS k0, {nk('sub_flow_step')} AS k1, {nk('devrevstep')} AS k2 FROM perf),
-t AS (SELECT {nk('operation')} AS k0, {nk('sub_flow_step')} AS k1, {nk('devrevstep')} AS k2, ordinal,
+t AS (SELECT {nk('operation')} AS k0, {nk('sub_flow_step')} AS k1, {nk('devrevstep')} AS k2, sheet, ordinal,
              yield_target, ttg_target, rcs_target FROM targets),
 hits AS (
-  SELECT f._fid, t.*, row_number() OVER (PARTITION BY f._fid ORDER BY t.ordinal) AS rn
+  SELECT f._fid, t.*, row_number() OVER (PARTITION BY f._fid ORDER BY t.sheet, t.ordinal) AS rn
   FROM f JOIN t
     ON (f.k0 IS NULL OR f.k0 = t.k0) AND (f.k1 IS NULL OR f.k1 = t.k1) AND (f.k2 IS NULL OR f.k2 = t.k2)
    AND (f.k0 IS NOT NULL OR f.k1 IS NOT NULL OR f.k2 IS NOT NULL)

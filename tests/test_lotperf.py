@@ -59,10 +59,12 @@ def test_step_rank(spark):
 
 
 def test_forward_fill(spark):
-    df = spark.createDataFrame([(1, "6248", "A"), (2, None, None), (3, None, "B"), (4, "7820", None)],
-                               "ordinal int, operation string, sub_flow_step string")
+    df = spark.createDataFrame([("s1", 1, "6248", "A"), ("s1", 2, None, None), ("s1", 3, None, "B"),
+                                ("s1", 4, "7820", None), ("s2", 1, None, "C"), ("s2", 2, "9", None)],
+                               "sheet string, ordinal int, operation string, sub_flow_step string")
     out = lotperf.forward_fill(df, ["operation", "sub_flow_step"])
-    assert rows(out) == [(1, "6248", "A"), (2, "6248", "A"), (3, "6248", "B"), (4, "7820", "B")]
+    assert rows(out) == [("s1", 1, "6248", "A"), ("s1", 2, "6248", "A"), ("s1", 3, "6248", "B"),
+                         ("s1", 4, "7820", "B"), ("s2", 1, None, "C"), ("s2", 2, "9", "C")]
 
 
 def test_target_lookup_wildcards_and_first(spark):
