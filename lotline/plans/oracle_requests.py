@@ -91,7 +91,13 @@ WITH {LOT_CTE}
 SELECT *, CAST(floor((row_number() OVER (PARTITION BY file ORDER BY ordinal) - 1) / 3) AS INTEGER) AS batch_id FROM lots
 """
 
+REQUEST_FILES = f"""
+WITH {view_sql("requests")}
+SELECT ordinal, sheet, source_lot, part_type || 'é' AS part_type, quantity, operation, eng_id, mir, hri FROM requests
+"""
+
 SQL = {
+    "request_files": REQUEST_FILES,
     "request_order": REQUEST_ORDER,
     "request_spans": REQUEST_SPANS,
     "request_ids": REQUEST_IDS,

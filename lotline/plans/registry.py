@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lotline.plans import (
     diff,
+    files,
     ingest,
     lotperf,
     nested,
@@ -80,6 +81,7 @@ def queries() -> dict[str, Query]:
         "lot_list": requests.q_lot_list,
         "lot_batches": requests.q_lot_batches,
         "ingest_extracts": ingest.q_ingest_extracts,
+        "request_files": files.q_request_files,
     }
 
 
