@@ -145,7 +145,11 @@ def lab_report(perf: DataFrame, sort: bool = True) -> DataFrame:
     out = exclude_value_keep_nulls(out, "Sub Flow Step", "SCS")
     out = out.withColumn("step_rank", step_rank(F.col("Sub Flow Step")))
     if sort:
-        out = out.orderBy("step_rank", F.upper(F.trim(F.col("Sub Flow Step"))), "Devrevstep", "Program Name")
+        # the report order, then every other column as a tie-break: equal
+        # report keys are spread by the range partitioner instead of landing
+        # in one task
+        rest = [c for c in out.columns if c not in ("step_rank", "Sub Flow Step", "Devrevstep", "Program Name")]
+        out = out.orderBy("step_rank", F.upper(F.trim(F.col("Sub Flow Step"))), "Devrevstep", "Program Name", *rest)
     return out
 
 

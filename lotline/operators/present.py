@@ -1,6 +1,8 @@
 """Presentation orders (O4, O5, O6). Sorting is for reports only: the
 results are complete without it, and ``orderBy`` is a distributed range
-sort, never a single task."""
+sort. Every order ends with the remaining columns as tie-breaks, so rows
+with equal report keys (a hot lot, a hot bin) are still spread over range
+partitions instead of landing in one task."""
 
 from __future__ import annotations
 
@@ -8,19 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _rest(df: DataFrame, used: tuple[str, ...]) -> list[str]:
+    return [c for c in df.columns if c not in used]
+
+
 def limits_order(df: DataFrame) -> DataFrame:
     """Category, then test name."""
-    return df.orderBy("category", "test_name")
+    return df.orderBy("category", "test_name", *_rest(df, ("category", "test_name")))
 
 
 def mode_order(df: DataFrame) -> DataFrame:
     """Config set name ascending, count descending."""
-    return df.orderBy(F.col("config_set").asc(), F.col("count").desc())
+    return df.orderBy(F.col("config_set").asc(), F.col("count").desc(), *_rest(df, ("config_set", "count")))
 
 
 def lot_order(df: DataFrame) -> DataFrame:
     """Lot ascending."""
-    return df.orderBy("lot")
+    return df.orderBy("lot", *_rest(df, ("lot",)))
 
 
 def pareto_order(df: DataFrame) -> DataFrame:

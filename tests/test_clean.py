@@ -33,3 +33,11 @@ def test_union_batches(spark):
     a = spark.createDataFrame([(1, "x")], "k int, a string")
     b = spark.createDataFrame([(2, "y")], "k int, b string")
     assert rows(union_batches([a, b]), "k", "a", "b") == [(1, "x", None), (2, None, "y")]
+
+
+def test_presentation_orders(spark):
+    from lotline.operators import present
+    df = spark.createDataFrame([("b", "t2", 1), ("a", "t9", 2), ("a", "t1", 3)], "category string, test_name string, v int")
+    assert [r.test_name for r in present.limits_order(df).collect()] == ["t1", "t9", "t2"]
+    m = spark.createDataFrame([("A", "x", 1), ("A", "y", 5), ("B", "x", 2)], "config_set string, execution_mode string, count long")
+    assert [(r.config_set, r["count"]) for r in present.mode_order(m).collect()] == [("A", 5), ("A", 1), ("B", 2)]
