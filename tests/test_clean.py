@@ -41,3 +41,9 @@ def test_presentation_orders(spark):
     assert [r.test_name for r in present.limits_order(df).collect()] == ["t1", "t9", "t2"]
     m = spark.createDataFrame([("A", "x", 1), ("A", "y", 5), ("B", "x", 2)], "config_set string, execution_mode string, count long")
     assert [(r.config_set, r["count"]) for r in present.mode_order(m).collect()] == [("A", 5), ("A", 1), ("B", 2)]
+
+
+def test_lot_order(spark):
+    from lotline.operators import present
+    df = spark.createDataFrame([("L2", "b"), ("L1", "z"), ("L1", "a")], "lot string, x string")
+    assert [tuple(r) for r in present.lot_order(df).collect()] == [("L1", "a"), ("L1", "z"), ("L2", "b")]

@@ -46,3 +46,13 @@ def test_stream_reads_each_file_once(spark):
     ingest.ingest_extracts(spark, src, schema, out, checkpoint=ck).awaitTermination()
     got = rows(spark.read.parquet(out), "lot", "n", "source_file")
     assert got == [("L1", 1, "a.csv"), ("L2", 2, "a.csv"), ("L3", 3, "b.csv")]
+
+
+def test_bundle_and_status(spark):
+    d = tempfile.mkdtemp(prefix="lotline-bundle-", dir="/tmp")
+    a = spark.createDataFrame([(1,)], "v int")
+    b = spark.createDataFrame([("x", "ok"), ("y", "rejected")], "k string, status string")
+    writers.write_bundle({"pareto": a, "details": b}, f"{d}/report")
+    assert rows(spark.read.parquet(f"{d}/report/pareto")) == [(1,)]
+    writers.write_status(b, f"{d}/status")
+    assert sorted(p for p in os.listdir(f"{d}/status") if p.startswith("status=")) == ["status=ok", "status=rejected"]
