@@ -50,14 +50,21 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) create a scratch folder for it."""
+    (local tests) create a scratch folder for it. Returns the base folder."""
+    sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
         return current
+    if sc.getCheckpointDir() is not None:
+        return sc.getCheckpointDir()
     path = tempfile.mkdtemp(prefix="lotline-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
+    try:
+        spark.conf.set("spark.checkpoint.dir", path)
+    except Exception:  # a core setting may be read-only at runtime
+        pass
     return path
 
 
