@@ -21,11 +21,6 @@ from lotline.operators.clean import first_non_null, prefix_from_source
 LIMIT_KEYS = ("test_type", "configuration")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], rkeys: Sequence[str] | None = None) -> Column:
-    rkeys = list(rkeys or keys)
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[r]) for k, r in zip(keys, rkeys)])
-
-
 def limits_left_join(left: DataFrame, limits: DataFrame, keys: Sequence[str] = LIMIT_KEYS,
                      right_keys: Mapping[str, str] | None = None, suffix: str = "_leakage") -> DataFrame:
     """Every left row with every limits row of equal keys (null equals

@@ -48,10 +48,6 @@ def _extract(c: Column, pattern: str, group: int = 1) -> Column:
     return F.when(c.rlike(pattern), v)
 
 
-def _by_file() -> Window:
-    return Window.partitionBy("file").orderBy("line_no")
-
-
 def _with_chunks(lines: DataFrame, chunk_lines: int, halo: int) -> DataFrame:
     """Adds ``_chunk`` and ``_home``: every line is in its own chunk
     (``_home`` true) and, as a read-only copy, in every earlier chunk whose
@@ -83,11 +79,6 @@ def _carry_forward(lines: DataFrame, value: Column, name: str, chunk_lines: int)
               .drop("_chunk", "_v", "_local", "_in"))
 
 
-def _first_match(value: Column) -> Column:
-    """Value at the smallest line number among rows where it is not null."""
-    return F.min(F.when(value.isNotNull(), F.struct(F.col("line_no").alias("n"), value.alias("v"))))["v"]
-
-
 def _desc() -> Window:
     return Window.partitionBy("file", "_chunk").orderBy(F.col("line_no").desc())
 
