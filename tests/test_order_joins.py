@@ -47,3 +47,16 @@ def test_status_counts(spark):
     df = spark.createDataFrame([(0, "a"), (0, ""), (1, "b")], "sheet long, id string")
     st = order.status_table(df, F.col("id") != "", F.lit("no id"))
     assert rows(order.workflow_counts(st, ["sheet"])) == [(0, 2, 1, 1), (1, 1, 1, 0)]
+
+
+def test_limits_join_null_keys_duplicates_and_clash(spark):
+    left = spark.createDataFrame([("VSS", "C1", "a"), (None, None, "b"), ("VCC", "C9", "c")],
+                                 "test_type string, configuration string, note string")
+    limits = spark.createDataFrame([("VSS", "C1", "h1", "n1"), ("VSS", "C1", "h2", "n2"), (None, None, "h3", "n3")],
+                                   "TestType string, configuration string, high string, note string")
+    out = joins.limits_left_join(left, limits, right_keys={"test_type": "TestType"})
+    assert "note_leakage" in out.columns
+    got = rows(out, "note", "high", "note_leakage")
+    assert got == [("a", "h1", "n1"), ("a", "h2", "n2"), ("b", "h3", "n3"), ("c", None, None)]
+    rate = joins.match_rate(left, limits.withColumnRenamed("TestType", "test_type")).collect()[0]
+    assert (rate.total_rows, rate.matched_rows, rate.match_rate) == (3, 2, round(2 / 3, 6))
