@@ -126,8 +126,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "requests")
 
 
-# Catalogue snapshots (old, new) from orders: the new one loses some rows,
-# changes a column on others, repeats some rows and gains renamed models.
+# Catalogue snapshots (old, new) from orders: the new one loses the
+# pending orders, changes the package of urgent ones, repeats the low-priority
+# finished ones and gains renamed models for high-priority open ones.
 _SNAP_COLS = [
     "'PRG' || CAST(o_custkey % 50 AS STRING) AS program_name",
     "{model} AS model_name",
@@ -143,14 +144,14 @@ _MODEL = "'M' || CAST(o_orderkey AS STRING)"
 SNAPSHOT_SQL = {
     "snap_old": [c.format(model=_MODEL, package="o_orderpriority") for c in _SNAP_COLS],
     "snap_new": [c.format(model=_MODEL,
-                          package="CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority || '-X' ELSE o_orderpriority END")
+                          package="CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderpriority || '-X' ELSE o_orderpriority END")
                  for c in _SNAP_COLS],
     "snap_new_models": [c.format(model="'M' || CAST(o_orderkey AS STRING) || 'B'", package="o_orderpriority")
                         for c in _SNAP_COLS],
 }
-SNAP_NEW_KEEP = "o_orderkey % 10 <> 0"
-SNAP_NEW_REPEAT = "o_orderkey % 17 = 0"
-SNAP_NEW_MODELS = "o_orderkey % 23 = 0"
+SNAP_NEW_KEEP = "o_orderstatus <> 'P'"
+SNAP_NEW_REPEAT = "o_orderstatus = 'F' AND o_orderpriority = '5-LOW'"
+SNAP_NEW_MODELS = "o_orderstatus = 'O' AND o_orderpriority = '2-HIGH'"
 
 
 def snapshot_old(spark: SparkSession, sf_dir: str) -> DataFrame:
