@@ -17,23 +17,49 @@ from pyspark.sql import types as T
 REPLACEMENT = "�"
 
 
+# Charsets the CSV reader accepts without ``spark.sql.legacy.javaCharsets``.
+_STANDARD_CHARSETS = {"UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"}
+
+
+def _charset_allowed(spark: SparkSession, enc: str) -> bool:
+    return (enc.upper() in _STANDARD_CHARSETS
+            or spark.conf.get("spark.sql.legacy.javaCharsets", "false").lower() == "true")
+
+
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
-                   fallback: str = "ISO-8859-1", header: bool = True) -> DataFrame:
-    """Delimited text with a per-file encoding (UTF-8, else ``fallback``;
-    Latin-1 accepts any byte, so it is the last resort). A UTF-8 byte-order
-    mark is dropped by the reader. Adds ``source_file``."""
+                   fallbacks: tuple[str, ...] = ("GBK", "ISO-8859-1"), header: bool = True) -> DataFrame:
+    """Delimited text with a per-file encoding: UTF-8, else the first
+    fallback that decodes the file without replacement characters (GBK only
+    when the session allows legacy charsets; Latin-1 accepts any byte, so it
+    is the last resort). A UTF-8 byte-order mark is dropped by the reader.
+    Adds ``source_file``. Only file names reach the driver (the list of
+    files still to decode), never rows."""
     def read(enc: str, files) -> DataFrame:
         return (spark.read.schema(schema).option("header", header).option("sep", sep)
                 .option("encoding", enc).csv(files).withColumn("source_file", F.col("_metadata.file_path")))
 
-    utf8 = read("UTF-8", path)
     bad_row = reduce(lambda a, b: a | b, [F.coalesce(F.col(f.name).cast("string"), F.lit("")).contains(REPLACEMENT)
                                           for f in schema.fields])
-    bad_files = [r[0] for r in utf8.filter(bad_row).select("source_file").distinct().collect()]
-    if not bad_files:
-        return utf8
-    good = utf8.filter(~F.col("source_file").isin(bad_files))
-    return good.unionByName(read(fallback, bad_files))
+
+    def bad_files(df: DataFrame) -> list[str]:
+        return [r[0] for r in df.filter(bad_row).select("source_file").distinct().collect()]
+
+    chain = [e for e in fallbacks if _charset_allowed(spark, e)]
+    current = read("UTF-8", path)
+    pending = bad_files(current)
+    parts = [current.filter(~F.col("source_file").isin(pending)) if pending else current]
+    for i, enc in enumerate(chain):
+        if not pending:
+            break
+        df = read(enc, pending)
+        if i == len(chain) - 1:
+            parts.append(df)
+            pending = []
+        else:
+            still = bad_files(df)
+            parts.append(df.filter(~F.col("source_file").isin(still)) if still else df)
+            pending = still
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def read_any(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -50,3 +50,18 @@ def test_latest_by_name(spark):
     df = spark.read.option("header", True).csv(d)
     out = files.latest_by_name(df, r"^MIR_Results_(\d{8}_\d{6})\.csv$")
     assert rows(out, "v") == [("new",)]
+
+
+def test_gbk_when_allowed(spark):
+    d = tempfile.mkdtemp(prefix="lotline-gbk-", dir="/tmp")
+    with open(os.path.join(d, "g.csv"), "wb") as f:
+        f.write("SourceLot,Part\nL3,测试\n".encode("gbk"))
+    with open(os.path.join(d, "l.csv"), "wb") as f:
+        f.write("SourceLot,Part\nL4,é\n".encode("latin-1"))
+    schema = T.StructType([T.StructField("SourceLot", T.StringType()), T.StructField("Part", T.StringType())])
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        got = rows(files.read_delimited(spark, d, schema), "SourceLot", "Part")
+    finally:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "false")
+    assert got == [("L3", "测试"), ("L4", "é")]
