@@ -24,6 +24,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # remove checkpoint files of intermediates once they are garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 
