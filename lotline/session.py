@@ -53,8 +53,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
     (local tests) create a scratch folder for it. Returns the base folder."""
-    sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no driver-side context (e.g. Spark Connect): the server's setting is used
+        if not current:
+            raise RuntimeError("set spark.checkpoint.dir for this session")
+        return current
     if current:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
