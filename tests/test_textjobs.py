@@ -178,6 +178,14 @@ def test_split_line_numbers(spark, tmp_path):
     from lotline.sources.text import read_program_lines, read_whole_files
     p = tmp_path / "prog.mtpl"
     p.write_text(PROGRAM * 200)
-    a = read_program_lines(spark, str(tmp_path))
-    b = read_whole_files(spark, str(tmp_path)).select("file", F.col("line_no").cast("long"), "line")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    (tmp_path / "small.mtpl").write_text("one\ntwo\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")     # several splits per file
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 3
+        a = read_program_lines(spark, str(tmp_path))
+        b = read_whole_files(spark, str(tmp_path)).select("file", F.col("line_no").cast("long"), "line")
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+        assert a.count() == len((PROGRAM * 200).splitlines()) + 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
