@@ -47,3 +47,28 @@ def test_lot_order(spark):
     from lotline.operators import present
     df = spark.createDataFrame([("L2", "b"), ("L1", "z"), ("L1", "a")], "lot string, x string")
     assert [tuple(r) for r in present.lot_order(df).collect()] == [("L1", "a"), ("L1", "z"), ("L2", "b")]
+
+
+def test_unit_extract_rules(spark):
+    from lotline.sources.extracts import unit_results_extract
+    cols = ("visual_id string, substructure_id string, lot string, operation string, facility string, "
+            "devrevstep string, program_name string, process_step string, unit_functional_bin string, "
+            "substructure_functional_bin string, unit_interface_bin string, substructure_interface_bin string, "
+            "unit_data_bin string, substructure_data_bin string, unit_good_bad_flag string, "
+            "substructure_good_bad_flag string, unit_subflow_latest_flag string, "
+            "substructure_subflow_latest_flag string, lato_latest_flag string, test_end_date timestamp")
+    base = ["u1", "U1.U2", "L1", "6248", "F", "8PXAAFB1", "P", "CLASSHOT", "7", "9", "1", None, "d", None,
+            "B", "G", "Y", None, None, None]
+    rows_ = [
+        tuple(base),                                        # sub bins win, unit flag used, lato '' when null
+        tuple(base),                                        # exact duplicate: DISTINCT
+        tuple(base[:2] + ["L2"] + base[3:]),                # lot not requested
+        tuple(base[:16] + ["X", None] + base[18:]),         # flag not Y/N: dropped
+        tuple(base[:16] + [None, "N"] + base[18:]),         # substructure flag wins
+    ]
+    raw = spark.createDataFrame(rows_, cols)
+    lots = spark.createDataFrame([("L1",)], "lot string")
+    out = unit_results_extract(raw, lots=lots).collect()
+    got = sorted((r.functional_bin, r.interface_bin, r.good_bad_flag, r.subflow_latest_flag, r.lato_latest_flag,
+                  r.bom, r.dlcp, r.stepping) for r in out)
+    assert got == [("9", "1", "G", "N", "", "8", "AF", "B1"), ("9", "1", "G", "Y", "", "8", "AF", "B1")]
