@@ -24,9 +24,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if splits < slots else df
 
 
+# (session, path) -> relation. Listing a large table's files and reading its
+# footers is paid once per session instead of once per query; the cached
+# object is a plan, not data (nothing is persisted), and every query still
+# gets its own column pruning and filter pushdown.
+_RELATIONS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory (column pruning and filter
     pushdown reach the scan because nothing is selected eagerly)."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}; known: {', '.join(TABLES)}")
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _RELATIONS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spread(spark.read.parquet(path))
+        _RELATIONS[key] = df
+    return df
+
+
+def forget_tables() -> None:
+    """Drop the cached relations (after the files of a table changed)."""
+    _RELATIONS.clear()
