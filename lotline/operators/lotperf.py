@@ -87,17 +87,17 @@ def lot_performance(sessions: DataFrame, keys: Sequence[str] = PERF_KEYS,
     ttb = round_half_up(F.when(F.col("final_tested_bad") > 0,
                                round_half_up(_ratio(F.col("test_time_bad"), F.col("test_bad")), 2))
                         .otherwise(F.lit(0.0)), 2)
-    m = (g.withColumn("yield_ratio", y1).withColumn("rcs_ratio", r1)
-          .withColumn("ttg", ttg).withColumn("ttb", ttb))
+    m = g.withColumns({"yield_ratio": y1, "rcs_ratio": r1, "ttg": ttg, "ttb": ttb})
     ett = round_half_up((F.col("ttg") * F.col("yield_ratio")
                          + F.col("ttb") * (1 - F.col("yield_ratio") + F.col("rcs_ratio")))
                         / (1 + F.col("rcs_ratio")), 2)
     recovery = _ratio(F.col("rcs_good_qty"), F.col("retested_qty"))
-    out = (m.withColumn("ett", ett)
-            .withColumn("yield_pct", percent_text(_ratio(F.col("tested_good"), F.col("total_tested"))))
-            .withColumn("rcs_pct", percent_text(_ratio(F.col("retested_qty"), F.col("total_tested"))))
-            .withColumn("recovery_rate", round_half_up(recovery * 100, 2))
-            .withColumn("recovery_rate_pct", percent_text(recovery))
+    out = (m.withColumns({
+                "ett": ett,
+                "yield_pct": percent_text(_ratio(F.col("tested_good"), F.col("total_tested"))),
+                "rcs_pct": percent_text(_ratio(F.col("retested_qty"), F.col("total_tested"))),
+                "recovery_rate": round_half_up(recovery * 100, 2),
+                "recovery_rate_pct": percent_text(recovery)})
             .withColumn("devrevstep", F.explode_outer("_devrevsteps")))
     return out.select(
         "lot", "facility", "operation", "sub_flow_step", "devrevstep", "program_name",
