@@ -56,3 +56,24 @@ def test_bundle_and_status(spark):
     assert rows(spark.read.parquet(f"{d}/report/pareto")) == [(1,)]
     writers.write_status(b, f"{d}/status")
     assert sorted(p for p in os.listdir(f"{d}/status") if p.startswith("status=")) == ["status=ok", "status=rejected"]
+
+
+def test_foreach_batch_handler_sees_each_file_once(spark):
+    d = tempfile.mkdtemp(prefix="lotline-fb-", dir="/tmp")
+    src = f"{d}/in"
+    os.makedirs(src)
+    schema = T.StructType([T.StructField("lot", T.StringType()), T.StructField("n", T.IntegerType())])
+    for name, body in (("a.csv", "lot,n\nL1,1\n"), ("b.csv", "lot,n\nL2,2\nL3,3\n")):
+        with open(f"{d}/{name}.tmp", "w") as f:
+            f.write(body)
+        shutil.move(f"{d}/{name}.tmp", f"{src}/{name}")
+    out = f"{d}/batches"
+
+    def handle(batch, batch_id):
+        # idempotent per batch id: one folder per batch, overwritten on a retry
+        batch.groupBy("source_file").count().write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    ingest.ingest_with(spark, src, schema, handle, checkpoint=f"{d}/ckpt").awaitTermination()
+    ingest.ingest_with(spark, src, schema, handle, checkpoint=f"{d}/ckpt").awaitTermination()  # nothing new
+    got = rows(spark.read.parquet(out).groupBy("source_file").sum("count"))
+    assert got == [("a.csv", 1), ("b.csv", 2)]
