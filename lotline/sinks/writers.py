@@ -19,10 +19,14 @@ def run_stamp(now: datetime | None = None) -> str:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", run_ts: str | None = None,
-                mode: str = "errorifexists") -> str:
+                mode: str = "errorifexists", bom: bool = False) -> str:
     """K1: one run of a result under ``path/run_ts=<stamp>`` (csv with a
-    header, or parquet). Returns the folder written."""
+    header, or parquet). ``bom=True`` starts every CSV part file with the
+    UTF-8 byte-order mark (put before the first header name), as some
+    spreadsheet tools expect. Returns the folder written."""
     target = f"{path.rstrip('/')}/run_ts={run_ts or run_stamp()}"
+    if fmt == "csv" and bom and df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     w = df.write.mode(mode)
     if fmt == "csv":
         w.option("header", True).csv(target)

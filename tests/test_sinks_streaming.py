@@ -77,3 +77,14 @@ def test_foreach_batch_handler_sees_each_file_once(spark):
     ingest.ingest_with(spark, src, schema, handle, checkpoint=f"{d}/ckpt").awaitTermination()  # nothing new
     got = rows(spark.read.parquet(out).groupBy("source_file").sum("count"))
     assert got == [("a.csv", 1), ("b.csv", 2)]
+
+
+def test_csv_with_bom(spark):
+    import glob
+    d = tempfile.mkdtemp(prefix="lotline-bom-", dir="/tmp")
+    df = spark.createDataFrame([("L1", 1)], "lot string, n int")
+    target = writers.write_table(df, d, fmt="csv", run_ts="r1", bom=True)
+    part = sorted(glob.glob(f"{target}/part-*.csv"))[0]
+    assert open(part, "rb").read(3) == b"\xef\xbb\xbf"
+    back = spark.read.option("header", True).csv(target)
+    assert back.columns == ["lot", "n"] and rows(back) == [("L1", "1")]
