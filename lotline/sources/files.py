@@ -26,14 +26,39 @@ def _charset_allowed(spark: SparkSession, enc: str) -> bool:
             or spark.conf.get("spark.sql.legacy.javaCharsets", "false").lower() == "true")
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
+# Separators tried when a file's separator is not given.
+SEPARATORS = (",", ";", "\t", "|")
+
+
+def sniff_separators(spark: SparkSession, path: str, candidates: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    """(file, sep): per file, the candidate that occurs most often in the
+    first line (ties: earlier candidate; none: ','). Computed on the
+    executors from each file's first line."""
+    from lotline.sources.text import read_program_lines
+    first = read_program_lines(spark, path).filter(F.col("line_no") == 0)
+    counts = [F.size(F.split(F.col("line"), "\\" + c if c in "|" else c)) - 1 for c in candidates]
+    best = F.greatest(*counts)
+    pick = F.coalesce(*[F.when((best > 0) & (counts[i] == best), F.lit(c)) for i, c in enumerate(candidates)],
+                      F.lit(","))
+    return first.select("file", pick.alias("sep"))
+
+
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str | None = ",",
                    fallbacks: tuple[str, ...] = ("GBK", "ISO-8859-1"), header: bool = True) -> DataFrame:
     """Delimited text with a per-file encoding: UTF-8, else the first
     fallback that decodes the file without replacement characters (GBK only
     when the session allows legacy charsets; Latin-1 accepts any byte, so it
     is the last resort). A UTF-8 byte-order mark is dropped by the reader.
     Adds ``source_file``. Only file names reach the driver (the list of
-    files still to decode), never rows."""
+    files still to decode), never rows. ``sep=None`` sniffs the separator
+    per file (``sniff_separators``) and reads each group of files with its
+    own separator."""
+    if sep is None:
+        groups: dict[str, list[str]] = {}
+        for r in sniff_separators(spark, path).collect():      # one row per file
+            groups.setdefault(r.sep, []).append(r.file)
+        parts = [read_delimited(spark, files_, schema, s, fallbacks, header) for s, files_ in sorted(groups.items())]
+        return reduce(lambda a, b: a.unionByName(b), parts)
     def read(enc: str, files) -> DataFrame:
         return (spark.read.schema(schema).option("header", header).option("sep", sep)
                 .option("encoding", enc).csv(files).withColumn("source_file", F.col("_metadata.file_path")))

@@ -65,3 +65,14 @@ def test_gbk_when_allowed(spark):
     finally:
         spark.conf.set("spark.sql.legacy.javaCharsets", "false")
     assert got == [("L3", "测试"), ("L4", "é")]
+
+
+def test_sniffed_separators(spark):
+    d = tempfile.mkdtemp(prefix="lotline-sep-", dir="/tmp")
+    for name, body in (("a.csv", "SourceLot;Part\nL1;x\n"), ("b.csv", "SourceLot|Part\nL2|y\n"),
+                       ("c.csv", "SourceLot,Part\nL3,z\n")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(body)
+    schema = T.StructType([T.StructField("SourceLot", T.StringType()), T.StructField("Part", T.StringType())])
+    assert rows(files.read_delimited(spark, d, schema, sep=None), "SourceLot", "Part") == [
+        ("L1", "x"), ("L2", "y"), ("L3", "z")]
