@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotline.llm import hd_language, interleave_shards, ordinal_toxicity, url_gbt
+from lotline.llm import hd_language, interleave_shards, ordinal_toxicity, partition_join, url_gbt
 from lotline.llm.common import ship
 
 URL_RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
@@ -40,12 +40,17 @@ def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_toxicity.predict(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op10_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition_join.join_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_hd_language": op3_hd_language,
         "op4_interleave_shards": op4_interleave_shards,
         "op8_url_gbt": op8_url_gbt,
         "op9_ordinal_toxicity": op9_ordinal_toxicity,
+        "op10_partition_join": op10_partition_join,
     }
 
 
