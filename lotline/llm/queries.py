@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotline.llm import hd_language, interleave_shards, ordinal_toxicity, partition_join, url_gbt
+from lotline.llm import hd_language, interleave_shards, ordinal_toxicity, partition_join, string_tiling, url_gbt
 from lotline.llm.common import ship
 
 URL_RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
@@ -29,6 +29,10 @@ def op4_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_gbt.judge(table(spark, sf_dir, "pages"), url_gbt.parse_rules(URL_RULES))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_hd_language": op3_hd_language,
         "op4_interleave_shards": op4_interleave_shards,
+        "op6_string_tiling": op6_string_tiling,
         "op8_url_gbt": op8_url_gbt,
         "op9_ordinal_toxicity": op9_ordinal_toxicity,
         "op10_partition_join": op10_partition_join,
