@@ -5,9 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from lotline.llm import hd_language, interleave_shards, ordinal_toxicity, partition_join, string_tiling, url_gbt
-from lotline.llm.common import ship
+from pyspark.sql import functions as F
+
+from lotline.llm import (
+    bpe,
+    hd_language,
+    interleave_shards,
+    ordinal_toxicity,
+    partition_join,
+    seekable_ids,
+    string_tiling,
+    url_gbt,
+)
+from lotline.llm.common import shared_folder, ship
 
 URL_RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
 
@@ -17,6 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op3_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = hd_language.fit(hd_language.training_rows(docs))
@@ -29,6 +51,13 @@ def op4_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op5_seekable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "seekable-ids")
+    seekable_ids.write(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=1)
+    out = seekable_ids.read(spark, path)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,8 +79,10 @@ def op10_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bpe": op2_bpe,
         "op3_hd_language": op3_hd_language,
         "op4_interleave_shards": op4_interleave_shards,
+        "op5_seekable_ids": op5_seekable_ids,
         "op6_string_tiling": op6_string_tiling,
         "op8_url_gbt": op8_url_gbt,
         "op9_ordinal_toxicity": op9_ordinal_toxicity,
