@@ -1,8 +1,7 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Texts are split into words task by task. A block (the texts of a task, up to
-BLOCK_CHARS) is told as its distinct words, one row each, and as a stream of word
-places. Words are grouped over all blocks, each distinct word is encoded once, and its
+Texts are split into words task by task and told in blocks: the distinct words of a
+block, one row each, and its stream of word places. Words are grouped over all blocks, each distinct word is encoded once, and its
 ids go back to every block that has it, where the stream's places are replaced by the
 words' ids. Decoding joins each block's distinct ids with the id-to-piece table.
 """
@@ -13,61 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotline.llm import words
-
-#: Characters that close a block; a longer text is a block of its own.
-BLOCK_CHARS = 32_000_000
-
-
-class _Block:
-    """Words of the texts read so far, numbered by first appearance, and the places in order."""
-
-    def __init__(self, name: str):
-        self.name = name
-        self.places: dict[str, int] = {}
-        self.stream: list[np.ndarray] = []
-        self.ids: list[int | None] = []
-        self.chars = 0
-        self.content = xxhash.xxh3_64()
-
-    def add(self, doc_id: int | None, text: str | None) -> None:
-        parts = words.split(text)
-        places = self.places
-        self.stream.append(np.fromiter((places.setdefault(w, len(places)) for w in parts), np.uint32, len(parts)))
-        self.ids.append(doc_id)
-        self.chars += len(text or "")
-        self.content.update(f"{doc_id}\0".encode() + (text or "").encode("utf-8", "surrogatepass") + b"\0")
-
-    @property
-    def key(self) -> int:
-        """Hash of the block's name and content: the two passes over the texts must
-        have made the same blocks, or the join finds nothing and the job fails."""
-        return xxhash.xxh3_64_intdigest(f"{self.name}:{self.content.hexdigest()}") - (1 << 63)
-
-
-def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[_Block]:
-    part = TaskContext.get().partitionId()
-    block, n = _Block(f"{part}.0"), 0
-    for pdf in frames:
-        ids = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
-        for doc_id, text in zip(ids, pdf["text"], strict=True):
-            block.add(doc_id, text)
-            if block.chars >= BLOCK_CHARS:
-                yield block
-                n += 1
-                block = _Block(f"{part}.{n}")
-    if block.ids:
-        yield block
+from lotline.llm.blocks import STREAM_SCHEMA, blocks, stream_row, unpack
 
 
 def _word_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for block in _blocks(frames):
+    for block in blocks(frames, words.split):
         names = list(block.places)
         for i in range(0, len(names), 50_000):
             part = names[i:i + 50_000]
@@ -75,14 +28,8 @@ def _word_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _stream_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    compress = zstandard.ZstdCompressor(level=3)
-    for block in _blocks(frames):
-        codes = np.concatenate(block.stream) if block.stream else np.empty(0, np.uint32)
-        # the bytes of the places, lowest first: frequent words come early, so most high bytes are 0
-        planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3 if len(block.places) < 1 << 24 else 4]
-        yield pd.DataFrame({"block": [block.key], "stream": [compress.compress(np.ascontiguousarray(planes).tobytes())],
-                            "n_words": [len(codes)], "doc_ids": [[-1 if d is None else d for d in block.ids]],
-                            "nulls": [[d is None for d in block.ids]], "lengths": [[len(x) for x in block.stream]]})
+    for block in blocks(frames, words.split):
+        yield stream_row(block)
 
 
 def _rebuilt(stream: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -99,9 +46,7 @@ def _rebuilt(stream: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         decoded[i] = " ".join([piece[int(j)] for j in x])
     out = []
     for s in stream.itertuples():
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(s.stream), np.uint8)
-        planes = raw.reshape(-1, s.n_words) if s.n_words else np.empty((0, 0), np.uint8)
-        codes = sum((planes[i].astype(np.uint32) << np.uint32(8 * i) for i in range(len(planes))), np.zeros(s.n_words, np.uint32))
+        codes = unpack(s.stream, s.n_words)
         at = 0
         for doc_id, null, n in zip(s.doc_ids, s.nulls, s.lengths, strict=True):
             part = codes[at:at + n].tolist()
@@ -144,8 +89,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     named = (placed.select("block", F.explode("ids").alias("id")).distinct().join(pieces, "id")
              .select("block", F.col("id").alias("place"), F.lit(None).cast("array<int>").alias("ids"), "piece"))
     both = placed.withColumn("piece", F.lit(None).cast("string")).unionByName(named)
-    streams = rows.mapInPandas(_stream_rows, "block long, stream binary, n_words int, doc_ids array<long>, "
-                                             "nulls array<boolean>, lengths array<int>")
+    streams = rows.mapInPandas(_stream_rows, STREAM_SCHEMA)
     out = streams.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(
         _rebuilt, "doc_id long, ids binary, decoded string")
     return out.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "decoded")

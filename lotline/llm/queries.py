@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotline.llm import (
+    backoff_lm,
     bpe,
     hd_language,
     interleave_shards,
@@ -62,6 +63,12 @@ def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = backoff_lm.score(docs, backoff_lm.training())
+    return out.select("doc_id", backoff_lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_url_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_gbt.judge(table(spark, sf_dir, "pages"), url_gbt.parse_rules(URL_RULES))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -84,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_interleave_shards": op4_interleave_shards,
         "op5_seekable_ids": op5_seekable_ids,
         "op6_string_tiling": op6_string_tiling,
+        "op7_backoff_lm": op7_backoff_lm,
         "op8_url_gbt": op8_url_gbt,
         "op9_ordinal_toxicity": op9_ordinal_toxicity,
         "op10_partition_join": op10_partition_join,
