@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lotline.llm import (
     backoff_lm,
     bpe,
+    grid_join,
     hd_language,
     interleave_shards,
     ordinal_toxicity,
@@ -34,6 +35,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.link(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", threshold=0.9)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
@@ -86,6 +91,7 @@ def op10_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_grid_join": op1_grid_join,
         "op2_bpe": op2_bpe,
         "op3_hd_language": op3_hd_language,
         "op4_interleave_shards": op4_interleave_shards,
