@@ -148,8 +148,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     is not read.
     """
     kept = docs.drop("lang_pred", "score")
-    out = kept.withColumn("_l", language_column(prototypes, text_col))
-    return out.select(*kept.columns, F.col("_l.lang_pred").alias("lang_pred"), F.col("_l.score").alias("score"))
+    out = kept.withColumn("__language", language_column(prototypes, text_col))
+    return out.select(*kept.columns, F.col("__language.lang_pred").alias("lang_pred"), F.col("__language.score").alias("score"))
 
 
 def held_out(id_col: str = "doc_id"):

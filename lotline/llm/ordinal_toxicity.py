@@ -84,7 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Ord
                 keys.append((min(pairs) if pairs else len(ws)) >> 1)
                 feats.append(sorted({f for w in set(ws) for f in features_of(w)}))
                 tox.append(bool(toxic))
-            yield pd.DataFrame({"key": keys, "toxic": tox, "features": feats})
+            if keys:
+                yield pd.DataFrame({"key": keys, "toxic": tox, "features": feats})
 
     sets = rows.mapInPandas(count, "key long, toxic boolean, features array<string>")
     one = sets.groupBy("key", "toxic").agg(F.min("features").alias("features"))
@@ -112,7 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Ord
                 marked = {w: [index[f] for f in features_of(w) if f in index] for w in set(words_of(text))}
                 out["idx"].append(sorted({i for x in marked.values() for i in x}))
                 out["marks"].append(sum(1 for x in marked.values() if x))
-            yield pd.DataFrame(out)
+            if out["idx"]:
+                yield pd.DataFrame(out)
 
     # bounded: about train_docs rows with a few marked features each
     data = rows.mapInPandas(encode, "toxic boolean, idx array<int>, marks int").collect()
@@ -182,6 +184,6 @@ def predict(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> Dat
     rows are scored alike; other columns pass unchanged.
     """
     kept = docs.drop("severity", "p_toxic", "grade", "toxic")
-    out = kept.withColumn("_s", severity_column(model, text_col))
-    return out.select(*kept.columns, F.col("_s.severity").alias("severity"), F.col("_s.p_toxic").alias("p_toxic"),
-                      F.round("_s.severity").cast("int").alias("grade"), (F.col("_s.p_toxic") > 0.5).alias("toxic"))
+    out = kept.withColumn("__severity", severity_column(model, text_col))
+    return out.select(*kept.columns, F.col("__severity.severity").alias("severity"), F.col("__severity.p_toxic").alias("p_toxic"),
+                      F.round("__severity.severity").cast("int").alias("grade"), (F.col("__severity.p_toxic") > 0.5).alias("toxic"))

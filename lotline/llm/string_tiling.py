@@ -162,7 +162,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                     out["doc_id"].append(doc_id)
                     out["text"].append(text)
                     out["seeds"].append(np.unique(h[hit.astype(bool)]).view(np.int64))
-            yield pd.DataFrame(out)
+            if out["doc_id"]:
+                yield pd.DataFrame(out)
 
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     hits = written(texts.mapInPandas(doc_seeds, f"doc_id {id_type}, text string, seeds array<long>"), "hits")
