@@ -2,14 +2,13 @@
 A14, A15, U3).
 
 Input is ``(file, line_no, line)`` (see ``lotline.sources.text``). Every
-window is partitioned by file and ordered by line number, so files are
-processed in parallel and no window spans the whole table.
-
-Test blocks (T2/T3) need neither a range join nor a self join: one
-reverse-ordered pass per file gives every line the next block-ending line
-and the next line where each field matches (running ``last`` windows,
-O(n) per file), so each wanted head reads its window end and its first
-field matches off its own row.
+window is partitioned by file and chunk of lines and ordered by line number;
+what a chunk needs from its neighbours travels as one summary row per chunk,
+so a long file is many tasks and a search may reach any number of lines.
+
+Test blocks (T2/T3) need no range join: only the lines that can matter (heads,
+block ends, fields) enter a window, which gives each head the next block end
+and the next line where each field matches.
 """
 
 from __future__ import annotations
@@ -27,15 +26,9 @@ TEST_TYPE_RE = r'TestType\s*=\s*"([^"]+)"'
 BYPASS_RE = r"BypassPort\s*=\s*([^;]+);"
 CONFIG_RE = r"Configuration\s*=\s*([^;]+);"
 PARAM_RE = r'"([^"]+)"'
-FULL_WINDOW = 49
-LITE_WINDOW = 29
-CONFIG_LOOKAHEAD = 9
 UNKNOWN = "UNKNOWN"
-# A file is processed in chunks of this many lines, so one huge file is many
-# tasks; each chunk also sees the first HALO lines of the next chunk, enough
-# for every window that starts inside it (49 lines + 9 lines of lookahead).
+# A file is processed in chunks of this many lines, so one huge file is many tasks.
 CHUNK_LINES = 50_000
-HALO = FULL_WINDOW + CONFIG_LOOKAHEAD + 2
 
 
 def _strip(c: Column) -> Column:
@@ -48,91 +41,89 @@ def _extract(c: Column, pattern: str, group: int = 1) -> Column:
     return F.when(c.rlike(pattern), v)
 
 
-def _with_chunks(lines: DataFrame, chunk_lines: int, halo: int) -> DataFrame:
-    """Adds ``_chunk`` and ``_home``: every line is in its own chunk
-    (``_home`` true) and, as a read-only copy, in every earlier chunk whose
-    end it follows by less than ``halo`` lines (one earlier chunk when
-    chunks are longer than the halo)."""
-    l = F.col("line_no")
-    home = F.floor(l / F.lit(chunk_lines)).cast("long")
-    first = F.greatest(F.floor((l - F.lit(halo)) / F.lit(chunk_lines)).cast("long"), F.lit(0).cast("long"))
-    return (lines.withColumn("_chunk", F.explode(F.sequence(F.least(first, home), home)))
-                 .withColumn("_home", F.col("_chunk") == home))
+def _carry(lines: DataFrame, values: dict[str, Column], chunk_lines: int, forward: bool, own: bool,
+           order: tuple[str, ...] = ("line_no",)) -> DataFrame:
+    """Adds, under each name, the nearest non-null value of the file before each
+    line (``forward``) or after it; with ``own`` the line's own value counts.
+    Within a chunk a running ``last``; beyond it the nearest value of the
+    chunks on that side (a window over one summary row per chunk), joined
+    back on (file, chunk). One pass for all values."""
+    c = F.floor(F.col(order[0]) / F.lit(chunk_lines)).cast("long")
+    df = lines.withColumn("_chunk", c)
+    for name, v in values.items():
+        df = df.withColumn(f"_v{name}", v)
+
+    def way(col: str) -> Column:
+        return F.col(col).asc() if forward else F.col(col).desc()
+
+    near = (Window.partitionBy("file", "_chunk").orderBy(way(order[0]), *order[1:])
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow if own else -1))
+    pick = F.max if forward else F.min
+    summary = df.groupBy("file", "_chunk").agg(*[
+        pick(F.when(F.col(f"_v{n}").isNotNull(), F.struct(F.col(order[0]).alias("n"), F.col(f"_v{n}").alias("v"))))["v"].alias(f"_c{n}")
+        for n in values])
+    beyond = Window.partitionBy("file").orderBy(way("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select("file", "_chunk", *[F.last(f"_c{n}", ignorenulls=True).over(beyond).alias(f"_i{n}") for n in values])
+    df = df.select("*", *[F.last(f"_v{n}", ignorenulls=True).over(near).alias(f"_l{n}") for n in values])
+    df = df.join(carried, ["file", "_chunk"], "left")
+    kept = lines.columns
+    return df.select(*kept, *[F.coalesce(f"_l{n}", f"_i{n}").alias(n) for n in values])
 
 
 def _carry_forward(lines: DataFrame, value: Column, name: str, chunk_lines: int) -> DataFrame:
-    """W3/W4 in chunks: ``name`` = the last non-null ``value`` at or before
-    each line of its file. Within a chunk a running ``last``; across chunks
-    the last value of the earlier chunks (a window over the per-chunk
-    summaries, one row per chunk), joined back on (file, chunk)."""
-    c = F.floor(F.col("line_no") / F.lit(chunk_lines)).cast("long")
-    df = lines.withColumn("_chunk", c).withColumn("_v", value)
-    w = Window.partitionBy("file", "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding,
-                                                                             Window.currentRow)
-    df = df.withColumn("_local", F.last("_v", ignorenulls=True).over(w))
-    last_in_chunk = F.max(F.when(F.col("_v").isNotNull(), F.struct(F.col("line_no").alias("n"), F.col("_v").alias("v"))))
-    summary = df.groupBy("file", "_chunk").agg(last_in_chunk["v"].alias("_lv"))
-    before = Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select("file", "_chunk", F.last("_lv", ignorenulls=True).over(before).alias("_in"))
-    return (df.join(carried, ["file", "_chunk"], "left")
-              .withColumn(name, F.coalesce(F.col("_local"), F.col("_in")))
-              .drop("_chunk", "_v", "_local", "_in"))
-
-
-def _desc() -> Window:
-    return Window.partitionBy("file", "_chunk").orderBy(F.col("line_no").desc())
-
-
-def _scan_blocks(lines: DataFrame, window: int, offset_one_ends: bool,
-                 fields: dict[str, Column]) -> DataFrame:
-    """W5 + W6 in one ordered pass per file (no join).
-
-    Lines are walked in reverse order, so running ``last(..., ignorenulls)``
-    windows give, for every line, the first block-ending line at or after it
-    and the first line after it where each field matches; both are O(n)
-    per file. A wanted head's window ends at the first line whose stripped
-    text starts with 'Test ' (from the second line after the head, or the
-    first with ``offset_one_ends``; that line is still searched), after
-    ``window`` lines, or at the end of the file. A field is taken when its
-    first match after the head lies inside the window.
-    Returns one row per wanted head."""
-    w = _desc()
-    upto_cur = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto_prev = w.rowsBetween(Window.unboundedPreceding, -1)
-    is_end = F.col("line").rlike(END_RE)
-    df = lines.select("file", "_chunk", "_home", "line_no", "line", *[c.alias(f"_c_{n}") for n, c in fields.items()])
-    nxt = [F.last(F.when(F.col(f"_c_{n}").isNotNull(), F.struct(F.col("line_no").alias("n"), F.col(f"_c_{n}").alias("v"))),
-                  ignorenulls=True).over(upto_prev).alias(f"_n_{n}") for n in fields]
-    df = df.select("file", "_chunk", "_home", "line_no", "line",
-                   F.last(F.when(is_end, F.col("line_no")), ignorenulls=True).over(upto_cur).alias("_ne"), *nxt)
-    start = 1 if offset_one_ends else 2
-    df = df.withColumn("_end", F.lag("_ne", start).over(w))
-    heads = df.filter(F.col("_home") & F.col("line").rlike(HEAD_RE))
-    cap = F.col("line_no") + window
-    last = F.least(F.coalesce(F.col("_end"), cap), cap)
+    """The last non-null ``value`` at or before each line of its file."""
+    return _carry(lines, {name: value}, chunk_lines, forward=True, own=True)
+
+
+def _scan_blocks(lines: DataFrame, offset_one_ends: bool, fields: dict[str, Column], chunk_lines: int) -> DataFrame:
+    """W5 + W6: one row per wanted head with the first match of each field in
+    its block. A block ends at the first line whose stripped text starts
+    with 'Test ' (from the second line after the head, or the first with
+    ``offset_one_ends``; that line is still searched) or with the file."""
+    df = lines.select("file", "line_no", "line", *[c.alias(f"_c_{n}") for n, c in fields.items()])
+    is_head, is_end = F.col("line").rlike(HEAD_RE), F.col("line").rlike(END_RE)
+    matters = is_head
+    for n in fields:
+        matters = matters | F.col(f"_c_{n}").isNotNull()
+    # an end that counts from the second line after a head is placed one line before its own, behind that line
+    at = F.col("line_no") - (0 if offset_one_ends else 1)
+    places = F.array(F.when(matters, F.struct(F.col("line_no").alias("pos"), F.lit(0).alias("mark"), F.lit(None).cast("int").alias("end"))),
+                     F.when(is_end, F.struct(at.alias("pos"), F.lit(1).alias("mark"), F.col("line_no").cast("int").alias("end"))))
+    df = df.filter(matters | is_end).withColumn("_p", F.explode(F.filter(places, lambda x: x.isNotNull())))
+    df = df.select("file", "line_no", "line", "_p.pos", "_p.mark", "_p.end",
+                   *[F.when(F.col("_p.mark") == 0, F.col(f"_c_{n}")).alias(f"_c_{n}") for n in fields])
+    values = {f"_n_{n}": F.when(F.col(f"_c_{n}").isNotNull(), F.struct(F.col("line_no").alias("n"), F.col(f"_c_{n}").alias("v")))
+              for n in fields}
+    df = _carry(df, {"_last": F.col("end"), **values}, chunk_lines, forward=False, own=False, order=("pos", "mark"))
+    heads = df.filter((F.col("mark") == 0) & F.col("line").rlike(HEAD_RE))
     return heads.select(
         "file", F.col("line_no").alias("head_line"),
         F.regexp_extract("line", HEAD_RE, 2).alias("test_instance_name"),
         F.regexp_extract("line", HEAD_RE, 1).alias("test_method"),
-        *[F.when(F.col(f"_n_{n}")["n"] <= last, F.col(f"_n_{n}")["v"]).alias(n) for n in fields])
+        *[F.when(F.col("_last").isNull() | (F.col(f"_n_{n}")["n"] <= F.col("_last")), F.col(f"_n_{n}")["v"]).alias(n)
+          for n in fields])
 
 
-def _config_candidate(lines: DataFrame) -> DataFrame:
+def _config_candidate(lines: DataFrame, chunk_lines: int) -> DataFrame:
     """Adds ``_cfg``: the Configuration value a line would give. A line with
     'Configuration' but without both '=' and ';' is joined (with spaces) with
-    the following lines up to the first one holding ';' (at most 9)."""
-    w = _desc()
+    the following lines up to the first one holding ';', which must not lie
+    behind the next block end. Only the lines of such spans are gathered,
+    one group per span."""
     line = F.col("line")
-    ahead = F.filter(F.array(*[F.lag("line", k).over(w) for k in range(1, CONFIG_LOOKAHEAD + 1)]),
-                     lambda x: x.isNotNull())
-    df = lines.withColumn("_ahead", ahead)
-    has_cfg = line.contains("Configuration")
-    single = has_cfg & line.contains("=") & line.contains(";")
-    semi = F.array_position(F.transform("_ahead", lambda x: x.contains(";")), True)
-    taken = F.when(semi > 0, F.slice("_ahead", 1, semi)).otherwise(F.col("_ahead"))
-    joined = F.concat_ws(" ", F.concat(F.array(line), taken))
-    cfg = F.when(single, _extract(line, CONFIG_RE)).when(has_cfg, _extract(joined, CONFIG_RE))
-    return df.withColumn("_cfg", _strip(cfg)).drop("_ahead")
+    has_cfg, has_semi, is_end = line.contains("Configuration"), line.contains(";"), line.rlike(END_RE)
+    single = has_cfg & line.contains("=") & has_semi
+    df = _carry(lines.filter((has_cfg & ~single) | has_semi | is_end),
+                {"_semi": F.when(has_semi, F.col("line_no")), "_stop": F.when(is_end, F.col("line_no"))},
+                chunk_lines, forward=False, own=False)
+    spans = df.filter(has_cfg & ~single & (F.col("_stop").isNull() | (F.col("_semi") <= F.col("_stop"))))
+    members = spans.select("file", F.col("line_no").alias("_from"), F.explode(F.sequence("line_no", "_semi")).alias("line_no"))
+    texts = (members.join(lines.select("file", "line_no", "line"), ["file", "line_no"])
+             .groupBy("file", "_from").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_lines")))
+    joined = F.concat_ws(" ", F.transform("_lines", lambda x: x["line"]))
+    texts = texts.select("file", F.col("_from").alias("line_no"), _extract(joined, CONFIG_RE).alias("_multi"))
+    out = lines.join(texts, ["file", "line_no"], "left")
+    return out.withColumn("_cfg", _strip(F.coalesce(F.when(single, _extract(line, CONFIG_RE)), F.col("_multi")))).drop("_multi")
 
 
 def extract_instances(lines: DataFrame, rule_marker: str = RULE_MARKER,
@@ -140,15 +131,14 @@ def extract_instances(lines: DataFrame, rule_marker: str = RULE_MARKER,
     """T2 (+ P15): leakage test instances with name, method, test type,
     bypass port, configuration and the four rule parameters (hot, cold,
     phm-hot, all; hot is the primary configuration of a rule call).
-    Missing values are 'UNKNOWN'. One sort per file, no shuffle beyond the
-    partitioning by file."""
-    df = _config_candidate(_with_chunks(lines, chunk_lines, HALO))
+    Missing values are 'UNKNOWN'; a block is searched to its end."""
+    df = _config_candidate(lines, chunk_lines)
     fields = {
         "test_type": _extract(F.col("line"), TEST_TYPE_RE),
         "bypass_port": _strip(_extract(F.col("line"), BYPASS_RE)),
         "raw_config": F.col("_cfg"),
     }
-    df = _scan_blocks(df, FULL_WINDOW, False, fields)
+    df = _scan_blocks(df, False, fields, chunk_lines)
     raw = F.coalesce(F.col("raw_config"), F.lit(UNKNOWN))
     is_rule = raw.contains(rule_marker)
     params = F.when(is_rule, F.regexp_extract_all(raw, F.lit(PARAM_RE), 1)).otherwise(F.array().cast("array<string>"))
@@ -172,10 +162,9 @@ def extract_instances(lines: DataFrame, rule_marker: str = RULE_MARKER,
 
 
 def extract_instances_lite(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """Name, method and bypass port; 29-line window that stops at the
-    next 'Test ' line (the line right after the head included)."""
-    df = _scan_blocks(_with_chunks(lines, chunk_lines, HALO), LITE_WINDOW, True,
-                      {"bypass_port": _strip(_extract(F.col("line"), BYPASS_RE))})
+    """Name, method and bypass port; the block stops at the next 'Test '
+    line (the line right after the head included)."""
+    df = _scan_blocks(lines, True, {"bypass_port": _strip(_extract(F.col("line"), BYPASS_RE))}, chunk_lines)
     return df.select("file", "head_line", F.col("test_instance_name").alias("instance_name"), "test_method",
                      F.coalesce(F.col("bypass_port"), F.lit(UNKNOWN)).alias("bypass_port"))
 
@@ -195,114 +184,97 @@ def instance_counts(instances: DataFrame, method_col: str = "test_method",
 
 # ---------------------------------------------------------------- T4 limits
 
-# Limit-block heads, the six (high, low) pattern pairs in
-# priority order (the last pair is the commented form), the value used
-# when a side has no match, and the marker put before commented values.
-LIMIT_HEAD_RE = r"^(#?)\s*Test\s+iCShopsTest\s*(\S+)(.*)$"
+# Limit-block heads, the five (high, low) pattern pairs in
+# priority order, and the value used when a side has no match.
+LIMIT_HEAD_RE = r"^(#?)\s*Test\s+iCShopsTest(.*)$"
 LIMIT_BOUNDARY_RE = r"^\s*(?:#\s*)?Test\s+iCShopsTest"
 LIMIT_PATTERNS = [
     (r'(?:upper|lower)_diode_limit_high\s*=\s*TPI_SHOPS_Rules\.Selector_(?:UPPER|LOWER)DIODE_limit_high_EVG\s*\(\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\)',
-     r'(?:upper|lower)_diode_limit_low\s*=\s*TPI_SHOPS_Rules\.Selector_(?:UPPER|LOWER)DIODE_limit_low_EVG\s*\(\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\)',
-     False),
+     r'(?:upper|lower)_diode_limit_low\s*=\s*TPI_SHOPS_Rules\.Selector_(?:UPPER|LOWER)DIODE_limit_low_EVG\s*\(\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\)'),
     (r'(?:upper|lower)_diode_limit_high\s*=\s*[^(]*\(\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\)',
-     r'(?:upper|lower)_diode_limit_low\s*=\s*[^(]*\(\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\)',
-     False),
+     r'(?:upper|lower)_diode_limit_low\s*=\s*[^(]*\(\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\)'),
     (r'(?:upper|lower)_diode_limit_high\s*=\s*[^(]*\(\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,\)]+)\s*\)',
-     r'(?:upper|lower)_diode_limit_low\s*=\s*[^(]*\(\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,\)]+)\s*\)',
-     False),
+     r'(?:upper|lower)_diode_limit_low\s*=\s*[^(]*\(\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,\)]+)\s*\)'),
     (r'(?:upper|lower)_diode_limit_high\s*\(\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\)',
-     r'(?:upper|lower)_diode_limit_low\s*\(\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\)',
-     False),
+     r'(?:upper|lower)_diode_limit_low\s*\(\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\)'),
     (r'(?:upper|lower)_diode_limit_high\s*\(\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,\)]+)\s*\)',
-     r'(?:upper|lower)_diode_limit_low\s*\(\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,\)]+)\s*\)',
-     False),
-    (r'#\s*(?:upper|lower)_diode_limit_high\s*=\s*[^(]*\(\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\)',
-     r'#\s*(?:upper|lower)_diode_limit_low\s*=\s*[^(]*\(\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\)',
-     True),
+     r'(?:upper|lower)_diode_limit_low\s*\(\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,]+)\s*,\s*([^,\)]+)\s*\)'),
 ]
 LIMIT_DEFAULT = "N/A"
-COMMENT_PREFIX = "注释:"
 CONDITIONS = ("PHMCOLD", "PHMHOT", "CLASSCOLD", "CLASSHOT", "ALL")
 
 
 def limit_blocks(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """W5 for limit blocks: a block runs from a head to the line before the
     next boundary line (a head, commented or not, indented or not).
-    Returns (file, block_line, test_name, commented, body) for blocks that
-    open with a head; the body is the rest of the head line and the block's
-    lines joined with newlines (a block is the unit the patterns search, so
-    it is one group; blocks are small, files need not be).
-
-    Block numbers are a running count of boundary lines, computed per chunk
-    of the file plus the count of the earlier chunks (a prefix sum over
-    one row per chunk), so a long file is many tasks."""
-    boundary = F.col("line").rlike(LIMIT_BOUNDARY_RE)
-    c = F.floor(F.col("line_no") / F.lit(chunk_lines)).cast("long")
-    df = lines.withColumn("_chunk", c).withColumn("_b", F.when(boundary, 1).otherwise(0))
-    w = Window.partitionBy("file", "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding,
-                                                                             Window.currentRow)
-    df = df.withColumn("_local", F.sum("_b").over(w))
-    counts = df.groupBy("file", "_chunk").agg(F.sum("_b").alias("_cnt"))
-    before = Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("file", "_chunk", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    df = (df.join(offsets, ["file", "_chunk"], "left")
-            .withColumn("_block", F.col("_local") + F.col("_off")))
-    head = F.col("line").rlike(LIMIT_HEAD_RE)
-    piece = F.when(head & boundary, F.regexp_extract("line", LIMIT_HEAD_RE, 3)).otherwise(F.col("line"))
-    g = df.groupBy("file", "_block").agg(
-        F.min(F.when(head & boundary, F.struct(F.col("line_no").alias("n"), F.col("line").alias("l")))).alias("_h"),
+    Returns (file, block_line, test_name, body) for blocks that open with a
+    head which is not commented and whose name does not end with '_FF'; the
+    body is what follows the name, lines joined with newlines. A head may be
+    spread over lines: a '#' alone on the line before comments it, and the
+    name may be on the line after it.
+
+    Every line learns its block's head from the nearest boundary line before
+    it; lines of no block, or of one that is left out, are dropped there, so
+    only wanted blocks (the unit the patterns search; a few lines in
+    program files) are gathered."""
+    text = F.col("line")
+    boundary, head = text.rlike(LIMIT_BOUNDARY_RE), text.rlike(LIMIT_HEAD_RE)
+    filled = _strip(text)
+    df = _carry(lines, {"_above": F.when(filled != "", filled)}, chunk_lines, forward=True, own=False)
+    commented = (F.regexp_extract(text, LIMIT_HEAD_RE, 1) == "#") | F.coalesce(F.col("_above") == "#", F.lit(False))
+    same_line = F.regexp_extract(text, LIMIT_HEAD_RE, 2)
+    name = F.regexp_extract(same_line, r"^\s*(\S+)", 1)
+    event = F.when(boundary, F.struct(F.col("line_no").alias("n"), (head & ~commented & ~name.endswith("_FF")).alias("wanted")))
+    df = _carry_forward(df, event, "_head", chunk_lines).filter(F.col("_head")["wanted"])
+    piece = F.when(F.col("line_no") == F.col("_head")["n"], same_line).otherwise(text)
+    g = df.groupBy("file", F.col("_head")["n"].alias("block_line")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("n"), piece.alias("p")))).alias("_parts"))
-    g = g.filter(F.col("_h").isNotNull() & (F.col("_h")["n"] == F.col("_parts")[0]["n"]))
-    hl = F.col("_h")["l"]
-    return g.select(
-        "file", F.col("_h")["n"].alias("block_line"),
-        F.regexp_extract(hl, LIMIT_HEAD_RE, 2).alias("test_name"),
-        (F.regexp_extract(hl, LIMIT_HEAD_RE, 1) == "#").alias("commented"),
-        F.array_join(F.transform("_parts", lambda x: x["p"]), "\n").alias("body"))
+    whole = F.array_join(F.transform("_parts", lambda x: x["p"]), "\n")
+    g = g.select("file", "block_line", whole.alias("_text"))
+    return (g.select("file", "block_line", F.regexp_extract("_text", r"^\s*(\S+)", 1).alias("test_name"),
+                     F.regexp_replace("_text", r"^\s*\S+", "").alias("body"))
+             .filter((F.col("test_name") != "") & ~F.col("test_name").endswith("_FF")))
 
 
 def extract_limits(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """T4 (+ P12, W10): one row per (category, test name) with the five
+    """T4 (+ P12, W10): one row per (file, category, test name) with the five
     high and five low limits. Commented heads and names ending '_FF' are
     skipped. The first pattern pair where the high or the low side matches
     gives both sides (the other side stays 'N/A'). When a (category, test
-    name) appears twice, the later block wins.
+    name) appears twice in a file, the later block wins.
 
     The winning pair's index is found first; its two patterns are then
     picked as column values, so each limit is a single ``regexp_extract``
     rather than a chain over all pairs."""
-    b = limit_blocks(lines, chunk_lines).filter(~F.col("commented") & ~F.col("test_name").endswith("_FF"))
+    b = limit_blocks(lines, chunk_lines)
     body = F.col("body")
-    hits = [F.when(body.rlike(hi) | body.rlike(lo), F.lit(k + 1)) for k, (hi, lo, _) in enumerate(LIMIT_PATTERNS)]
+    hits = [F.when(body.rlike(hi) | body.rlike(lo), F.lit(k + 1)) for k, (hi, lo) in enumerate(LIMIT_PATTERNS)]
     b = b.withColumn("_pair", F.coalesce(*hits))
     pick = F.col("_pair")
     hi_pat = F.element_at(F.array(*[F.lit(p[0]) for p in LIMIT_PATTERNS]), pick)
     lo_pat = F.element_at(F.array(*[F.lit(p[1]) for p in LIMIT_PATTERNS]), pick)
-    commented = F.element_at(F.array(*[F.lit(p[2]) for p in LIMIT_PATTERNS]), pick)
     # rows of one pair side by side: the per-row pattern is compiled once per run of rows
-    b = (b.withColumn("_hp", hi_pat).withColumn("_lp", lo_pat).withColumn("_cm", commented)
-          .sortWithinPartitions("_pair"))
+    b = b.withColumn("_hp", hi_pat).withColumn("_lp", lo_pat).sortWithinPartitions("_pair")
 
     def side(pat: str, i: int) -> Column:
         ok = F.col("_pair").isNotNull() & F.regexp(body, F.col(pat))
         v = F.call_function("regexp_extract", body, F.col(pat), F.lit(i))
         v = _strip(F.regexp_replace(v, r"""^["']+|["']+\z""", ""))
-        v = F.when(F.col("_cm") & (v != LIMIT_DEFAULT), F.concat(F.lit(COMMENT_PREFIX), v)).otherwise(v)
         return F.when(ok, v).otherwise(F.lit(LIMIT_DEFAULT))
 
     cols = [side("_hp", i + 1).alias(f"{c}_high") for i, c in enumerate(CONDITIONS)] + \
            [side("_lp", i + 1).alias(f"{c}_low") for i, c in enumerate(CONDITIONS)]
     df = b.select("file", "block_line", diode_category(F.col("test_name")).alias("category"), "test_name", *cols)
     values = [c for c in df.columns if c.endswith(("_high", "_low"))]
-    # The later block (file, then line) wins per (category, test name)
-    g = df.groupBy("category", "test_name").agg(F.max(F.struct("file", "block_line", *values)).alias("_r"))
-    return g.select("category", "test_name", *[F.col("_r")[c].alias(c) for c in values])
+    # The later block wins per (file, category, test name)
+    g = df.groupBy("file", "category", "test_name").agg(F.max(F.struct("block_line", *values)).alias("_r"))
+    return g.select("file", "category", "test_name", *[F.col("_r")[c].alias(c) for c in values])
 
 
 def limits_long(wide: DataFrame) -> DataFrame:
-    """Wide limits -> one row per (condition, category, test name)."""
+    """Wide limits -> one row per (file, condition, category, test name)."""
     pairs = ", ".join(f"'{c}', {c}_high, {c}_low" for c in CONDITIONS)
-    return wide.selectExpr("category", "test_name",
+    return wide.selectExpr("file", "category", "test_name",
                            f"stack({len(CONDITIONS)}, {pairs}) AS (condition, high_limit, low_limit)")
 
 
@@ -330,13 +302,10 @@ def extract_pin_groups(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> Data
 
 
 def pins_per_group(pins: DataFrame) -> DataFrame:
-    """Pins per group with the group's first-seen position (file,
-    line) for ordering."""
-    return pins.groupBy("pin_group").agg(
-        F.count(F.lit(1)).alias("pin_count"),
-        F.min(F.struct("file", "line_no")).alias("_first")
-    ).select("pin_group", "pin_count", F.col("_first")["file"].alias("first_file"),
-             F.col("_first")["line_no"].alias("first_line"))
+    """Pins per (file, group) with the group's first-seen line for
+    ordering; equal names in different files are different groups."""
+    return pins.groupBy("file", "pin_group").agg(
+        F.count(F.lit(1)).alias("pin_count"), F.min("line_no").alias("first_line"))
 
 
 # ------------------------------------------------------------ T6 resources
@@ -373,13 +342,12 @@ def extract_resources(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataF
 ID_CHARS = "[A-Za-z0-9_-]+"
 
 
-def extract_ids(df: DataFrame, key: str, text_col: str, label_re: str, max_ids: int | None = None) -> DataFrame:
-    """T9 (+ W9): ids following a label in each text, distinct per text in
-    first-seen order, at most ``max_ids`` per text (the expected count)."""
+def extract_ids(df: DataFrame, key: str, text_col: str, label_re: str) -> DataFrame:
+    """T9 (+ W9): all ids following a label in each text, distinct per text in
+    first-seen order; ``seq`` numbers them, so a caller that expects n ids
+    can keep ``seq <= n``."""
     pattern = f"{label_re}\\s*({ID_CHARS})"
     found = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 1)).alias("pos", "id"))
     first = found.groupBy(key, "id").agg(F.min("pos").cast("long").alias("first_pos"))
     seq = F.row_number().over(Window.partitionBy(key).orderBy("first_pos")).cast("long")
-    if max_ids is None:
-        return first.withColumn("seq", seq)
-    return first.withColumn("seq", seq).filter(F.col("seq") <= max_ids)
+    return first.withColumn("seq", seq)

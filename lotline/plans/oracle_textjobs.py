@@ -36,14 +36,16 @@ multi_src AS (
 semi_ AS (
   SELECT a.file, a.line_no, min(b.line_no) AS semi_line
   FROM multi_src a JOIN instance_program_lines b
-    ON b.file = a.file AND b.line_no BETWEEN a.line_no + 1 AND a.line_no + {T.CONFIG_LOOKAHEAD} AND strpos(b.line, ';') > 0
+    ON b.file = a.file AND b.line_no > a.line_no AND strpos(b.line, ';') > 0
   GROUP BY a.file, a.line_no
 ),
 joined AS (
   SELECT a.file, a.line_no, string_agg(b.line, ' ' ORDER BY b.line_no) AS txt
-  FROM multi_src a LEFT JOIN semi_ s ON s.file = a.file AND s.line_no = a.line_no
+  FROM multi_src a JOIN semi_ s ON s.file = a.file AND s.line_no = a.line_no
   JOIN instance_program_lines b
-    ON b.file = a.file AND b.line_no BETWEEN a.line_no AND COALESCE(s.semi_line, a.line_no + {T.CONFIG_LOOKAHEAD})
+    ON b.file = a.file AND b.line_no BETWEEN a.line_no AND s.semi_line
+  WHERE NOT EXISTS (SELECT 1 FROM instance_program_lines e WHERE e.file = a.file AND e.line_no > a.line_no
+                    AND e.line_no < s.semi_line AND regexp_matches(e.line, {q(T.END_RE)}))
   GROUP BY a.file, a.line_no
 ),
 cand AS (
@@ -56,7 +58,7 @@ cand AS (
 )"""
 
 
-def heads_cte(window: int, first_end_offset: int) -> str:
+def heads_cte(first_end_offset: int) -> str:
     return f"""
 heads AS (
   SELECT file, line_no AS head_line,
@@ -71,12 +73,12 @@ first_end AS (
   GROUP BY h.file, h.head_line
 ),
 bounds AS (
-  SELECT h.*, least(COALESCE(x.end_line, h.head_line + {window}), h.head_line + {window}) AS last_line
+  SELECT h.*, COALESCE(x.end_line, 2147483647) AS last_line
   FROM heads h JOIN first_end x ON x.file = h.file AND x.head_line = h.head_line
 )"""
 
 
-INSTANCES_CTE = IL + "," + CAND + "," + heads_cte(T.FULL_WINDOW, 2) + f""",
+INSTANCES_CTE = IL + "," + CAND + "," + heads_cte(2) + f""",
 fields AS (
   SELECT b.file, b.head_line,
          arg_min(c.c_test_type, c.line_no) FILTER (WHERE c.c_test_type IS NOT NULL) AS test_type,
@@ -111,7 +113,7 @@ instances AS (
 EXTRACT_INSTANCES = f"WITH {INSTANCES_CTE} SELECT * FROM instances"
 
 EXTRACT_INSTANCES_LITE = f"""
-WITH {IL}, {heads_cte(T.LITE_WINDOW, 1)},
+WITH {IL}, {heads_cte(1)},
 cand AS (SELECT file, line_no, {strip(ext('line', T.BYPASS_RE))} AS c_bypass FROM instance_program_lines),
 first_ AS (
   SELECT b.file, b.head_line, arg_min(c.c_bypass, c.line_no) FILTER (WHERE c.c_bypass IS NOT NULL) AS bypass_port
@@ -146,8 +148,9 @@ PROGRAM_LINES = f"WITH {IL} SELECT * FROM instance_program_lines"
 # ---------------------------------------------------------------- limits
 
 LL = template_sql("limits_program")
-_HEAD = T.LIMIT_HEAD_RE
-_BOUND = T.LIMIT_BOUNDARY_RE
+_HEAD = r"^(#?)\s*Test\s+iCShopsTest(.*)$"
+_NAME = r"^\s*(\S+)"
+_BOUND = r"^\s*(?:#\s*)?Test\s+iCShopsTest"
 
 
 def _val(side: int, i: int) -> str:
@@ -157,15 +160,13 @@ def _val(side: int, i: int) -> str:
         pat = pair[side]
         v = f"regexp_replace(regexp_extract(body, {q(pat)}, {i}), {q(chr(94) + '[\"' + chr(39) + ']+|[\"' + chr(39) + ']+' + chr(92) + 'z')}, '', 'g')"
         v = strip(v)
-        if pair[2]:
-            v = f"CASE WHEN {v} <> {q(T.LIMIT_DEFAULT)} THEN {q(T.COMMENT_PREFIX)} || {v} ELSE {v} END"
         branches.append(f"WHEN pair = {k} AND regexp_matches(body, {q(pat)}) THEN {v}")
     return f"CASE {' '.join(branches)} ELSE {q(T.LIMIT_DEFAULT)} END"
 
 
 _PAIR = "COALESCE(" + ", ".join(
     f"CASE WHEN regexp_matches(body, {q(hi)}) OR regexp_matches(body, {q(lo)}) THEN {k} END"
-    for k, (hi, lo, _) in enumerate(T.LIMIT_PATTERNS, start=1)) + ")"
+    for k, (hi, lo) in enumerate(T.LIMIT_PATTERNS, start=1)) + ")"
 
 _VALUES = ",\n".join(
     [f"{_val(0, i + 1)} AS {c}_high" for i, c in enumerate(T.CONDITIONS)]
@@ -173,7 +174,9 @@ _VALUES = ",\n".join(
 
 LIMITS_WIDE_CTE = LL + f""",
 lb AS (
-  SELECT *, regexp_matches(line, {q(_BOUND)}) AS is_bound, regexp_matches(line, {q(_HEAD)}) AS is_head
+  SELECT *, regexp_matches(line, {q(_BOUND)}) AS is_bound, regexp_matches(line, {q(_HEAD)}) AS is_head,
+         last_value(nullif({strip('line')}, '') IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above
   FROM limits_program_lines
 ),
 lb2 AS (
@@ -182,18 +185,16 @@ lb2 AS (
   FROM lb
 ),
 blocks AS (
-  SELECT file, blk,
-         min(line_no) FILTER (WHERE is_head AND is_bound) AS block_line,
-         min(line_no) AS first_line,
-         arg_min(line, line_no) FILTER (WHERE is_head AND is_bound) AS head_text,
-         string_agg(CASE WHEN is_head AND is_bound THEN regexp_extract(line, {q(_HEAD)}, 3) ELSE line END, chr(10)
-                    ORDER BY line_no) AS body
-  FROM lb2 GROUP BY file, blk
+  SELECT file, blk, min(line_no) AS block_line, bool_or(is_head AND is_bound) AS has_head,
+         bool_or(is_bound AND (regexp_extract(line, {q(_HEAD)}, 1) = '#' OR COALESCE(above = '#', false))) AS commented,
+         string_agg(CASE WHEN is_head AND is_bound THEN regexp_extract(line, {q(_HEAD)}, 2) ELSE line END, chr(10)
+                    ORDER BY line_no) AS txt
+  FROM lb2 WHERE blk > 0 GROUP BY file, blk
 ),
 named AS (
-  SELECT file, block_line, regexp_extract(head_text, {q(_HEAD)}, 2) AS test_name,
-         regexp_extract(head_text, {q(_HEAD)}, 1) = '#' AS commented, body
-  FROM blocks WHERE block_line IS NOT NULL AND block_line = first_line
+  SELECT file, block_line, regexp_extract(txt, {q(_NAME)}, 1) AS test_name, commented,
+         regexp_replace(txt, {q(_NAME)}, '') AS body
+  FROM blocks WHERE has_head
 ),
 kept AS (SELECT *, {_PAIR} AS pair FROM named WHERE NOT commented AND NOT suffix(test_name, '_FF')),
 vals AS (
@@ -205,16 +206,16 @@ vals AS (
   FROM kept
 ),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY category, test_name ORDER BY file DESC, block_line DESC) AS rn FROM vals
+  SELECT *, row_number() OVER (PARTITION BY file, category, test_name ORDER BY block_line DESC) AS rn FROM vals
 ),
-limits_wide AS (SELECT * EXCLUDE (file, block_line, rn) FROM ranked WHERE rn = 1)"""
+limits_wide AS (SELECT * EXCLUDE (block_line, rn) FROM ranked WHERE rn = 1)"""
 
 EXTRACT_LIMITS = f"WITH {LIMITS_WIDE_CTE} SELECT * FROM limits_wide"
 
 LIMITS_LONG = f"""
 WITH {LIMITS_WIDE_CTE}
 """ + " UNION ALL ".join(
-    f"SELECT category, test_name, '{c}' AS condition, {c}_high AS high_limit, {c}_low AS low_limit FROM limits_wide"
+    f"SELECT file, category, test_name, '{c}' AS condition, {c}_high AS high_limit, {c}_low AS low_limit FROM limits_wide"
     for c in T.CONDITIONS)
 
 # ---------------------------------------------------------------- pins
@@ -243,13 +244,8 @@ pins AS (
 PIN_GROUPS = f"WITH {PINS_CTE} SELECT * FROM pins"
 
 PINS_PER_GROUP = f"""
-WITH {PINS_CTE},
-firsts AS (
-  SELECT *, row_number() OVER (PARTITION BY pin_group ORDER BY file, line_no) AS rn,
-         count(*) OVER (PARTITION BY pin_group) AS pin_count
-  FROM pins
-)
-SELECT pin_group, pin_count, file AS first_file, line_no AS first_line FROM firsts WHERE rn = 1
+WITH {PINS_CTE}
+SELECT file, pin_group, count(*) AS pin_count, min(line_no) AS first_line FROM pins GROUP BY file, pin_group
 """
 
 GROUPS_CTE = LIMITS_CTE + ", " + PINS_CTE + """,
@@ -304,7 +300,7 @@ WITH x AS (
 u AS (SELECT page_id, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM x),
 f AS (SELECT page_id, id, min(pos) AS first_pos FROM u GROUP BY page_id, id),
 s AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY first_pos) AS seq FROM f)
-SELECT * FROM s WHERE seq <= 5
+SELECT * FROM s
 """
 
 # ---------------------------------------------------------------- limits join

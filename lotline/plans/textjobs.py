@@ -76,14 +76,13 @@ def q_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textjobs.extract_resources(programs.program_lines(spark, sf_dir, "resource_program"))
 
 
-# Fixed value of the page-id job: links are the labelled ids, five per page.
+# Fixed value of the page-id job: links are the labelled ids.
 PAGE_LABEL = 'href="/'
-PAGE_IDS = 5
 
 
 def q_page_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
-    return textjobs.extract_ids(pages, "page_id", "html", PAGE_LABEL, PAGE_IDS)
+    return textjobs.extract_ids(pages, "page_id", "html", PAGE_LABEL)
 
 
 def q_limits_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,12 +59,19 @@ def test_instances_lite_stops_at_next_test(spark):
     assert out == {"A1": "1", "B2": "UNKNOWN", "C3": "-1"}
 
 
-def test_window_cap(spark):
-    text = "Test PrimeDcLeakageTestMethod Z\n" + "\n" * 48 + "BypassPort = 3;\nBypassPort = 4;\n"
-    out = textjobs.extract_instances(lines(spark, text)).collect()
-    assert out[0].bypass_port == "3"                 # line 49 after the head is inside
-    text = "Test PrimeDcLeakageTestMethod Z\n" + "\n" * 49 + "BypassPort = 4;\n"
-    assert textjobs.extract_instances(lines(spark, text)).collect()[0].bypass_port == "UNKNOWN"
+def test_field_far_down_the_block(spark):
+    text = "Test PrimeDcLeakageTestMethod Z\n" + "\n" * 199 + "TestType = \"VSS\";\n" + "x\n" * 20 + \
+        "BypassPort = 4;\nConfiguration =\n" + "  part\n" * 30 + "  \"REAL\";\n" + "Test Other O\nBypassPort = 9;\n"
+    for chunk in (3, 50_000):
+        r = textjobs.extract_instances(lines(spark, text), chunk_lines=chunk).collect()[0]
+        assert (r.test_type, r.bypass_port) == ("VSS", "4") and r.configuration.endswith("REAL")
+        lite = textjobs.extract_instances_lite(lines(spark, text), chunk_lines=chunk).collect()
+        assert [x.bypass_port for x in lite] == ["4"]
+
+
+def test_configuration_does_not_cross_the_block_end(spark):
+    text = "Test PrimeDcLeakageTestMethod Z\n{\nConfiguration =\nTest Other O\n\"X\";\n"
+    assert textjobs.extract_instances(lines(spark, text)).collect()[0].configuration == "UNKNOWN"
 
 
 def test_instance_counts(spark):
@@ -111,6 +118,21 @@ def test_limits(spark):
     assert ("LOWERDIODE_B", "ALL", "5") in long and len(long) == 10
 
 
+def test_limits_are_per_file(spark):
+    df = spark.createDataFrame([("a", LIMITS), ("b", LIMITS.replace('"1"', '"8"')), ("none", "x\n" * 50)], "file string, text string")
+    wide = textjobs.extract_limits(lines_from_text(df))
+    assert rows(wide, "file", "test_name") == [(f, t) for f in "ab" for t in ("LOWERDIODE_B", "UPPERDIODE_A")]
+    assert textjobs.limits_long(wide).count() == 20
+
+
+def test_limit_heads_over_two_lines(spark):
+    text = ("#\n  Test iCShopsTest UPPERDIODE_GONE\nupper_diode_limit_high(1, 1, 1, 1, 1)\n"
+            "Test iCShopsTest\n\n  LOWERDIODE_NEXT\n{\nlower_diode_limit_low(2, 3, 4, 5, 6)\n}\n")
+    for chunk in (2, 50_000):
+        got = textjobs.extract_limits(lines(spark, text, "l.mtpl"), chunk_lines=chunk)
+        assert rows(got, "test_name", "PHMCOLD_low", "ALL_low") == [("LOWERDIODE_NEXT", "2", "6")]
+
+
 PINS = """header
 Group LANE_A
 {
@@ -152,14 +174,20 @@ def test_resources(spark):
                    ("R1", "IP_D", ""), ("R2", "IP_E", ""), ("R2", "IP_F", ""), ("R2", "IP_G", "2")]
 
 
-def test_ids_first_seen_distinct_capped(spark):
-    df = spark.createDataFrame([(1, "VPO  A1 x VPO B2 VPO A1 VPO C3 VPO D4")], "k int, t string")
-    got = rows(textjobs.extract_ids(df, "k", "t", "VPO", 3), "seq", "id")
-    assert got == [(1, "A1"), (2, "B2"), (3, "C3")]
+def test_ids_first_seen_distinct(spark):
+    df = spark.createDataFrame([(1, "VPO  A1 x VPO B2 VPO A1 VPO C3 VPO D4 " + " ".join(f"VPO E{i}" for i in range(40)))], "k int, t string")
+    got = rows(textjobs.extract_ids(df, "k", "t", "VPO"), "seq", "id")
+    assert len(got) == 44 and {(1, "A1"), (2, "B2"), (3, "C3"), (4, "D4"), (44, "E39")} <= set(got)
+
+
+def test_pins_per_group_by_file(spark):
+    df = spark.createDataFrame([("a", PINS), ("b", PINS)], "file string, text string")
+    got = rows(textjobs.pins_per_group(textjobs.extract_pin_groups(lines_from_text(df))), "file", "pin_group", "pin_count")
+    assert got == [(f, g, n) for f in "ab" for g, n in (("LANE_A", 3), ("LANE_B", 1), ("LANE_C", 1))]
 
 
 def test_small_chunks_give_same_results(spark):
-    """Chunk boundaries (with their halo) must not change any result."""
+    """Chunk boundaries must not change any result."""
     big = PROGRAM * 3
     ls = lines(spark, big)
     for fn in (textjobs.extract_instances, textjobs.extract_instances_lite):
