@@ -23,8 +23,8 @@ def q_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.diff_counts(q_change_log(spark, sf_dir))
+    return diff.diff_counts(adapters.snapshot_new(spark, sf_dir), adapters.snapshot_old(spark, sf_dir))
 
 
 def q_diff_counts_dropna(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.diff_counts(q_change_log(spark, sf_dir), dropna=True)
+    return diff.diff_counts(adapters.snapshot_new(spark, sf_dir), adapters.snapshot_old(spark, sf_dir), dropna=True)

@@ -159,11 +159,17 @@ def snapshot_old(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
-    kept = o.filter(SNAP_NEW_KEEP).selectExpr(*SNAPSHOT_SQL["snap_new"])
-    repeated = o.filter(SNAP_NEW_REPEAT).selectExpr(*SNAPSHOT_SQL["snap_new"])
-    models = o.filter(SNAP_NEW_MODELS).selectExpr(*SNAPSHOT_SQL["snap_new_models"])
-    return kept.unionByName(repeated).unionByName(models)
+    """One scan: each order gives its row, its repeat and its renamed model as far as it has them."""
+    rows = [f"CASE WHEN {cond} THEN named_struct({', '.join(_field(c) for c in SNAPSHOT_SQL[name])}) END"
+            for cond, name in ((SNAP_NEW_KEEP, "snap_new"), (SNAP_NEW_REPEAT, "snap_new"), (SNAP_NEW_MODELS, "snap_new_models"))]
+    picked = f"filter(array({', '.join(rows)}), x -> x IS NOT NULL)"
+    return read_table(spark, sf_dir, "orders").selectExpr(f"inline({picked})")
+
+
+def _field(column: str) -> str:
+    """``expr AS name`` as a struct field."""
+    expr, _, name = column.rpartition(" AS ")
+    return f"'{name}', {expr}"
 
 
 def snapshot_sql() -> str:

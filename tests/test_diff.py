@@ -16,10 +16,26 @@ def test_anti_join_semantics(spark):
 
 
 def test_counts_keep_null_groups(spark):
-    ch = spark.createDataFrame([("Added", "x", None), ("Added", "x", None), ("Removed", "y", "1")],
-                               "modify_flag string, a string, b string")
-    assert rows(diff.diff_counts(ch, ["a", "b"])) == [("Added", "x", None, 2), ("Removed", "y", "1", 1)]
-    assert rows(diff.diff_counts(ch, ["a", "b"], dropna=True)) == [("Removed", "y", "1", 1)]
+    new = spark.createDataFrame([("x", None, 1), ("x", None, 2), ("z", "3", 1)], "a string, b string, c int")
+    old = spark.createDataFrame([("y", "1", 1), ("z", "3", 1)], "a string, b string, c int")
+    cols = ["a", "b", "c"]
+    assert rows(diff.diff_counts(new, old, ["a", "b"], columns=cols)) == [("Added", "x", None, 2), ("Removed", "y", "1", 1)]
+    assert rows(diff.diff_counts(new, old, ["a", "b"], dropna=True, columns=cols)) == [("Removed", "y", "1", 1)]
+
+
+def test_hot_row(spark):
+    new = spark.range(5_000_000).selectExpr("'hot' AS k", "CAST(NULL AS STRING) AS v")
+    old = spark.createDataFrame([("cold", "x")], "k string, v string")
+    log = diff.change_log(new, old, ["k", "v"])
+    assert {(r.modify_flag, r.k): r["count"] for r in log.groupBy("modify_flag", "k").count().collect()} == {
+        ("Added", "hot"): 5_000_000, ("Removed", "cold"): 1}
+    assert rows(diff.diff_counts(new, old, ["k"], columns=["k", "v"])) == [("Added", "hot", 5_000_000), ("Removed", "cold", 1)]
+
+
+def test_one_exchange_no_join(spark):
+    df = spark.createDataFrame([("a", "b")], "k string, v string")
+    plan = diff.change_log(df, df, ["k", "v"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
 @settings(max_examples=6, deadline=None)
