@@ -3,9 +3,11 @@
 Plan notes
 * The duration parse is two ``regexp_extract`` calls inside the scan's
   codegen span (no Python per row).
-* The commonest bin is found by one small aggregate and applied as a
+* The commonest bin is found by a scan of its own that reads only the bin and
+  the packed text and shuffles one row per bin and task; it is applied as a
   left-semi join against that one-row result (broadcast: one row by
-  construction).
+  construction) below the aggregate of the main scan. Nothing is stored
+  between the two.
 * Per-unit totals, per-(lot, program) TTG and the per-(DLCP, test) family
   comparison are hash aggregates keyed by what the reference loops over;
   the family comparison is two aggregation levels (program, then
@@ -52,6 +54,11 @@ def parse_durations(df: DataFrame, col: str = "test_result") -> DataFrame:
               .drop(col, "_m"))
 
 
+def matching_rows(df: DataFrame, col: str = "test_result") -> DataFrame:
+    """The rows :func:`parse_durations` keeps, without the numbers."""
+    return df.filter(F.col(col).rlike(DURATION_PATTERN))
+
+
 def most_common_bin(parsed: DataFrame, bin_col: str = "functional_bin") -> DataFrame:
     """A2: one row, the bin with most rows (nulls ignored); a tie goes to the
     smaller bin."""
@@ -59,9 +66,10 @@ def most_common_bin(parsed: DataFrame, bin_col: str = "functional_bin") -> DataF
                   .orderBy(F.col("count").desc(), F.col(bin_col)).limit(1).select(bin_col))
 
 
-def filter_common_bin(parsed: DataFrame, bin_col: str = "functional_bin") -> DataFrame:
-    """Keep the rows of the commonest bin (semi join with the one-row winner)."""
-    return parsed.join(F.broadcast(most_common_bin(parsed, bin_col)), bin_col, "left_semi")
+def common_bin_durations(df: DataFrame, bin_col: str = "functional_bin") -> DataFrame:
+    """T1 for the rows of the commonest bin (semi join with the one-row winner)."""
+    top = F.broadcast(most_common_bin(matching_rows(df), bin_col))
+    return parse_durations(df.join(top, bin_col, "left_semi"))
 
 
 def avg_test_times(filtered: DataFrame) -> DataFrame:
@@ -123,14 +131,6 @@ def duration_cells(parsed: DataFrame) -> DataFrame:
         F.sum("total_time").alias("total_sum"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def common_bin_cells(cells: DataFrame) -> DataFrame:
-    """A2 on pre-aggregated cells: the cells of the bin with most rows."""
-    top = (cells.filter(F.col("functional_bin").isNotNull()).groupBy("functional_bin")
-                .agg(F.sum("n_rows").alias("rows")).orderBy(F.col("rows").desc(), "functional_bin")
-                .limit(1).select("functional_bin"))
-    return cells.join(F.broadcast(top), "functional_bin", "left_semi")
-
-
 def program_delta(filtered: DataFrame, min_units: int = MIN_UNITS) -> DataFrame:
     """A4 on duration rows (already restricted to one bin)."""
     return program_delta_cells(duration_cells(filtered), min_units)

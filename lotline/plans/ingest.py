@@ -22,20 +22,17 @@ EXTRACT_SCHEMA = T.StructType([
     T.StructField("interface_bin", T.StringType()),
     T.StructField("subflow_latest_flag", T.StringType()),
 ])
-EXTRACT_FILES = 8
-FILES_PER_BATCH = 2
 
 
 def q_ingest_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Land the unit extract as CSV files in a fresh folder under the shared
-    checkpoint folder, ingest them with the file-source stream (two files
-    per micro-batch, so several batches), and return the ingested table."""
+    """Land the unit extract as CSV files (one per scan split) in a fresh folder
+    under the shared folder, ingest them with the file-source stream, and
+    return the ingested table."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
     landing, table = f"{root}/landing", f"{root}/table"
     cols = [f.name for f in EXTRACT_SCHEMA.fields]
-    (units(spark, sf_dir).select(*cols).repartition(EXTRACT_FILES)
+    (units(spark, sf_dir).select(*cols)
         .write.option("header", True).csv(landing))
-    q = ingest_extracts(spark, landing, EXTRACT_SCHEMA, table, name="ingest", checkpoint=f"{root}/state",
-                        max_files_per_trigger=FILES_PER_BATCH)
+    q = ingest_extracts(spark, landing, EXTRACT_SCHEMA, table, name="ingest", checkpoint=f"{root}/state")
     q.awaitTermination()
     return spark.read.parquet(table).select(*cols)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lotline.operators import testtime
-from lotline.session import materialize
 from lotline.sources import adapters
 
 
@@ -14,9 +13,8 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Durations of the commonest bin. The parsed table feeds both the bin
-    count and the filter, so it is checkpointed once instead of parsed twice."""
-    return testtime.filter_common_bin(materialize(parsed(spark, sf_dir)))
+    """Durations of the commonest bin: two pruned scans of the packed texts."""
+    return testtime.common_bin_durations(adapters.test_durations(spark, sf_dir))
 
 
 def q_parse_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +22,7 @@ def q_parse_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_common_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return testtime.most_common_bin(parsed(spark, sf_dir))
+    return testtime.most_common_bin(testtime.matching_rows(adapters.test_durations(spark, sf_dir)))
 
 
 def q_avg_test_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,14 +37,9 @@ def q_lot_ttg_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testtime.lot_ttg(filtered(spark, sf_dir), scope="global")
 
 
-def delta_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pre-aggregated durations of the commonest bin (one scan)."""
-    return testtime.common_bin_cells(materialize(testtime.duration_cells(parsed(spark, sf_dir))))
-
-
 def q_program_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return testtime.program_delta_cells(delta_cells(spark, sf_dir))
+    return testtime.program_delta(filtered(spark, sf_dir))
 
 
 def q_top_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return testtime.top_delta(testtime.program_delta_cells(delta_cells(spark, sf_dir)))
+    return testtime.top_delta(q_program_delta(spark, sf_dir))

@@ -7,9 +7,6 @@ local bench run the same code.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every job relies on. AQE re-plans joins from runtime sizes
@@ -19,9 +16,6 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # keep CPU-heavy stages over small shuffle outputs (regex over text
-    # blocks) spread over the cores instead of coalescing them into a few
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     # remove checkpoint files of intermediates once they are garbage collected
@@ -31,8 +25,9 @@ _DEFAULTS = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "lotline") -> SparkSession:
-    """Return the active session, or build a local one for tests and bench."""
+                app_name: str = "lotline", driver_memory: str | None = None) -> SparkSession:
+    """Return the active session, or build a local one for tests and bench
+    (in local mode the driver's memory is the whole engine's)."""
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
@@ -43,49 +38,30 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("LOTLINE_DRIVER_MEMORY", "16g"))
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) create a scratch folder for it. Returns the base folder."""
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: the cluster's ``spark.checkpoint.dir``
+    or, where that is unset, a folder of the warehouse, which every session has
+    and a cluster keeps on shared storage."""
     current = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # no driver-side context (e.g. Spark Connect): the server's setting is used
-        if not current:
-            raise RuntimeError("set spark.checkpoint.dir for this session")
-        return current
-    if current:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(current)
-        return current
-    if sc.getCheckpointDir() is not None:
-        return sc.getCheckpointDir()
-    path = tempfile.mkdtemp(prefix="lotline-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(path)
-    try:
-        spark.conf.set("spark.checkpoint.dir", path)
-    except Exception:  # a core setting may be read-only at runtime
-        pass
-    return path
+    return (current or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch").rstrip("/")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and stream state (never machine-local on a cluster)."""
-    return ensure_checkpoint_dir(spark)
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Make ``checkpoint()`` usable: sets the checkpoint folder only where none is set."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(spark))
+    return shared_dir(spark)
 
 
-def materialize(df):
-    """Compute an intermediate once and cut its lineage: a reliable
-    ``checkpoint`` into the shared ``spark.checkpoint.dir`` (survives the
-    loss of the executors that computed it). Used where several branches of
-    one query read the same expensive input, which Spark would otherwise
-    recompute per branch (inferred filters make the branches' plans differ,
-    so exchange reuse does not apply)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Shared folder for landed files and stream state."""
+    return shared_dir(spark)
