@@ -47,20 +47,26 @@ def resolve_aliases(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> Data
     return out
 
 
+class ExactName(str):
+    """A rule of :func:`resolve_by_rule` that the whole name must equal."""
+
+
 def resolve_by_rule(df: DataFrame, rules: Sequence[tuple[str, Sequence[str]]]) -> dict[str, str]:
-    """Ordered substring rules on lower-case column names.
+    """Ordered rules on trimmed lower-case column names.
 
-    ``rules`` is ``[(target, [substring, ...]), ...]``; a column matches a
-    rule when its lower-case name contains every substring. Rules are tried
-    in order per column and the first hit names the column. When two
-    columns map to one target the later column wins (as in the reference).
-    Returns ``{target: source}``.
+    ``rules`` is ``[(target, rule), ...]``; a rule is an :class:`ExactName`, or
+    substrings that must all be in the name. Rules are tried in order per
+    column and the first hit names the column. Two columns for one target are
+    an error (the reference silently takes the later one). Returns
+    ``{target: source}``.
     """
     found: dict[str, str] = {}
     for col_name in df.columns:
         low = col_name.strip().lower()
-        for target, parts in rules:
-            if all(p in low for p in parts):
+        for target, rule in rules:
+            if low == rule if isinstance(rule, ExactName) else all(p in low for p in rule):
+                if target in found:
+                    raise ValueError(f"columns {found[target]!r} and {col_name!r} both match {target!r}")
                 found[target] = col_name
                 break
     return found
@@ -91,10 +97,11 @@ def optional_predicates(df: DataFrame, *, like: Mapping[str, str] | None = None,
                         equals: Mapping[str, object] | None = None,
                         isin: Mapping[str, Sequence[object]] | None = None,
                         not_in: Mapping[str, Sequence[object]] | None = None,
-                        since_days: Mapping[str, int] | None = None) -> DataFrame:
+                        since_days: Mapping[str, int] | None = None,
+                        today: Column | None = None) -> DataFrame:
     """P24 (+ the SQL form of P6): predicate forms of the saved queries,
     each switched on by passing it. ``not_in`` is SQL three-valued: null rows
-    are dropped."""
+    are dropped. ``since_days`` counts back from ``today`` (the current date)."""
     conds: list[Column] = []
     for c, pat in (like or {}).items():
         conds.append(F.col(c).like(pat))
@@ -107,7 +114,7 @@ def optional_predicates(df: DataFrame, *, like: Mapping[str, str] | None = None,
     for c, vs in (not_in or {}).items():
         conds.append(~F.col(c).isin(list(vs)))
     for c, days in (since_days or {}).items():
-        conds.append(F.col(c) >= F.date_sub(F.current_date(), int(days)))
+        conds.append(F.col(c) >= F.date_sub(F.current_date() if today is None else today, int(days)))
     return df.filter(reduce(lambda a, b: a & b, conds)) if conds else df
 
 

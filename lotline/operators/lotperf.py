@@ -8,8 +8,9 @@ Plan notes
   (units) Spark first aggregates on (keys, visual_id), so a lot holding a
   third of the rows is still spread by unit id.
 * The projected device step is not a key; the set of device steps of a
-  group rides along as ``collect_set`` (deduplicated map-side; bounded by
-  the products in one lot, not by rows) and is exploded afterwards.
+  group rides along as ``collect_set`` of a one-field struct (a null step is
+  a row of the projection too; deduplicated map-side; bounded by the
+  products in one lot, not by rows) and is exploded afterwards.
 * The target lookup turns the reference's wildcard rule (a missing fact
   key matches anything) into an equi-join: every target row is listed once
   per key mask, reduced to the first target per (mask, keys), and facts join
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from lotline.functions.classify import normalise_rate, target_status
 from lotline.functions.numbers import normalise_key, percent_text, round_half_up
 from lotline.operators.clean import (
+    ExactName,
+    dedupe_rows,
     exclude_value_keep_nulls,
     optional_predicates,
     require_columns,
@@ -62,7 +65,7 @@ def lot_performance(sessions: DataFrame, keys: Sequence[str] = PERF_KEYS,
     if exclude_sub_flows:
         df = optional_predicates(df, not_in={"sub_flow_step": exclude_sub_flows})
     if lots is not None:
-        df = df.join(lots.select(F.col(lots.columns[0]).alias("lot")).distinct(), "lot", "left_semi")
+        df = df.join(lots.select(F.col(lots.columns[0]).alias("lot")), "lot", "left_semi")
     good = F.col("goodbad_flag") == "G"
     bad = F.col("goodbad_flag") == "B"
     latest = F.col("within_lao_sfs_latest_flag") == "Y"
@@ -79,7 +82,7 @@ def lot_performance(sessions: DataFrame, keys: Sequence[str] = PERF_KEYS,
         F.sum(t).alias("test_time_actual"),
         F.sum(F.when(latest & good, t)).alias("test_time_good"),
         F.sum(F.when(bad, t)).alias("test_time_bad"),
-        F.collect_set("devrevstep").alias("_devrevsteps"),
+        F.collect_set(F.struct("devrevstep")).alias("_devrevsteps"),
     )
     y1 = round_half_up(_ratio(F.col("tested_good"), F.col("total_tested")), 8)
     r1 = round_half_up(_ratio(F.col("retested_qty"), F.col("total_tested")), 8)
@@ -98,7 +101,7 @@ def lot_performance(sessions: DataFrame, keys: Sequence[str] = PERF_KEYS,
                 "rcs_pct": percent_text(_ratio(F.col("retested_qty"), F.col("total_tested"))),
                 "recovery_rate": round_half_up(recovery * 100, 2),
                 "recovery_rate_pct": percent_text(recovery)})
-            .withColumn("devrevstep", F.explode_outer("_devrevsteps")))
+            .withColumn("_step", F.explode("_devrevsteps")).withColumn("devrevstep", F.col("_step.devrevstep")))
     return out.select(
         "lot", "facility", "operation", "sub_flow_step", "devrevstep", "program_name",
         "total_tested", "tested_good", "yield_ratio", "yield_pct", "ttg", "ttb", "ett",
@@ -114,23 +117,39 @@ def step_rank(step: Column) -> Column:
     return F.when(step.isNull(), F.lit(999)).when(pos > 0, pos - 1).otherwise(F.lit(len(STEP_ORDER))).cast("int")
 
 
-# Column-name rules of the lab report (target, substrings), in order.
+# Column-name rules of the lab report, in order: exact lower-case
+# names, or substrings that must all be in the name.
 LAB_RULES = (
-    ("LOT", ("lot",)),
+    ("LOT", ExactName("lot")),
     ("Facility", ("facility",)),
     ("Operation", ("operation",)),
     ("Sub Flow Step", ("sub_flow",)),
+    ("Sub Flow Step", ("sub flow",)),
     ("Devrevstep", ("devrevstep",)),
     ("Program Name", ("program", "name")),
     ("Total Tested", ("total", "test")),
     ("Tested Good", ("teste", "good")),
-    ("Yield", ("yield_pct",)),
-    ("TTG", ("ttg",)),
-    ("ETT", ("ett",)),
-    ("RCS", ("rcs_pct",)),
-    ("Recovery Rate", ("recovery_rate_pct",)),
+    ("Yield", ExactName("yield")),
+    ("TTG", ExactName("ttg")),
+    ("ETT", ExactName("ett")),
+    ("RCS", ExactName("rcs")),
+    ("Recovery Rate", ("recovery",)),
 )
-LAB_COLUMNS = tuple(t for t, _ in LAB_RULES)
+LAB_COLUMNS = tuple(dict.fromkeys(t for t, _ in LAB_RULES))
+
+
+# Header names of the lab extract.
+LAB_HEADERS = {
+    "lot": "lot", "facility": "facility", "operation": "operation", "sub_flow_step": "sub_flow_step",
+    "devrevstep": "devrevstep", "program_name": "program_name", "total_tested": "Total_Tested",
+    "tested_good": "Teste_Good", "yield_pct": "Yield", "ttg": "TTG", "ett": "ETT", "rcs_pct": "RCS",
+    "recovery_rate_pct": "Recovery_Rate",
+}
+
+
+def lab_extract(perf: DataFrame) -> DataFrame:
+    """The lot performance under the lab extract's header names."""
+    return perf.select(*[F.col(c).alias(h) for c, h in LAB_HEADERS.items()])
 
 
 def lab_report(perf: DataFrame, sort: bool = True) -> DataFrame:
@@ -141,7 +160,7 @@ def lab_report(perf: DataFrame, sort: bool = True) -> DataFrame:
     missing = [c for c in LAB_COLUMNS if c != "LOT" and c not in mapping]
     if missing:
         raise KeyError(f"lab report: no column for {missing}; columns: {perf.columns}")
-    out = select_rename(perf, mapping, LAB_COLUMNS).dropDuplicates()
+    out = dedupe_rows(select_rename(perf, mapping, LAB_COLUMNS))
     out = exclude_value_keep_nulls(out, "Sub Flow Step", "SCS")
     out = out.withColumn("step_rank", step_rank(F.col("Sub Flow Step")))
     if sort:

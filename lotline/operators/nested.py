@@ -17,8 +17,10 @@ def plain_number(c: Column) -> Column:
     |x| < 1e-10, 10 when |x| < 1, else 8, trailing zeros and a trailing
     point cut; a missing value is ''."""
     def fixed(scale: int) -> Column:
-        s = c.cast(f"decimal(38,{scale})").cast("string")
-        return F.regexp_replace(F.regexp_replace(s, "0+$", ""), r"\.$", "")
+        s = c.try_cast(f"decimal(38,{scale})").cast("string")
+        s = F.regexp_replace(F.regexp_replace(s, "0+$", ""), r"\.$", "")
+        # no such decimal (NaN, infinity, very large): the text of the number itself
+        return F.coalesce(s, c.try_cast("decimal(38,0)").cast("string"), c.cast("string"))
     a = F.abs(c)
     return (F.when(c.isNull(), F.lit(""))
              .when(a < 1e-10, fixed(15))

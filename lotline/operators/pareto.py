@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lotline.functions.classify import severity
 from lotline.functions.numbers import round_half_up, to_number
-from lotline.operators.clean import exceptions, fill_unknown, require_columns
+from lotline.operators.clean import apply_filters, exceptions, fill_unknown, require_columns
 
 # The default slices of the daily report.
 MAIN_FILTERS = {"subflow_latest_flag": "Y", "substructure_id": "U1.U2"}
@@ -110,7 +110,9 @@ def bin_pareto(units: DataFrame, slices: Mapping[str, Mapping[str, object]] | No
     bins = F.array(*[F.struct(F.lit(k).alias("bin_kind"), F.col(c).cast("string").alias("bin"))
                      for k, c in kinds.items()])
     keep = [id_col, dev_col] + ([step_col] if has_step else [])
-    rows = (units.select(*keep, F.explode(slice_names).alias("slice"), F.explode(bins).alias("_b"))
+    # rows of no slice are left at the scan
+    wanted = reduce(lambda a, b: a | b, [_cond(f, cols) for f in slices.values()])
+    rows = (units.filter(wanted).select(*keep, F.explode(slice_names).alias("slice"), F.explode(bins).alias("_b"))
                  .select("slice", "_b.bin_kind", "_b.bin", *keep))
     rows = fill_unknown(rows, ["bin", dev_col] + ([step_col] if has_step else []))
     keys = ["slice", "bin_kind"] + ([step_col] if has_step else [])
@@ -122,10 +124,7 @@ def bin_pareto(units: DataFrame, slices: Mapping[str, Mapping[str, object]] | No
 
 def normalized_units(units: DataFrame, filters: Mapping[str, object] | None = None) -> DataFrame:
     """The main slice as the report's Details table: filtered (P4) and filled (P5)."""
-    df = units
-    for c, v in (filters or MAIN_FILTERS).items():
-        if c in df.columns:
-            df = df.filter(F.col(c) == F.lit(v))
+    df = apply_filters(units, filters or MAIN_FILTERS)
     return fill_unknown(df, ["functional_bin", "interface_bin", "devrevstep", "process_step"])
 
 

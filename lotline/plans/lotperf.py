@@ -24,7 +24,7 @@ def product_targets_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg(F.when(F.col("goodbad_flag") == "G", 1).otherwise(0)).alias("y"),
         F.avg("test_time").alias("tt"),
         F.avg(F.when(F.col("within_lao_sfs_latest_flag") == "N", 1).otherwise(0)).alias("rc"))
-    w = Window.partitionBy("operation").orderBy(F.col("sub_flow_step").asc_nulls_last(), "devrevstep")
+    w = Window.partitionBy("operation").orderBy(F.col("sub_flow_step").asc_nulls_last(), F.col("devrevstep").asc_nulls_last())
     g = (g.withColumn("ordinal", F.row_number().over(w).cast("long"))
           .withColumn("_prev_sf", F.lag("sub_flow_step").over(w)))
     op_text = F.when(F.col("devrevstep").contains("AF"), F.concat(F.col("operation"), F.lit(".0"))) \
@@ -53,8 +53,15 @@ def q_lot_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lotperf.lot_performance(adapters.test_sessions(spark, sf_dir))
 
 
+def q_lot_performance_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lots of one facility that had a bad retest, as a lot list."""
+    s = adapters.test_sessions(spark, sf_dir)
+    lots = s.filter("goodbad_flag = 'B' AND within_lao_sfs_latest_flag = 'N' AND facility = 'F1'").select("lot")
+    return lotperf.lot_performance(s, lots=lots)
+
+
 def q_lab_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lotperf.lab_report(q_lot_performance(spark, sf_dir))
+    return lotperf.lab_report(lotperf.lab_extract(q_lot_performance(spark, sf_dir)))
 
 
 def q_product_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

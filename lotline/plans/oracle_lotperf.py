@@ -39,7 +39,7 @@ m AS (
          {r("CASE WHEN final_tested_bad > 0 THEN " + r("test_time_bad / NULLIF(test_bad, 0)", 2) + " ELSE 0.0 END", 2)} AS ttb
   FROM g
 ),
-steps AS (SELECT DISTINCT {KEYS}, devrevstep FROM s WHERE devrevstep IS NOT NULL),
+steps AS (SELECT DISTINCT {KEYS}, devrevstep FROM s),
 perf AS (
   SELECT DISTINCT m.lot, m.facility, m.operation, m.sub_flow_step, steps.devrevstep, m.program_name,
          total_tested, tested_good, yield_ratio,
@@ -59,6 +59,12 @@ perf AS (
 
 LOT_PERFORMANCE = f"WITH {PERF_CTE} SELECT * FROM perf"
 
+LOT_PERFORMANCE_LOTS = f"""
+WITH {PERF_CTE},
+lots AS (SELECT lot FROM test_sessions WHERE goodbad_flag = 'B' AND within_lao_sfs_latest_flag = 'N' AND facility = 'F1')
+SELECT * FROM perf WHERE lot IN (SELECT lot FROM lots)
+"""
+
 LAB_REPORT = f"""
 WITH {PERF_CTE},
 lab AS (
@@ -86,8 +92,8 @@ tg AS (
   FROM test_sessions GROUP BY operation, sub_flow_step, devrevstep
 ),
 tgo AS (
-  SELECT *, row_number() OVER (PARTITION BY operation ORDER BY sub_flow_step NULLS LAST, devrevstep) AS ordinal,
-         lag(sub_flow_step) OVER (PARTITION BY operation ORDER BY sub_flow_step NULLS LAST, devrevstep) AS prev_sf
+  SELECT *, row_number() OVER (PARTITION BY operation ORDER BY sub_flow_step NULLS LAST, devrevstep NULLS LAST) AS ordinal,
+         lag(sub_flow_step) OVER (PARTITION BY operation ORDER BY sub_flow_step NULLS LAST, devrevstep NULLS LAST) AS prev_sf
   FROM tg
 ),
 sheet AS (
@@ -117,9 +123,7 @@ PRODUCT_TARGETS = f"WITH {view_sql('test_sessions')}, {TARGETS_CTE} SELECT * FRO
 
 def nk(x: str) -> str:
     """normalise_key + blank -> NULL."""
-    d = f"TRY_CAST(trim(CAST({x} AS VARCHAR)) AS DOUBLE)"
-    return (f"NULLIF(CASE WHEN {d} IS NOT NULL AND {d} = floor({d}) "
-            f"THEN CAST(CAST(floor({d}) AS BIGINT) AS VARCHAR) ELSE trim(CAST({x} AS VARCHAR)) END, '')")
+    return f"NULLIF(regexp_replace(trim(CAST({x} AS VARCHAR)), '^([+-]?[0-9]+)[.]0+$', '\\1'), '')"
 
 
 def rate(x: str) -> str:
@@ -159,6 +163,7 @@ FROM j2
 
 SQL = {
     "lot_performance": LOT_PERFORMANCE,
+    "lot_performance_lots": LOT_PERFORMANCE_LOTS,
     "lab_report": LAB_REPORT,
     "product_targets": PRODUCT_TARGETS,
     "target_compare": TARGET_COMPARE,

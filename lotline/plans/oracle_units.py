@@ -11,12 +11,16 @@ units AS (
          COALESCE(substructure_functional_bin, unit_functional_bin) AS functional_bin,
          COALESCE(substructure_data_bin, unit_data_bin) AS data_bin,
          COALESCE(substructure_good_bad_flag, unit_good_bad_flag) AS good_bad_flag,
-         COALESCE(substructure_subflow_latest_flag, unit_subflow_latest_flag) AS subflow_latest_flag,
+         COALESCE(substructure_subflow_latest_flag, unit_subflow_latest_flag, '') AS subflow_latest_flag,
          COALESCE(lato_latest_flag, '') AS lato_latest_flag,
+         COALESCE(CAST(total_tested AS VARCHAR), '') AS total_tested, COALESCE(CAST(total_good AS VARCHAR), '') AS total_good,
+         COALESCE(CAST(total_bad AS VARCHAR), '') AS total_bad, COALESCE(unit_tester_site_id, '') AS unit_tester_site_id,
+         COALESCE(unit_tester_id, '') AS unit_tester_id, COALESCE(tester_interface_unit_id, '') AS tester_interface_unit_id,
+         COALESCE(CAST(lots_temperature AS VARCHAR), '') AS lots_temperature,
          test_end_date,
          substr(devrevstep, 1, 1) AS bom, substr(devrevstep, 5, 2) AS dlcp, substr(devrevstep, 7, 2) AS stepping
   FROM unit_results_raw
-  WHERE COALESCE(substructure_subflow_latest_flag, unit_subflow_latest_flag) IN ('Y', 'N')
+  WHERE COALESCE(operation_subflow_latest_flag, operation_final_latest_flag) IN ('Y', 'N')
 )"""
 
 UNIT_RESULTS_EXTRACT = f"""

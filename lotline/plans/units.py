@@ -40,4 +40,5 @@ def q_unit_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = units(spark, sf_dir)
-    return pareto.run_summary(pareto.bin_pareto(u), u)
+    table = pareto.bin_pareto(u, {"main": pareto.MAIN_FILTERS}, {"functional": "functional_bin"})
+    return pareto.run_summary(table, u)

@@ -45,19 +45,32 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 5 = 0 THEN 'N' ELSE 'Y' END AS substructure_subflow_latest_flag",
         "CASE WHEN l_suppkey % 7 = 0 AND l_linenumber = 7 THEN 'X' WHEN l_suppkey % 11 = 0 THEN 'N' ELSE 'Y' END AS lato_latest_flag",
         "l_shipdate AS test_end_date",
+        "CASE WHEN l_suppkey % 23 = 0 THEN NULL ELSE l_suppkey % 40 + 60 END AS total_tested",
+        "CASE WHEN l_suppkey % 23 = 0 THEN NULL ELSE l_suppkey % 40 + 50 END AS total_good",
+        "CASE WHEN l_suppkey % 23 = 0 THEN NULL ELSE 10 END AS total_bad",
+        "CASE WHEN l_linenumber = 5 THEN NULL ELSE 'A' || CAST(100 + l_linenumber AS STRING) END AS unit_tester_site_id",
+        "CASE WHEN l_suppkey % 29 = 0 THEN NULL ELSE 'HDMT' || CAST(l_suppkey % 6 AS STRING) END AS unit_tester_id",
+        "CASE WHEN l_partkey % 2 = 0 THEN NULL ELSE 'TIU' || CAST(l_partkey % 9 AS STRING) END AS tester_interface_unit_id",
+        "CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linenumber * 10 - 25 END AS lots_temperature",
+        # latest flags of the operation: nulls and other values, which the extract leaves out
+        "CASE WHEN l_partkey % 6 = 0 THEN NULL WHEN l_partkey % 31 = 0 THEN 'X' WHEN l_suppkey % 3 = 0 THEN 'N' ELSE 'Y' END AS operation_subflow_latest_flag",
+        "CASE WHEN l_partkey % 12 = 0 THEN NULL WHEN l_partkey % 37 = 0 THEN '' ELSE 'Y' END AS operation_final_latest_flag",
     ]),
     # Test sessions for lot performance: one row per unit test in a lot.
     "test_sessions": ("events", [
         f"'K' || lpad(CAST({_SLOT} AS STRING), 5, '0') AS lot",
         "CASE WHEN event_type = 'signup' AND user_id % 10 = 0 THEN NULL ELSE 'W' || CAST(CAST(floor(event_id / 2) AS BIGINT) AS STRING) END AS visual_id",
-        f"CASE WHEN {_SLOT} % 4 = 0 THEN '7820' ELSE '6248' END AS operation",
+        # keys that must stay text: long ids apart by one, and one that looks like a typed number
+        f"CASE WHEN {_SLOT} % 11 = 5 THEN '9007199254740993' WHEN {_SLOT} % 11 = 7 THEN '9007199254740992'"
+        f" WHEN {_SLOT} % 13 = 6 THEN '1D' WHEN {_SLOT} % 13 = 7 THEN '1'"
+        f" WHEN {_SLOT} % 4 = 0 THEN '7820' ELSE '6248' END AS operation",
         f"'F' || CAST({_SLOT} % 3 AS STRING) AS facility",
         "CASE event_id % 8 WHEN 0 THEN 'SPH' WHEN 1 THEN 'CLASSHOT' WHEN 2 THEN 'CLASSCOLD' WHEN 3 THEN 'SCS'"
         " WHEN 4 THEN 'PHMHOT' WHEN 5 THEN 'scs' WHEN 6 THEN 'PHMCOLD' END AS sub_flow_step",
         "'Q' || CAST(user_id % 2 AS STRING) AS s_spec",
         f"'PG' || CAST({_SLOT} % 5 AS STRING) AS prodgroup3",
         "'PRG' || CAST(user_id % 2 AS STRING) AS program_name",
-        "'8PXA' || CASE WHEN user_id % 3 = 0 THEN 'AF' ELSE 'NO' END || 'B0' AS devrevstep",
+        "CASE WHEN user_id % 17 = 0 THEN NULL ELSE '8PXA' || CASE WHEN user_id % 3 = 0 THEN 'AF' ELSE 'NO' END || 'B0' END AS devrevstep",
         "CASE WHEN event_type = 'error' THEN 'B' ELSE 'G' END AS goodbad_flag",
         "CASE WHEN event_id % 2 = 0 AND event_type IN ('error', 'view') THEN 'N' ELSE 'Y' END AS within_lao_sfs_latest_flag",
         "CAST(event_id % 4 + 1 AS INT) AS within_session_sequence_number",

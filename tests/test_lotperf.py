@@ -52,6 +52,11 @@ def test_excluded_sub_flows_and_two_device_steps(spark):
     assert rows(out, "sub_flow_step", "devrevstep", "total_tested") == [("CLASSHOT", "D1", 2), ("CLASSHOT", "D2", 2)]
 
 
+def test_null_device_step_is_a_row(spark):
+    df = sess(spark, [base("A", "u1", "G", "Y", 1, 1.0, dev="D1"), base("A", "u2", "G", "Y", 1, 1.0, dev=None)])
+    assert rows(lotperf.lot_performance(df), "devrevstep", "total_tested") == [("D1", 2), (None, 2)]
+
+
 def test_step_rank(spark):
     df = spark.createDataFrame([(" classhot ",), ("PHMCOLD",), ("ZZZ",), (None,)], "s string")
     got = dict(df.select("s", lotperf.step_rank(F.col("s")).alias("r")).collect())
