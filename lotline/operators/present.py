@@ -6,7 +6,7 @@ partitions instead of landing in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,25 @@ def pareto_order(df: DataFrame) -> DataFrame:
     return df.orderBy("slice", "bin_kind", "process_step",
                       F.when(F.col("row_kind").isin("step_total", "grand_total"), 1).otherwise(0),
                       F.col("quantity").desc(), "bin", "devrevstep")
+
+
+def rank_within(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """``rank`` of each row in its group's report order, for readers that do not
+    keep the order of files (a group is one report section)."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def limits_rank(df: DataFrame) -> DataFrame:
+    """O4 as a column: place of a test in its file and category."""
+    return rank_within(df, ["file", "category"], F.col("test_name"))
+
+
+def mode_rank(df: DataFrame) -> DataFrame:
+    """O5 as a column: place of a mode in its config set, most frequent first."""
+    return rank_within(df, ["config_set"], F.col("count").desc(), F.col("execution_mode"))
+
+
+def lot_rank(df: DataFrame) -> DataFrame:
+    """O6 as a column: place of a lot's row in its facility and operation."""
+    rest = [F.col(c) for c in df.columns if c not in ("facility", "operation", "lot")]
+    return rank_within(df, ["facility", "operation"], F.col("lot").asc_nulls_first(), *[c.asc_nulls_first() for c in rest])

@@ -80,8 +80,8 @@ FROM zipped GROUP BY sheet
 
 LOT_CTE = template_sql("lot_list") + """,
 ids AS (
-  SELECT file, line_no, trim(line) AS lot FROM lot_list_lines
-  WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')
+  SELECT file, line_no, trim(line, ' ' || chr(9)) AS lot FROM lot_list_lines
+  WHERE trim(line, ' ' || chr(9)) <> '' AND NOT starts_with(trim(line, ' ' || chr(9)), '#')
 ),
 lots AS (SELECT file, lot, min(line_no) AS ordinal FROM ids GROUP BY file, lot)"""
 

@@ -19,10 +19,12 @@ from lotline.plans import (
     oracle_diff,
     oracle_lotperf,
     oracle_nested,
+    oracle_readback,
     oracle_requests,
     oracle_testtime,
     oracle_textjobs,
     oracle_units,
+    readback,
     requests,
     testtime,
     textjobs,
@@ -39,6 +41,7 @@ def queries() -> dict[str, Query]:
         "unit_exceptions": units.q_unit_exceptions,
         "run_summary": units.q_run_summary,
         "lot_performance": lotperf.q_lot_performance,
+        "lot_performance_lots": lotperf.q_lot_performance_lots,
         "lab_report": lotperf.q_lab_report,
         "product_targets": lotperf.q_product_targets,
         "target_compare": lotperf.q_target_compare,
@@ -82,6 +85,7 @@ def queries() -> dict[str, Query]:
         "lot_batches": requests.q_lot_batches,
         "ingest_extracts": ingest.q_ingest_extracts,
         "request_files": files.q_request_files,
+        **readback.QUERIES,
     }
 
 
@@ -94,4 +98,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle_nested.SQL)
     out.update(oracle_textjobs.SQL)
     out.update(oracle_requests.SQL)
+    out.update(oracle_readback.SQL)
     return out

@@ -54,11 +54,14 @@ def q_request_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.fill_template(zipped(spark, sf_dir), defaults, "sheet", MAPPED, TEMPLATE_COLUMNS)
 
 
-def q_request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = zipped(spark, sf_dir)
+def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = (F.col("id") != "") & F.col("first_seen").isNotNull()
     reason = F.when(F.col("id") == "", F.lit("no id")).otherwise(F.lit("no source lot"))
-    return order.workflow_counts(order.status_table(z, ok, reason), ["sheet"])
+    return order.status_table(zipped(spark, sf_dir), ok, reason)
+
+
+def q_request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.workflow_counts(status(spark, sf_dir), ["sheet"])
 
 
 def lot_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

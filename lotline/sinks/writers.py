@@ -51,9 +51,10 @@ def write_bundle(parts: Mapping[str, DataFrame], path: str, fmt: str = "parquet"
 
 
 def write_snapshot(df: DataFrame, path: str, snapshot_dt: str) -> None:
-    """K4: append a catalogue snapshot as partition ``snapshot_dt=...``
-    (replaces the old/backup file rotation; nothing is ever renamed)."""
-    df.withColumn("snapshot_dt", F.lit(snapshot_dt)).write.mode("append").partitionBy("snapshot_dt").parquet(path)
+    """K4: write a catalogue snapshot as partition ``snapshot_dt=...``
+    (replaces the old/backup file rotation; nothing is ever renamed). A re-run
+    of a date replaces that partition and touches no other."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/snapshot_dt={snapshot_dt}")
 
 
 def snapshot_dates(spark: SparkSession, path: str) -> list[str]:

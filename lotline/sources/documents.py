@@ -42,10 +42,10 @@ MODES_SCHEMA = T.StructType([
 ])
 
 
-def read_nested_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """S3: one nested JSON document per file, parsed with an explicit schema;
+def read_nested_json(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """S3 (one document per file, or per line without ``multi_line``): one nested JSON document per file, parsed with an explicit schema;
     the file name is kept as ``source_file``."""
-    return (spark.read.schema(schema).option("multiLine", True).json(path)
+    return (spark.read.schema(schema).option("multiLine", multi_line).json(path)
                  .withColumn("source_file", F.col("_metadata.file_name")))
 
 

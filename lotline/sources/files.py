@@ -1,23 +1,18 @@
 """File sources.
 
-Encodings are chosen per file from the file's own bytes, on the executors:
-every file is first read as UTF-8 (malformed bytes become U+FFFD), the
-files that produced a replacement character are listed (a small distinct
-aggregate: file names only) and read again with the fallback encoding.
+Encoding and separator are chosen per file, on the executors: lines are read as
+raw bytes, one aggregate per file says which encodings its bytes allow and what
+its first line looks like, and these facts are joined back to the lines. No file
+name and no row reaches the driver.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-REPLACEMENT = "�"
-
-
-# Charsets the CSV reader accepts without ``spark.sql.legacy.javaCharsets``.
+# Charsets that can be decoded without ``spark.sql.legacy.javaCharsets``.
 _STANDARD_CHARSETS = {"UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"}
 
 
@@ -30,61 +25,65 @@ def _charset_allowed(spark: SparkSession, enc: str) -> bool:
 SEPARATORS = (",", ";", "\t", "|")
 
 
+def _raw_lines(spark: SparkSession, path) -> DataFrame:
+    """(file, _blk, _mid, _raw): undecoded lines; ``_mid`` grows with the line within a split."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
+        F.monotonically_increasing_id().alias("_mid"), F.col("value").alias("_raw"))
+
+
+def _first_line() -> Column:
+    """Aggregate: the first line of a file, from its split at offset 0."""
+    return F.min(F.when(F.col("_blk") == 0, F.struct(F.col("_mid").alias("mid"), F.col("_raw").alias("line"))))
+
+
+def _separator(line: Column, candidates: tuple[str, ...]) -> Column:
+    counts = [F.size(F.split(line, "\\" + c if c in "|" else c)) - 1 for c in candidates]
+    best = F.greatest(*counts) if len(counts) > 1 else counts[0]
+    return F.coalesce(*[F.when((best > 0) & (n == best), F.lit(c)) for c, n in zip(candidates, counts, strict=True)], F.lit(","))
+
+
 def sniff_separators(spark: SparkSession, path: str, candidates: tuple[str, ...] = SEPARATORS) -> DataFrame:
     """(file, sep): per file, the candidate that occurs most often in the
-    first line (ties: earlier candidate; none: ','). Computed on the
-    executors from each file's first line."""
-    from lotline.sources.text import read_program_lines
-    first = read_program_lines(spark, path).filter(F.col("line_no") == 0)
-    counts = [F.size(F.split(F.col("line"), "\\" + c if c in "|" else c)) - 1 for c in candidates]
-    best = F.greatest(*counts)
-    pick = F.coalesce(*[F.when((best > 0) & (counts[i] == best), F.lit(c)) for i, c in enumerate(candidates)],
-                      F.lit(","))
-    return first.select("file", pick.alias("sep"))
-
-
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str | None = ",",
+    first line (ties: earlier candidate; none: ',')."""
+    first = _raw_lines(spark, path).filter("_blk = 0").groupBy("file").agg(_first_line().alias("_first"))
+    return first.select("file", _separator(F.col("_first.line"), candidates).alias("sep"))
+
+
+def _allows(enc: str) -> Column:
+    """Whether the bytes of ``_raw`` are text of an encoding."""
+    if enc.upper() == "UTF-8":
+        return F.is_valid_utf8("_raw")
+    if enc.upper() == "GBK":  # whatever is left without its two-byte characters must be ASCII
+        as_bytes = F.decode(F.col("_raw").cast("binary"), "ISO-8859-1")
+        return ~F.regexp_replace(as_bytes, "[\u0081-\u00fe][\u0040-\u007e\u0080-\u00fe]", "").rlike("[\u0080-\u00ff]")
+    return F.lit(True)
+
+
+def read_delimited(spark: SparkSession, path, schema: T.StructType, sep: str | None = ",",
                    fallbacks: tuple[str, ...] = ("GBK", "ISO-8859-1"), header: bool = True) -> DataFrame:
-    """Delimited text with a per-file encoding: UTF-8, else the first
-    fallback that decodes the file without replacement characters (GBK only
-    when the session allows legacy charsets; Latin-1 accepts any byte, so it
-    is the last resort). A UTF-8 byte-order mark is dropped by the reader.
-    Adds ``source_file``. Only file names reach the driver (the list of
-    files still to decode), never rows. ``sep=None`` sniffs the separator
-    per file (``sniff_separators``) and reads each group of files with its
-    own separator."""
-    if sep is None:
-        groups: dict[str, list[str]] = {}
-        for r in sniff_separators(spark, path).collect():      # one row per file
-            groups.setdefault(r.sep, []).append(r.file)
-        parts = [read_delimited(spark, files_, schema, s, fallbacks, header) for s, files_ in sorted(groups.items())]
-        return reduce(lambda a, b: a.unionByName(b), parts)
-    def read(enc: str, files) -> DataFrame:
-        return (spark.read.schema(schema).option("header", header).option("sep", sep)
-                .option("encoding", enc).csv(files).withColumn("source_file", F.col("_metadata.file_path")))
-
-    bad_row = reduce(lambda a, b: a | b, [F.coalesce(F.col(f.name).cast("string"), F.lit("")).contains(REPLACEMENT)
-                                          for f in schema.fields])
-
-    def bad_files(df: DataFrame) -> list[str]:
-        return [r[0] for r in df.filter(bad_row).select("source_file").distinct().collect()]
-
-    chain = [e for e in fallbacks if _charset_allowed(spark, e)]
-    current = read("UTF-8", path)
-    pending = bad_files(current)
-    parts = [current.filter(~F.col("source_file").isin(pending)) if pending else current]
-    for i, enc in enumerate(chain):
-        if not pending:
-            break
-        df = read(enc, pending)
-        if i == len(chain) - 1:
-            parts.append(df)
-            pending = []
-        else:
-            still = bad_files(df)
-            parts.append(df.filter(~F.col("source_file").isin(still)) if still else df)
-            pending = still
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Delimited text (one row per line) with a per-file encoding: UTF-8,
+    else the first fallback that the whole file's bytes allow (GBK only when
+    the session allows legacy charsets; Latin-1 accepts any byte, so it is
+    the last resort). A byte-order mark is dropped, blank lines are skipped,
+    columns are taken by position. ``sep=None`` sniffs the separator per
+    file. Adds ``source_file``."""
+    raw = _raw_lines(spark, path)
+    chain = ["UTF-8", *[e for e in fallbacks if _charset_allowed(spark, e)]]
+    facts = raw.groupBy("file").agg(_first_line().alias("_first"), *[F.every(_allows(e)).alias(f"_ok{i}") for i, e in enumerate(chain)])
+    facts = facts.select("file", F.col("_first.mid").alias("_first_mid"),
+                         F.coalesce(*[F.when(F.col(f"_ok{i}"), F.lit(e)) for i, e in enumerate(chain)], F.lit(chain[-1])).alias("_enc"),
+                         (F.lit(sep) if sep is not None else _separator(F.col("_first.line"), SEPARATORS)).alias("_sep"))
+    df = raw.join(facts, "file")
+    if header:
+        df = df.filter(F.col("_mid") != F.col("_first_mid"))
+    line = F.coalesce(*[F.when(F.col("_enc") == e, F.col("_raw") if e == "UTF-8" else F.decode(F.col("_raw").cast("binary"), e))
+                        for e in chain])
+    df = df.withColumn("_line", F.regexp_replace(line, "^\ufeff", "")).filter(F.trim("_line") != "")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    seps = (sep,) if sep is not None else SEPARATORS
+    row = F.coalesce(*[F.when(F.col("_sep") == c, F.from_csv("_line", ddl, {"sep": c})) for c in seps])
+    return df.select(row.alias("_row"), F.col("file").alias("source_file")).select("_row.*", "source_file")
 
 
 def read_any(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -107,12 +106,13 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | None = None)
     raise ValueError(f"unsupported file type: {path} (xls/xlsx: export to CSV or Parquet first)")
 
 
-def latest_by_name(df: DataFrame, name_pattern: str) -> DataFrame:
+def latest_by_name(df: DataFrame, name_pattern: str, part: str = "file_name") -> DataFrame:
     """Rows of the newest file, newest by the timestamp in the file
     name (``name_pattern`` must capture it, e.g. r'^MIR_Results_(\\d{8}_\\d{6})\\.csv$'
     so that other exports with a longer prefix never match), never by name
-    order. The newest stamp is one row, joined back as a broadcast."""
-    stamp = F.regexp_extract(F.col("_metadata.file_name"), name_pattern, 1)
+    order. ``part="file_path"`` matches the whole path, for exports that are
+    folders. The newest stamp is one row, joined back as a broadcast."""
+    stamp = F.regexp_extract(F.col(f"_metadata.{part}"), name_pattern, 1)
     tagged = df.withColumn("_stamp", stamp).filter(F.col("_stamp") != "")
     newest = tagged.agg(F.max("_stamp").alias("_stamp"))
     return tagged.join(F.broadcast(newest), "_stamp", "left_semi").drop("_stamp")

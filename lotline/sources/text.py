@@ -51,11 +51,17 @@ def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lot_list(lines: DataFrame, id_col: str = "lot") -> DataFrame:
-    """S5 (+ W9): ids one per line; blank lines and '#' lines skipped;
-    trimmed; the first occurrence per file kept, with its line as ``ordinal``."""
-    ids = (lines.select("file", "line_no", F.trim(F.col("line")).alias(id_col))
-                .filter((F.col(id_col) != "") & ~F.col(id_col).startswith("#")))
-    return ids.groupBy("file", id_col).agg(F.min("line_no").alias("ordinal"))
+    """S5 (+ W9): ids one per line; blank lines and '#' lines skipped; white
+    space stripped at both ends; the first occurrence per file kept, with its
+    line as ``ordinal``. A list without any id fails the job."""
+    stripped = F.regexp_replace(F.col("line"), r"^\s+|\s+\z", "")
+    is_id = (F.col(id_col) != "") & ~F.col(id_col).startswith("#")
+    marked = lines.select("file", "line_no", stripped.alias(id_col))
+    ids = marked.filter(is_id).groupBy("file", id_col).agg(F.min("line_no").alias("ordinal"))
+    empty = marked.groupBy("file").agg(F.count_if(is_id).alias("_n")).filter("_n = 0")
+    failed = empty.select("file", F.raise_error(F.concat(F.lit("no lot in "), F.col("file"))).cast("string").alias(id_col),
+                          F.lit(0).cast(lines.schema["line_no"].dataType).alias("ordinal"))
+    return ids.unionByName(failed)
 
 
 def split_batches(ids: DataFrame, batch_size: int | None, order_col: str = "ordinal",

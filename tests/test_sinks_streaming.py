@@ -21,6 +21,7 @@ def test_multi_table_and_snapshots(spark):
     b = spark.createDataFrame([("y",), ("z",)], "k string")
     writers.write_snapshot(a, f"{d}/snap", "20250101")
     writers.write_snapshot(b, f"{d}/snap", "20250108")
+    writers.write_snapshot(b, f"{d}/snap", "20250108")          # a re-run replaces its partition only
     assert writers.snapshot_dates(spark, f"{d}/snap") == ["20250101", "20250108"]
     old, new = writers.last_two_snapshots(spark, f"{d}/snap")
     assert rows(diff.change_log(new, old, ["k"])) == [("Added", "z"), ("Removed", "x")]

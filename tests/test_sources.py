@@ -25,6 +25,15 @@ def test_lot_list_and_batches(spark):
     assert {r.batch_id for r in text.split_batches(ids, None).collect()} == {0}
 
 
+def test_lot_list_strips_tabs_and_refuses_empty_lists(spark):
+    import pytest
+    ids = text.read_lot_list(text.lines_from_text(spark.createDataFrame([("f", "\tL1\t\n\t#x\n")], "file string, text string")))
+    assert rows(ids, "lot", "ordinal") == [("L1", 0)]
+    bad = spark.createDataFrame([("f", "L1\n"), ("g", "#none\n\n")], "file string, text string")
+    with pytest.raises(Exception, match="no lot in g"):
+        text.read_lot_list(text.lines_from_text(bad)).collect()
+
+
 def test_read_files_and_encodings(spark):
     d = tempfile.mkdtemp(prefix="lotline-src-", dir="/tmp")
     with open(os.path.join(d, "a.csv"), "w", encoding="utf-8-sig") as f:
