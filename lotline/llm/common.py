@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +107,38 @@ def _state(e: DataFrame) -> tuple[int, int]:
     return r["n"], r["s"] or 0
 
 
+#: Bits of a bit field; its size does not depend on the data.
+FIELD_BITS = 1 << 26
+
+
+def bit_rows(df: DataFrame, place: Column) -> DataFrame:
+    """Bit field of FIELD_BITS bits with the bits set whose number ``place`` gives, as
+    rows (bucket, bits) of 4 KB, at most FIELD_BITS / 32768 of them."""
+    at = place.bitwiseAND(F.lit(FIELD_BITS - 1)) + 1
+    return (df.groupBy(F.bitmap_bucket_number(at).alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")))
+
+
+def bit_field(df: DataFrame, place: Column) -> np.ndarray:
+    """The same in one array of bytes."""
+    out = np.zeros(FIELD_BITS // 8, np.uint8)
+    for r in bit_rows(df, place).toLocalIterator():
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["bucket"] - 1) * len(part):r["bucket"] * len(part)] = part
+    return out
+
+
+def maybe_in(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among those of ``few``: all that are, and of the
+    others only such as share a bit with one. The broadcast has FIELD_BITS bits at most."""
+    at = F.xxhash64(key).bitwiseAND(F.lit(FIELD_BITS - 1)) + 1
+    bits = bit_rows(few, F.xxhash64(key)).select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
+    out = df.withColumn("__at", at).join(F.broadcast(bits), F.bitmap_bucket_number("__at") == F.col("__bucket"))
+    held = F.expr("shiftright(cast(conv(hex(substring(__bits, cast((__at - 1) % 32768 div 8 + 1 as int), 1)), 16, 10) as int), "
+                  "cast((__at - 1) % 8 as int)) & 1 = 1")
+    return out.filter(held).select(*df.columns)
+
+
 def crc32_of(col: Column) -> Column:
     """Unsigned crc32 of a value written as text."""
     return F.crc32(col.cast("string").cast("binary"))

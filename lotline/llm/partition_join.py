@@ -17,7 +17,9 @@ The layout of a band is chosen by cost: its number of sets (over all rows) again
 keys that either layout writes. Sets that share a key are verified exactly on their
 texts. A key of many sets is not expanded into pairs: its sets are compared with one
 pivot first, then only sets of different components that share a key, so that no
-link between components is lost.
+link between components is lost. Before any text is fetched, a pair must pass a parity
+sketch: each element flips one of SKETCH_BITS bits, so two sets' sketches differ in at most
+as many bits as the sets in elements, whatever they have in common.
 """
 
 from __future__ import annotations
@@ -31,16 +33,19 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotline.llm.common import components, salted_join, written
+from lotline.llm.common import components, maybe_in, salted_join, written
 
 #: Words whose hashes a task remembers.
 REMEMBERED = 300_000
 #: Bands grow by this factor (more where a low similarity lets partners differ more).
 GROWTH = 1.5
 _TAG_BITS = 6
+#: Bits of a set's parity sketch, kept as 64-bit columns.
+SKETCH_BITS = 1024
+_SKETCH = [f"sketch_{i}" for i in range(SKETCH_BITS // 64)]
 
 
 @dataclass(frozen=True)
@@ -116,14 +121,15 @@ def layouts(percent: int, edges: list[int], sets: dict[int, int]) -> list[Band]:
         m = h + 1 + spare
         m_del = h // 2 + 1
 
-        def false_pairs(segments: int, at_most: int) -> float:
-            """Pairs expected to share a segment of at most so many elements by chance."""
+        def false_pairs(segments: int, at_most: int, left_out: int) -> float:
+            """Pairs expected to share a segment of at most so many elements by chance,
+            beside those that every set leaves out."""
             mean = middle / segments
             p = sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(at_most + 1))
-            return segments * (n * p) ** 2 / 2
+            return max(0.0, segments * p - left_out) * n * n * p / 2
 
-        exact = n * m + false_pairs(m, 0)
-        deletion = n * (middle + m_del) + false_pairs(m_del, 1)
+        exact = n * m + false_pairs(m, 0, spare)
+        deletion = n * (middle + m_del) + false_pairs(m_del, 1, 0)
         out.append(Band(low, m_del, 0, True) if deletion < exact else Band(low, m, spare, False))
     return out
 
@@ -147,22 +153,26 @@ def keys_of(h: np.ndarray, tag: int, band: Band) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """Per row of (doc_id, text): n_shingles and a 128-bit fingerprint of the set."""
+    """Per row of (doc_id, text): n_shingles, a 128-bit fingerprint and a parity sketch of the set."""
 
     def fingerprint(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for pdf in frames:
-            n, a, b = [], [], []
+            n, a, b, sketches = [], [], [], []
             for text in pdf["text"]:
                 h = shingle_hashes(text, k, hashes)
                 n.append(len(h))
                 a.append(int(np.add.reduce(_mix(h), dtype=np.uint64)))
                 b.append(int(np.add.reduce(_mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
+                odd = np.bincount((h % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            matrix = np.array(sketches, np.int64).reshape(-1, len(_SKETCH))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n,
                                 "print_a": np.array(a, np.uint64).view(np.int64),
-                                "print_b": np.array(b, np.uint64).view(np.int64)})
+                                "print_b": np.array(b, np.uint64).view(np.int64), **dict(zip(_SKETCH, matrix.T, strict=True))})
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, print_a long, print_b long"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, print_a long, print_b long, "
+    schema += ", ".join(f"{c} long" for c in _SKETCH)
     return docs.select("doc_id", "text").mapInPandas(fingerprint, schema)
 
 
@@ -195,6 +205,19 @@ def key_rows(docs: DataFrame, k: int, percent: int, edges: list[int], bands: lis
     return rows.mapInPandas(emit, "key long, doc_id long")
 
 
+def _sketch(sets: DataFrame, side: str) -> DataFrame:
+    """One row per document, columns named for one side of a pair."""
+    one = sets.groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), *[F.first(c).alias(c) for c in _SKETCH])
+    return one.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"),
+                      *[F.col(c).alias(f"{c}_{side}") for c in _SKETCH])
+
+
+def _may_link(percent: int) -> Column:
+    """The sketches of sides a and b leave room for a link."""
+    bits = [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _SKETCH]
+    return reduce(Column.__add__, bits) * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those (a, b) of ``pairs`` whose shingle sets have 100 * common >= percent * union."""
 
@@ -223,10 +246,11 @@ def join_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     by links, itself included).
 
     Null and empty texts have an empty set and link with nothing. A null doc_id links
-    with nothing and has a null component. Rows that repeat a doc_id count as one
-    document. Shingles are hashed to 64 bits to find candidates and to count n_shingles;
-    links between different sets are verified on the words themselves. Of two equal sets
-    no text is compared: they have equal 128-bit fingerprints.
+    with nothing and has a null component. Rows that repeat a doc_id are one document
+    and should have one text; where they differ, one of the texts decides its links.
+    Shingles are hashed to 64 bits to find candidates and to count n_shingles; links
+    between different sets are verified on the words themselves. Of two equal sets no
+    text is compared: they have equal 128-bit fingerprints.
     """
     sets = written(sets_of(docs, k), "sets")
     # equal sets: one of them stands for all
@@ -248,26 +272,36 @@ def join_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = key_rows(docs, k, percent, edges, bands)
     by_key = Window.partitionBy("key")
     shared = rows.withColumn("holders", F.count("*").over(by_key)).filter("holders > 1")
-    spare = F.element_at(F.array(*[F.lit(b.spare) for b in bands]),
-                         F.col("key").bitwiseAND(F.lit((1 << _TAG_BITS) - 1)).cast("int") + 1)
-    in_doc = Window.partitionBy("doc_id", F.col("key").bitwiseAND(F.lit((1 << _TAG_BITS) - 1))).orderBy(F.desc("holders"), "key")
-    cheap = shared.withColumn("place", F.row_number().over(in_doc)).filter(F.col("place") > spare).select("key", "doc_id")
-    cheap = (cheap.join(copies, "doc_id", "left")
-             .select("key", F.coalesce("leader", "doc_id").alias("doc_id")).distinct())
-    links = written(cheap.withColumn("pivot", F.min("doc_id").over(by_key))
+    tag = F.col("key").bitwiseAND(F.lit((1 << _TAG_BITS) - 1)).cast("int")
+    spare = F.element_at(F.array(*[F.lit(b.spare) for b in bands]), tag + 1)
+    in_doc = Window.partitionBy("doc_id", "tag").orderBy(F.desc("holders"), "key")
+    # dealt by document once, for the window and the join
+    cheap = (shared.repartition("doc_id").withColumn("tag", tag).withColumn("place", F.row_number().over(in_doc))
+             .filter(F.col("place") > spare).select("key", "doc_id"))
+    cheap = cheap.join(copies, "doc_id", "left").select("key", F.coalesce("leader", "doc_id").alias("doc_id"))
+    # and by key once
+    links = written(cheap.repartition("key").distinct().withColumn("pivot", F.min("doc_id").over(by_key))
                     .withColumn("holders", F.count("*").over(by_key)).filter("holders > 1")
                     .select("key", "doc_id", "pivot"), "links")
-    near = links.select("doc_id").distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(near, "doc_id", "left_semi"), "texts")
+    near = written(links.select("doc_id").distinct(), "near")
+    # most documents share nothing: a bit field of fixed size keeps their texts out of the join's shuffle
+    likely = maybe_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), near, "doc_id")
+    texts = written(likely.join(near, "doc_id", "left_semi"), "texts")
+    sketches = written(sets.select(F.col("doc_id").cast("long").alias("doc_id"), "n_shingles", *_SKETCH)
+                       .join(near, "doc_id", "left_semi"), "sketches")
+    side_a, side_b = _sketch(sketches, "a"), _sketch(sketches, "b")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        likely = salted_join(pairs.join(side_b, "b"), side_a, ["a"], F.col("b")).filter(_may_link(percent)).select("a", "b")
+        return written(verified(likely, texts, k, percent), "edges")
 
     # every document with the pivot it shares most keys with, then with its other pivots
     stars = written(links.filter("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("common")), "stars")
     best = Window.partitionBy("doc_id").orderBy(F.desc("common"), "pivot")
     first = stars.withColumn("place", F.row_number().over(best)).filter("place = 1")
-    found = [written(verified(first.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), texts, k, percent), "edges")]
+    found = [check(first.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))]
     groups = written(_groups(found), "groups")
-    rest = _apart(stars.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), groups)
-    found.append(written(verified(rest, texts, k, percent), "edges"))
+    found.append(check(_apart(stars.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), groups)))
     groups = written(_groups(found), "groups")
 
     # what is left: documents of different components that share a key
@@ -275,13 +309,12 @@ def join_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
               .select("key", "node", F.coalesce("component_id", "node").alias("g")))
     mixed = placed.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("key")
     placed = written(placed.join(mixed, "key"), "placed")
-    parts = placed.select("key", "g").distinct()
-    across = parts.select("key", F.col("g").alias("ga")).join(parts.select("key", F.col("g").alias("gb")), "key").filter("ga < gb")
-    rest = (across.join(placed.select("key", F.col("g").alias("ga"), F.col("node").alias("a")), ["key", "ga"])
-            .join(placed.select("key", F.col("g").alias("gb"), F.col("node").alias("b")), ["key", "gb"])
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    done = stars.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))  # those were verified already
-    found.append(written(verified(rest.join(done, ["a", "b"], "left_anti"), texts, k, percent), "edges"))
+    one = placed.select("key", F.col("g").alias("ga"), F.col("node").alias("a")).join(side_a, "a")
+    other = placed.select("key", F.col("g").alias("gb"), F.col("node").alias("b")).join(side_b, "b")
+    # the sketches are part of the join's condition, so pairs without a chance are not made
+    rest = one.join(other, (one["key"] == other["key"]) & (F.col("ga") < F.col("gb")) & _may_link(percent))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found.append(written(verified(rest, texts, k, percent), "edges"))
     groups = _groups(found)
 
     # groups of leaders, then their copies

@@ -18,14 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.common import written
+from lotline.llm.common import FIELD_BITS, bit_field, written
 
 #: Tokens of a seed, and the shortest tile.
 SEED = 5
 #: Share of an item's tokens that tiles must cover.
 COVERAGE = 0.5
-#: Bits of the filter that tells documents without any seed; its size does not depend on the data.
-FILTER_BITS = 1 << 26
 #: Words whose hashes a task remembers.
 REMEMBERED = 300_000
 
@@ -146,8 +144,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
     seeds = written(items.mapInPandas(item_seeds, f"seed long, item_id {item_type}, item_tokens int"), "seeds")
-    bits = _filter(seeds)
-    bits_shared = docs.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS bits
+    # the seed's unsigned value modulo a power of two is its lowest bits
+    bits_shared = docs.sparkSession.sparkContext.broadcast(bit_field(seeds, F.col("seed")))
 
     def doc_seeds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, filled = _Hashes(), bits_shared.value
@@ -156,7 +154,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 words = tokens_of(text)
                 h = window_hashes(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), SEED)
-                at = h % np.uint64(FILTER_BITS)
+                at = h % np.uint64(FIELD_BITS)
                 hit = (filled[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
                 if hit.any():
                     out["doc_id"].append(doc_id)
@@ -193,16 +191,3 @@ def _tiled(pairs: DataFrame, hits: DataFrame, items: DataFrame, id_type: str, it
     best = F.max(F.struct("coverage", "covered_tokens", "item_tokens", F.negative("tiles").alias("t"))).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "b.item_tokens", "b.covered_tokens", F.negative("b.t").alias("tiles"), "b.coverage")
-
-
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """Bit field of FILTER_BITS bits with the bit of every seed set."""
-    # the seed's unsigned value modulo a power of two is its lowest bits
-    place = F.col("seed").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
-    rows = (seeds.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows.toLocalIterator():
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[(r["bucket"] - 1) * len(part):r["bucket"] * len(part)] = part
-    return out
