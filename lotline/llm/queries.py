@@ -13,6 +13,7 @@ from lotline.llm import (
     grid_join,
     hd_language,
     interleave_shards,
+    oracle,
     ordinal_toxicity,
     partition_join,
     seekable_ids,
@@ -105,4 +106,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the query; the others are tested against brute force."""
+    return dict(oracle.SQL)
