@@ -64,7 +64,8 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: Column
     rows of one key of ``many`` are dealt over SALTS tasks by ``spread``."""
     left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     right = few.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    # sizes are judged before the copies are made, so no broadcast of them
+    return left.join(right.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
