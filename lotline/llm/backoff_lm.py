@@ -24,20 +24,46 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.blocks import STREAM_SCHEMA, Block, blocks, stream_row, unpack
+from lotline.llm.blocks import STREAM_SCHEMA, Block, blocks, stream_batch, unpack, word_batches
 from lotline.llm.common import crc32_of, written
 
 STATE_RATE = 1 / 4096
 MIN_ARC = 2
 DISCOUNT = 0.75
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+#: Words of a block that are worked on at a time.
+SLICE = 500_000
+
+
+def numbered(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words between ASCII white space, A-Z lower-cased: the distinct ones, the place of
+    each word of the texts (null: none), and the number of words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    found = pc.dictionary_encode(lists.flatten())
+    names, codes = found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+    empty = names.index("") if "" in names else -1
+    if empty >= 0:  # white space at an end of a text
+        keep = codes != empty
+        ends = np.r_[0, np.cumsum(keep)][ends]
+        codes = codes[keep]
+        codes -= codes > empty
+        del names[empty]
+    return names, codes, np.diff(ends)
+
+
+def slices(lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Texts in runs of about SLICE words: first text, last + 1, and the same of their words."""
+    ends = np.r_[0, np.cumsum(lengths)]
+    first = 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE, side="right")) - 1)
+        yield first, last, int(ends[first]), int(ends[last])
+        first = last
 
 
 @dataclass
@@ -71,7 +97,7 @@ class States:
     the end (as a token). ``backoff``: log10 weight of each state's failure arc, ``total``
     its training count."""
 
-    words: list[bytes]
+    words: list[str]
     total: np.ndarray
     backoff: np.ndarray
 
@@ -89,9 +115,9 @@ def training(id_col: str = "doc_id"):
     return F.coalesce(crc32_of(F.col(id_col)) % 7 != 2, F.lit(False))
 
 
-def _symbols(block: Block, number: dict[bytes, int]) -> np.ndarray:
+def _symbols(block: Block, number: dict[str, int]) -> np.ndarray:
     """State number of each place of a block, -1 for other words."""
-    return np.fromiter((number.get(w, -1) for w in block.places), np.int64, len(block.places))
+    return np.fromiter((number.get(w, -1) for w in block.words), np.int64, len(block.words))
 
 
 def _walk(symbols: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,15 +149,11 @@ def score(docs: DataFrame, flag: Column) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", flag.alias("flag"))
 
-    def tell_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in blocks(frames, words_of):
-            names, counts, key = list(block.places), block.flagged(), block.key
-            for i in range(0, len(names), 50_000):
-                part = names[i:i + 50_000]
-                yield pd.DataFrame({"block": key, "place": np.arange(i, i + len(part), dtype=np.int32), "word": part,
-                                    "n": counts[i:i + len(part)]})
+    def tell_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, numbered):
+            yield from word_batches(block, n=block.flagged().astype(np.int64))
 
-    told = rows.mapInPandas(tell_words, "block long, place int, word binary, n long")
+    told = rows.mapInArrow(tell_words, "block long, place int, word string, n long")
     # one row per distinct word; its list is at most one entry per block
     table = written(told.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "place")).alias("at")), "words")
     texts = rows.filter("flag").count()
@@ -140,26 +162,28 @@ def score(docs: DataFrame, flag: Column) -> DataFrame:
     root = Root((r["n"] or 0) + texts, (r["v"] or 0) + (texts > 0), texts, (r["f1"] or 0) + (texts == 1), (r["f2"] or 0) + (texts == 2))
 
     # at most 1 / STATE_RATE words
-    chosen = sorted((bytes(x["word"]), x["n"]) for x in
+    chosen = sorted((x["word"], x["n"]) for x in
                     table.filter((F.col("n") > 0) & (F.col("n") >= STATE_RATE * root.tokens)).select("word", "n").collect())
     names = [w for w, _ in chosen]
     number = {w: i for i, w in enumerate(names)}
     end, size = len(names), len(names) + 1
     number_shared = spark.sparkContext.broadcast(number)
 
-    def tell_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in blocks(frames, words_of):
-            lengths = np.array([len(x) for x in block.stream], np.int64)
-            history, sym, _ = _walk(_symbols(block, number_shared.value)[block.codes], lengths, end)
-            flags = np.repeat(np.array(block.flags), lengths + 1)
-            both = (history >= 0) & (sym >= 0)
-            pairs, at = np.unique(history[both] * size + sym[both], return_inverse=True)
-            counts = np.bincount(at, weights=flags[both], minlength=len(pairs)).astype(np.int64)
-            key = block.key
-            for i in range(0, len(pairs), 100_000):
-                yield pd.DataFrame({"block": key, "pair": pairs[i:i + 100_000], "n": counts[i:i + 100_000]})
-
-    arcs = written(rows.mapInPandas(tell_pairs, "block long, pair long, n long").groupBy("pair")
+    def tell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, numbered):
+            symbols, pairs, counts = _symbols(block, number_shared.value), [], []
+            for d0, d1, w0, w1 in slices(block.lengths):
+                history, sym, _ = _walk(symbols[block.codes[w0:w1]], block.lengths[d0:d1], end)
+                flags = np.repeat(block.flags[d0:d1], block.lengths[d0:d1] + 1)
+                both = (history >= 0) & (sym >= 0)
+                some, at = np.unique(history[both] * size + sym[both], return_inverse=True)
+                pairs.append(some)
+                counts.append(np.bincount(at, weights=flags[both], minlength=len(some)))
+            every, at = np.unique(np.concatenate(pairs), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(every), block.key)), "pair": pa.array(every), "n": pa.array(n)})
+
+    arcs = written(rows.mapInArrow(tell_pairs, "block long, pair long, n long").groupBy("pair")
                    .agg(F.sum("n").alias("n"), F.collect_list("block").alias("at")).filter(F.col("n") >= MIN_ARC), "arcs")
     # one row per state
     kept = arcs.groupBy(F.expr(f"pair div {size}").alias("state")).agg(
@@ -172,15 +196,15 @@ def score(docs: DataFrame, flag: Column) -> DataFrame:
         backoff = np.log10(np.where(total > 0, (total - taken) / total, 1.0))
     model = spark.sparkContext.broadcast((root, States(names, total, backoff)))
 
-    states = spark.createDataFrame([(bytearray(w), i) for w, i in number.items()], "word binary, symbol int")
+    states = spark.createDataFrame(list(number.items()), "word string, symbol int")
     by_word = (table.join(F.broadcast(states), "word", "left")
                .select(F.explode("at").alias("at"), "n", F.coalesce("symbol", F.lit(-1)).alias("symbol"))
                .select("at.block", F.col("at.place").cast("long").alias("key"), "n", "symbol", F.lit(False).alias("arc")))
     by_pair = arcs.select(F.explode("at").alias("block"), F.col("pair").alias("key"), "n", F.lit(-1).alias("symbol"), F.lit(True).alias("arc"))
 
-    def tell_streams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in blocks(frames, words_of):
-            yield stream_row(block)
+    def tell_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, numbered):
+            yield stream_batch(block)
 
     def traverse(stream: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(stream):
@@ -195,28 +219,28 @@ def score(docs: DataFrame, flag: Column) -> DataFrame:
         pairs, pair_n = found["key"].to_numpy()[arc][order], found["n"].to_numpy()[arc][order]
         out = []
         for s in stream.itertuples():
-            codes, lengths = unpack(s.stream, s.n_words), np.array(s.lengths, np.int64)
-            history, sym, starts = _walk(symbol_of[codes], lengths, end)
-            counts = np.empty(len(sym), np.int64)
-            is_end = np.zeros(len(sym), bool)
-            is_end[starts + lengths] = True
-            counts[is_end], counts[~is_end] = root.texts, count_of[codes]
-            unigram = root.log10(counts)
-            # failure arc to the root, then the root's arc
-            step = unigram + np.where(history >= 0, states.backoff[history], 0.0)
-            # or the state's own arc
-            wanted = np.where((history >= 0) & (sym >= 0), history * size + sym, -1)
-            at = np.minimum(np.searchsorted(pairs, wanted), max(0, len(pairs) - 1))
-            hit = (pairs[at] == wanted) if len(pairs) else np.zeros(len(sym), bool)
-            step[hit] = np.log10((pair_n[at[hit]] - DISCOUNT) / states.total[history[hit]] + 10.0 ** step[hit])
-            known = (counts > 0).astype(np.int64)
-            out.append(pd.DataFrame({
-                "doc_id": pd.array([None if null else d for d, null in zip(s.doc_ids, s.nulls, strict=True)], dtype="Int64"),
-                "n_tokens": lengths + 1, "n_known": np.add.reduceat(known, starts),
-                "base_score": np.add.reduceat(root.base_log10(counts), starts), "score": np.add.reduceat(step, starts)}))
+            all_codes, all_lengths = unpack(s.stream, s.n_words), np.array(s.lengths, np.int64)
+            for d0, d1, w0, w1 in slices(all_lengths):
+                codes, lengths = all_codes[w0:w1], all_lengths[d0:d1]
+                history, sym, starts = _walk(symbol_of[codes], lengths, end)
+                counts = np.empty(len(sym), np.int64)
+                is_end = np.zeros(len(sym), bool)
+                is_end[starts + lengths] = True
+                counts[is_end], counts[~is_end] = root.texts, count_of[codes]
+                # failure arc to the root, then the root's arc
+                step = root.log10(counts) + np.where(history >= 0, states.backoff[history], 0.0)
+                # or the state's own arc
+                wanted = np.where((history >= 0) & (sym >= 0), history * size + sym, -1)
+                at = np.minimum(np.searchsorted(pairs, wanted), max(0, len(pairs) - 1))
+                hit = (pairs[at] == wanted) if len(pairs) else np.zeros(len(sym), bool)
+                step[hit] = np.log10((pair_n[at[hit]] - DISCOUNT) / states.total[history[hit]] + 10.0 ** step[hit])
+                out.append(pd.DataFrame({
+                    "doc_id": pd.array([None if pd.isna(d) else int(d) for d in s.doc_ids[d0:d1]], dtype="Int64"),
+                    "n_tokens": lengths + 1, "n_known": np.add.reduceat((counts > 0).astype(np.int64), starts),
+                    "base_score": np.add.reduceat(root.base_log10(counts), starts), "score": np.add.reduceat(step, starts)}))
         return pd.concat(out, ignore_index=True)
 
-    streams = rows.mapInPandas(tell_streams, STREAM_SCHEMA)
+    streams = rows.mapInArrow(tell_streams, STREAM_SCHEMA)
     out = streams.groupBy("block").cogroup(by_word.unionByName(by_pair).groupBy("block")).applyInPandas(
         traverse, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(root.tokens).cast("long").alias("train_tokens"), "base_score", "score")

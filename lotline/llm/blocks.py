@@ -1,89 +1,97 @@
 """Blocks of texts, told as distinct words and as streams of word places.
 
-A block is the texts of a task, up to BLOCK_CHARS. Its distinct words are numbered by
-first appearance (their place), so a table of words can be joined back to every block
-that has them, and the block's texts are a compact stream of places. The streams and
-the words come from separate reads of the texts: ``docs`` must give the same rows in
-the same partitions each time (a table, a checkpoint). A block's key holds a hash of
-its content, so a change between two reads is an error, not a wrong result.
+A block is one Arrow batch of a task's texts (Spark bounds its rows and its bytes). Its
+distinct words are numbered by first appearance (their place), so a table of words can be
+joined back to every block that has them, and the block's texts are a compact stream of
+places. The streams and the words come from separate reads of the texts: ``docs`` must
+give the same rows in the same partitions each time (a table, a checkpoint). A block's
+key holds a hash of its content, so a change between two reads is an error, not a wrong
+result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
 
-#: Characters that close a block; a longer text is a block of its own.
-BLOCK_CHARS = 32_000_000
+from lotline.llm.words import slices
 
-STREAM_SCHEMA = ("block long, stream binary, n_words int, doc_ids array<long>, nulls array<boolean>, "
-                 "flags array<boolean>, lengths array<int>")
+STREAM_SCHEMA = ("block long, stream binary, n_words int, doc_ids array<long>, flags array<boolean>, "
+                 "lengths array<int>")
 
+#: Distinct words, the place of each word of the texts, and the number of words of each text.
+Numbered = tuple[list, np.ndarray, np.ndarray]
 
+
+@dataclass
 class Block:
-    def __init__(self, name: str, split: Callable[[str | None], list]):
-        self.name, self.split = name, split
-        self.places: dict = {}
-        self.stream: list[np.ndarray] = []
-        self.ids: list[int | None] = []
-        self.flags: list[bool] = []
-        self.chars = 0
-        self.content = xxhash.xxh3_64()
-
-    def add(self, doc_id: int | None, text: str | None, flag: bool) -> None:
-        parts, places = self.split(text), self.places
-        self.stream.append(np.fromiter((places.setdefault(w, len(places)) for w in parts), np.uint32, len(parts)))
-        self.ids.append(doc_id)
-        self.flags.append(flag)
-        self.chars += len(text or "")
-        self.content.update(f"{doc_id}\0".encode() + (text or "").encode("utf-8", "surrogatepass") + b"\0")
-
-    @property
-    def key(self) -> int:
-        return xxhash.xxh3_64_intdigest(f"{self.name}:{self.content.hexdigest()}") - (1 << 63)
-
-    @property
-    def codes(self) -> np.ndarray:
-        return np.concatenate(self.stream)
+    key: int
+    words: list
+    codes: np.ndarray
+    lengths: np.ndarray
+    doc_ids: pa.Array
+    flags: np.ndarray
 
     def flagged(self) -> np.ndarray:
         """Occurrences of each place in the flagged texts."""
-        chosen = [x for x, f in zip(self.stream, self.flags, strict=True) if f]
-        return np.bincount(np.concatenate(chosen) if chosen else np.empty(0, np.int64), minlength=len(self.places))
+        return np.bincount(self.codes[np.repeat(self.flags, self.lengths)], minlength=len(self.words))
+
+
+def _numbered(column: pa.Array, numbered: Callable[[pa.Array], Numbered]) -> Numbered:
+    """``numbered`` of a long column, slice by slice, so its working memory is bounded."""
+    places: dict = {}
+    codes, lengths = [], []
+    for part in slices(column):
+        words, some, n = numbered(part)
+        here = np.fromiter((places.setdefault(w, len(places)) for w in words), np.uint32, len(words))
+        codes.append(here[some])
+        lengths.append(n)
+    return list(places), np.concatenate(codes), np.concatenate(lengths)
 
 
-def blocks(frames: Iterator[pd.DataFrame], split: Callable[[str | None], list]) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], numbered: Callable[[pa.Array], Numbered]) -> Iterator[Block]:
     """Blocks of a task's rows (doc_id, text and, if there is one, flag)."""
-    part, n = TaskContext.get().partitionId(), 0
-    block = Block(f"{part}.0", split)
-    for pdf in frames:
-        ids = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
-        flags = [bool(f) for f in pdf["flag"]] if "flag" in pdf else [True] * len(ids)
-        for doc_id, text, flag in zip(ids, pdf["text"], flags, strict=True):
-            block.add(doc_id, text, flag)
-            if block.chars >= BLOCK_CHARS:
-                yield block
-                n += 1
-                block = Block(f"{part}.{n}", split)
-    if block.ids:
-        yield block
-
-
-def stream_row(block: Block) -> pd.DataFrame:
+    part = TaskContext.get().partitionId()
+    for n, batch in enumerate(batches):
+        if not batch.num_rows:
+            continue
+        words, codes, lengths = _numbered(batch.column("text"), numbered)
+        flags = (batch.column("flag").to_numpy(zero_copy_only=False).astype(bool) if "flag" in batch.schema.names
+                 else np.ones(batch.num_rows, bool))
+        content = xxhash.xxh3_64(f"{part}.{n}:{batch.column('doc_id').to_pylist()}")
+        for x in (codes, lengths, flags):
+            content.update(np.ascontiguousarray(x).tobytes())
+        content.update("\0".join(words).encode("utf-8", "surrogatepass"))
+        yield Block(content.intdigest() - (1 << 63), words, codes, lengths, batch.column("doc_id"), flags)
+        pa.default_memory_pool().release_unused()
+
+
+def word_batches(block: Block, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (block, place, word, and the columns given by place)."""
+    for i in range(0, len(block.words), 50_000):
+        part = block.words[i:i + 50_000]
+        n = len(part)
+        yield pa.RecordBatch.from_pydict({
+            "block": pa.array(np.full(n, block.key)), "place": pa.array(np.arange(i, i + n, dtype=np.int32)),
+            "word": pa.array(part, pa.string()), **{k: pa.array(v[i:i + n]) for k, v in columns.items()}})
+
+
+def stream_batch(block: Block) -> pa.RecordBatch:
     """The block's stream (STREAM_SCHEMA): the bytes of its places, lowest first."""
-    codes = block.codes
     # frequent words come early, so most high bytes are 0
-    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3 if len(block.places) < 1 << 24 else 4]
+    planes = block.codes.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3 if len(block.words) < 1 << 24 else 4]
     data = zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
-    return pd.DataFrame({"block": [block.key], "stream": [data], "n_words": [len(codes)],
-                         "doc_ids": [[-1 if d is None else d for d in block.ids]],
-                         "nulls": [[d is None for d in block.ids]], "flags": [block.flags],
-                         "lengths": [[len(x) for x in block.stream]]})
+    return pa.RecordBatch.from_pydict({
+        "block": pa.array([block.key]), "stream": pa.array([data], pa.binary()), "n_words": pa.array([len(block.codes)], pa.int32()),
+        "doc_ids": pa.array([block.doc_ids.to_pylist()], pa.list_(pa.int64())),
+        "flags": pa.array([block.flags.tolist()], pa.list_(pa.bool_())),
+        "lengths": pa.array([block.lengths.tolist()], pa.list_(pa.int32()))})
 
 
 def unpack(stream: bytes, n_words: int) -> np.ndarray:

@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a distinct-word table.
 
 Texts are split into words task by task and told in blocks: the distinct words of a
-block, one row each, and its stream of word places. Words are grouped over all blocks, each distinct word is encoded once, and its
-ids go back to every block that has it, where the stream's places are replaced by the
-words' ids. Decoding joins each block's distinct ids with the id-to-piece table.
+block, one row each, and its stream of word places. Words are grouped over all blocks,
+each distinct word is encoded once, and its ids go back to every block that has it, where
+they are joined to the stream by place. Decoding joins the ids with the id-to-piece
+table, which is broadcast (it is the vocabulary), for each distinct word of a block.
 """
 
 from __future__ import annotations
@@ -12,49 +13,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotline.llm import words
-from lotline.llm.blocks import STREAM_SCHEMA, blocks, stream_row, unpack
+from lotline.llm.blocks import STREAM_SCHEMA, blocks, stream_batch, unpack, word_batches
 
 
-def _word_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for block in blocks(frames, words.split):
-        names = list(block.places)
-        for i in range(0, len(names), 50_000):
-            part = names[i:i + 50_000]
-            yield pd.DataFrame({"block": block.key, "place": np.arange(i, i + len(part), dtype=np.int32), "word": part})
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches, words.numbered):
+        yield from word_batches(block)
 
 
-def _stream_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for block in blocks(frames, words.split):
-        yield stream_row(block)
+def _stream_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches, words.numbered):
+        yield stream_batch(block)
 
 
-def _rebuilt(stream: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """The documents of a block from its stream, its words' ids and its ids' pieces."""
-    columns = ["doc_id", "ids", "decoded"]
+def rebuilt(stream: pd.DataFrame, rows: pd.DataFrame, pieces: list[str], width: str) -> pd.DataFrame:
+    """The documents of a block from its stream, its words' ids (by place) and the pieces."""
     if not len(stream):
         raise ValueError("words of a block without its texts: the input changed between two reads")
-    is_word = rows["piece"].isna().to_numpy()
-    piece = dict(zip(rows["place"][~is_word], rows["piece"][~is_word], strict=True))
-    place, ids = rows["place"][is_word].to_numpy(), rows["ids"][is_word].to_numpy()
-    encoded, decoded = [b""] * len(place), [""] * len(place)
-    for i, x in zip(place.tolist(), ids, strict=True):
-        encoded[i] = np.asarray(x, "<u4").tobytes()
-        decoded[i] = " ".join([piece[int(j)] for j in x])
+    by_place = [b""] * len(rows)
+    for i, x in zip(rows["place"].tolist(), rows["ids"], strict=True):
+        by_place[i] = bytes(x)
+    flat = np.frombuffer(b"".join(by_place), width).astype(np.uint32)
+    lengths = np.array([len(x) for x in by_place], np.int64) // np.dtype(width).itemsize
+    starts = np.cumsum(lengths) - lengths
+    named = [pieces[i] for i in flat.tolist()]
+    decoded = [" ".join(named[s:s + n]) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
     out = []
     for s in stream.itertuples():
-        codes = unpack(s.stream, s.n_words)
-        at = 0
-        for doc_id, null, n in zip(s.doc_ids, s.nulls, s.lengths, strict=True):
-            part = codes[at:at + n].tolist()
+        codes, at = unpack(s.stream, s.n_words), 0
+        for doc_id, n in zip(s.doc_ids, s.lengths, strict=True):
+            part = codes[at:at + n]
             at += n
-            out.append((None if null else doc_id, b"".join([encoded[c] for c in part]),
-                        " ".join([d for c in part if (d := decoded[c])])))
-    pdf = pd.DataFrame(out, columns=columns)
-    pdf["doc_id"] = pdf["doc_id"].astype("Int64")
+            ids = words.gather(flat, starts[part], lengths[part])
+            out.append((doc_id, ids.astype("<u4").tobytes(), " ".join([d for c in part.tolist() if (d := decoded[c])])))
+    pdf = pd.DataFrame(out, columns=["doc_id", "ids", "decoded"])
+    pdf["doc_id"] = pd.array([None if pd.isna(d) else int(d) for d in pdf["doc_id"]], dtype="Int64")
     return pdf
 
 
@@ -71,25 +69,29 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     spark = docs.sparkSession
     text = words.vocabulary(tokenizer_path)
     vocabulary = spark.sparkContext.broadcast(text)
-    # at most as many rows as the vocabulary has
-    pieces = F.broadcast(words.pieces(spark, text))
+    table = words.pieces(text)
+    pieces = spark.sparkContext.broadcast(table)  # as many as the vocabulary has
+    width = "<u2" if len(table) <= 1 << 16 else "<u4"
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tok = words.load(vocabulary.value)
         for w in parts:
-            yield pd.Series([e.ids for e in tok.encode_batch_fast(list(w), add_special_tokens=False)])
+            yield pd.Series([np.array(e.ids, width).tobytes() for e in tok.encode_batch_fast(list(w), add_special_tokens=False)])
+
+    # else Spark would move it below the grouping, to every block's words
+    encode = encode.asNondeterministic()
+
+    def join(stream: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        return rebuilt(stream, found, pieces.value, width)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = rows.mapInPandas(_word_rows, "block long, place int, word string")
+    told = rows.mapInArrow(_word_rows, "block long, place int, word string")
     # one row per distinct word; its list is at most one entry per block
     distinct = told.groupBy("word").agg(F.collect_list(F.struct("block", "place")).alias("at"))
-    table = distinct.withColumn("ids", encode("word"))
-    placed = table.select(F.explode("at").alias("at"), "ids").select("at.block", "at.place", "ids")
-    named = (placed.select("block", F.explode("ids").alias("id")).distinct().join(pieces, "id")
-             .select("block", F.col("id").alias("place"), F.lit(None).cast("array<int>").alias("ids"), "piece"))
-    both = placed.withColumn("piece", F.lit(None).cast("string")).unionByName(named)
-    streams = rows.mapInPandas(_stream_rows, STREAM_SCHEMA)
-    out = streams.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(
-        _rebuilt, "doc_id long, ids binary, decoded string")
+    placed = (distinct.withColumn("ids", encode("word")).select(F.explode("at").alias("at"), "ids")
+              .select("at.block", "at.place", "ids"))
+    streams = rows.mapInArrow(_stream_rows, STREAM_SCHEMA)
+    out = streams.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(
+        join, "doc_id long, ids binary, decoded string")
     return out.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "decoded")

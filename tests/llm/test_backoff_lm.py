@@ -5,14 +5,20 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lotline.llm import backoff_lm as lm
 
 
+def words_of(text):
+    return [w.decode() for w in (text or "").encode().lower().split()]
+
+
 def brute(rows, learn):
     """n_tokens, n_known, N, base and automaton score by plain dictionaries."""
-    texts = [lm.words_of(t) + [None] for _, t in rows]
+    texts = [words_of(t) + [None] for _, t in rows]
     c = Counter(w for t, f in zip(texts, learn) if f for w in t)
     n, v, k = sum(c.values()), len(c), sum(learn)
     f1, f2 = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
@@ -96,13 +102,27 @@ def test_no_training_and_empty(table, frame):
     assert lm.score(table([], "doc_id long, text string"), F.lit(True)).count() == 0
 
 
-def test_probabilities_of_a_state_sum_to_one():
+def test_root_probabilities_sum_to_one():
     """Over the types of the base score: the known ones and one for all unseen."""
-    rows = corpus(60)
-    texts = [lm.words_of(t) + [None] for _, t in rows]
-    types = [b" ".join([w]) for w in {w for t in texts for w in t if w is not None}]
-    probes = [(i, f"w1 {w.decode()}") for i, w in enumerate(types)] + [(-1, "w1 neverseen"), (-2, "w1")]
-    scored = {r[0]: r[5] for r in brute([*rows, *[(("p", i), t) for i, t in probes]], [True] * len(rows) + [False] * len(probes))}
-    ends = scored["p", -2]
-    # score("w1 x") = score("w1 x" without its end) + end after x; compare through the end's own arc
-    assert ends < 0
+    counts = np.array([1] * 5 + [2] * 3 + [7, 9])
+    root = lm.Root(int(counts.sum()), len(counts), 7, 5, 3)
+    assert (10 ** root.log10(np.r_[counts, 0])).sum() == pytest.approx(1)
+    assert (10 ** root.base_log10(np.r_[counts, 0])).sum() == pytest.approx(1)
+
+
+def test_small_blocks(spark, table):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        check(table, corpus(60) + [(200, None), (201, " ")])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_numbered():
+    texts = ["  A b\x0bB ", None, "", "\n", "É a\x85é"]
+    names, codes, counts = lm.numbered(pa.array(texts, pa.string()))
+    at, got = 0, []
+    for n in counts.tolist():
+        got.append([names[c] for c in codes[at:at + n]])
+        at += n
+    assert got == [words_of(t) for t in texts]

@@ -62,19 +62,33 @@ def test_round_trip_against_the_library(table):
     assert sorted(((r.doc_id, bytes(r.ids), r.n_tokens, r.decoded) for r in got), key=str) == sorted(expect, key=str)
 
 
-def test_small_blocks_and_empty_table(table, monkeypatch):
-    from lotline.llm import blocks
-
-    monkeypatch.setattr(blocks, "BLOCK_CHARS", 50)
-    rows = [(i, f"word{i % 7} shared Shared {i}") for i in range(60)]
-    got = {r.doc_id: bytes(r.ids) for r in bpe.encode_decode(table(rows, "doc_id long, text string"), PATH).collect()}
+def test_small_blocks_and_empty_table(spark, table):
+    rows = [(i, f"word{i % 7} shared Shared {i}") for i in range(60)] + [(60, None), (61, " ")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = {r.doc_id: bytes(r.ids) for r in bpe.encode_decode(table(rows, "doc_id long, text string"), PATH).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {i: struct.pack(f"<{len(ids_of(t))}I", *ids_of(t)) for i, t in rows}
     assert bpe.encode_decode(table([], "doc_id long, text string"), PATH).count() == 0
+    assert [(r.ids, r.decoded) for r in bpe.encode_decode(table([(1, None), (2, "")], "doc_id long, text string"), PATH).collect()] == [(b"", "")] * 2
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), PARTS.map("".join)), max_size=6))
+def test_numbered_words_are_the_words(texts):
+    names, codes, counts = words.numbered(pa.array(texts, pa.string()))
+    assert len(set(names)) == len(names) and "" not in names
+    at = 0
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        assert [i for c in codes[at:at + n] for i in ids_of(names[c])] == ids_of(text)
+        at += n
+    assert at == len(codes)
 
 
 def test_a_changed_input_is_an_error():
     import pandas as pd
 
-    stream = pd.DataFrame({"block": [], "stream": [], "n_words": [], "doc_ids": [], "nulls": [], "flags": [], "lengths": []})
+    stream = pd.DataFrame({"block": [], "stream": [], "n_words": [], "doc_ids": [], "flags": [], "lengths": []})
     with pytest.raises(ValueError, match="changed"):
-        bpe._rebuilt(stream, pd.DataFrame({"place": [0], "ids": [[1]], "piece": [None]}))
+        bpe.rebuilt(stream, pd.DataFrame({"place": [0], "ids": [b"a"]}), ["x"], "<u2")
