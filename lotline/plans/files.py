@@ -31,16 +31,16 @@ SCHEMA = T.StructType([T.StructField(FILE_HEADERS[c], T.LongType() if c in ("ord
 
 
 def q_request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Land the request sheets as CSV files (even sheets UTF-8, odd sheets
-    Latin-1; part types carry an accented letter) in a fresh folder under the
-    shared checkpoint folder, then read them back: reader chosen by
-    extension (S2), encoding chosen per file from its bytes (S1), headers
+    """Land the request sheets as CSV files (even sheets UTF-8 with commas, odd
+    sheets Latin-1 with semicolons; part types carry an accented letter) in a
+    fresh folder under the shared folder, then read them back: reader chosen by
+    extension (S2), encoding and separator chosen per file (S1), headers
     mapped to canonical names by aliases (P2), required columns checked (P1)."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/requests-{uuid.uuid4().hex}"
     req = adapters.requests(spark, sf_dir).withColumn("part_type", F.concat(F.col("part_type"), F.lit("é")))
     out = req.select(*[F.col(c).alias(h) for c, h in FILE_HEADERS.items()])
-    for parity, enc in ((0, "UTF-8"), (1, "ISO-8859-1")):
-        (out.filter(F.col("Sheet") % 2 == parity).write.option("header", True).option("encoding", enc)
+    for parity, enc, sep in ((0, "UTF-8", ","), (1, "ISO-8859-1", ";")):
+        (out.filter(F.col("Sheet") % 2 == parity).write.option("header", True).option("encoding", enc).option("sep", sep)
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .csv(f"{root}/{enc.lower()}"))
     raw = read_any(spark, f"{root}/*/*.csv", SCHEMA).drop("source_file")

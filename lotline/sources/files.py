@@ -87,13 +87,13 @@ def read_delimited(spark: SparkSession, path, schema: T.StructType, sep: str | N
 
 
 def read_any(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Reader chosen by extension (.csv, .tsv/.txt tab-separated, .json,
-    .parquet). Spreadsheets are not read: land them as CSV or Parquet."""
+    """Reader chosen by extension (.csv with its separator taken from the file,
+    .tsv/.txt tab-separated, .json, .parquet). Spreadsheets are not read: land them as CSV or Parquet."""
     low = path.lower()
     if low.endswith(".csv"):
         if schema is None:
             raise ValueError("give a schema for delimited files")
-        return read_delimited(spark, path, schema)
+        return read_delimited(spark, path, schema, sep=None)
     if low.endswith((".tsv", ".txt")):
         if schema is None:
             raise ValueError("give a schema for delimited files")
