@@ -136,7 +136,9 @@ def _links(distinct: DataFrame, size: int, n: int, eps: float, threshold: float)
                  .mapInPandas(project, f"node long, copies long, unit binary, {at}"))
     # epsilon grid order: by cell, dimension after dimension; in a cell by the leading coordinate
     order = [F.floor(F.col(f"p{i}") / eps) for i in range(dims)] + [F.col("p0"), F.col("node")]
-    sequence = projected.repartitionByRange(max(1, round(n / INTERVAL)), *order).sortWithinPartitions(*order)
+    parts = max(1, round(n / INTERVAL))
+    # as many tasks as intervals, also where the session deals a range out finer than asked for
+    sequence = projected.repartitionByRange(parts, *order).sortWithinPartitions(*order).coalesce(parts)
     table = cut(sequence.mapInPandas(intervals, "nodes array<long>, copies array<long>, units binary, low array<double>, high array<double>")
                 .withColumn("part", F.spark_partition_id()).withColumn("step", F.monotonically_increasing_id()))
     pairs = _near_intervals(table, eps)
