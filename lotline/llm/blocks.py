@@ -20,7 +20,7 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 
-from lotline.llm.words import slices
+from lotline.llm.words import slices, trim
 
 STREAM_SCHEMA = ("block long, stream binary, n_words int, doc_ids array<long>, flags array<boolean>, "
                  "lengths array<int>")
@@ -69,7 +69,7 @@ def blocks(batches: Iterator[pa.RecordBatch], numbered: Callable[[pa.Array], Num
             content.update(np.ascontiguousarray(x).tobytes())
         content.update("\0".join(words).encode("utf-8", "surrogatepass"))
         yield Block(content.intdigest() - (1 << 63), words, codes, lengths, batch.column("doc_id"), flags)
-        pa.default_memory_pool().release_unused()
+        trim()
 
 
 def word_batches(block: Block, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:

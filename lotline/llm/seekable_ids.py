@@ -6,7 +6,8 @@ documents in a row. The seek table has, little-endian,
 
     per frame     size of the frame u32, ids in it u32, crc32 of its ids' bytes u32
     per document  doc_id i64, 1 if the id is null u8, frame u32, first id in the frame u32, ids u32
-    at the end    frames u32, documents u32, crc32 of the table so far u32, magic ``LOTSEEK1``
+    at the end    frames u32, documents u32, crc32 of the table so far u32, ids of the file
+                  u64 (big-endian), magic ``LOTSEEK1``
 
 so a reader finds a document's frame from the end of the file and decompresses only
 that. Spark's own text writer writes the records, hence files are committed as any
@@ -15,17 +16,18 @@ Spark output (a lost task leaves nothing behind) and may be in any store.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotline.llm import words
+from lotline.llm.common import cut
 
 #: Ids that close a frame, and records of a file (its last is the table): about 64 MB of ids.
 FRAME_IDS = 65_536
@@ -35,21 +37,22 @@ MAGIC = b"LOTSEEK1"
 
 _FRAME = struct.Struct("<III")
 _DOC = struct.Struct("<qBIII")
-_END = struct.Struct("<III8s")
+_END = struct.Struct("<III")
+_TOTAL = struct.Struct(">Q8s")
 
 
 def seek_table(frames: list[tuple[int, int, int]], docs: list[tuple[int | None, int, int, int]]) -> bytes:
     body = b"".join(_FRAME.pack(*f) for f in frames)
     body += b"".join(_DOC.pack(0 if d is None else d, d is None, f, at, n) for d, f, at, n in docs)
-    return body + _END.pack(len(frames), len(docs), zlib.crc32(body), MAGIC)
+    return body + _END.pack(len(frames), len(docs), zlib.crc32(body)) + _TOTAL.pack(sum(f[1] for f in frames), MAGIC)
 
 
 def read_table(content: bytes) -> tuple[list[tuple[int, int, int, int]], list[tuple[int | None, int, int, int]]]:
     """Frames (offset, size, ids, crc32) and documents (doc_id, frame, first, ids) of a file."""
-    end = len(content) - 1  # the last line feed
-    n_frames, n_docs, crc, magic = _END.unpack_from(content, end - _END.size)
-    if magic != MAGIC:
+    end = len(content) - 1 - _TOTAL.size  # the last line feed
+    if end < _END.size or _TOTAL.unpack_from(content, end)[1] != MAGIC:
         raise ValueError("not a seekable id file")
+    n_frames, n_docs, crc = _END.unpack_from(content, end - _END.size)
     start = end - _END.size - n_frames * _FRAME.size - n_docs * _DOC.size
     body = content[start:end - _END.size]
     if zlib.crc32(body) != crc:
@@ -83,8 +86,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
     vocabulary = spark.sparkContext.broadcast(words.vocabulary(tokenizer_path))
     closing = b"" if end_id is None else end_id.to_bytes(4, "little")
 
-    def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = words.word_ids(vocabulary.value)
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = words.encoder(vocabulary.value)
         compress = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
         done: list[tuple[int, int, int]] = []
         index: list[tuple[int | None, int, int, int]] = []
@@ -100,13 +103,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
             n_held = 0
             return frame
 
-        for pdf in frames:
+        for batch in batches:
             out = []
-            ids = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
-            for doc_id, text in zip(ids, pdf["text"], strict=True):
-                parts = words.split(text)
-                known.learn(set(parts))
-                data = b"".join(map(known.__getitem__, parts)) + closing
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.texts(batch.column("text")), strict=True):
+                data = ids.astype("<u4").tobytes() + closing
                 index.append((doc_id, len(done), n_held, len(data) // 4))
                 held.append(data)
                 n_held += len(data) // 4
@@ -116,16 +116,17 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
                         out.append(seek_table(done, index))
                         done.clear()
                         index.clear()
-            yield pd.DataFrame({"record": out})
+            yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
+            words.trim()
         if held:
             last = [close(), seek_table(done, index)]
         else:
             last = [seek_table(done, index)] if done else []
-        yield pd.DataFrame({"record": last})
+        yield pa.RecordBatch.from_pydict({"record": pa.array(last, pa.binary())})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id")
-    rows = ordered.sortWithinPartitions("doc_id", "text").mapInPandas(records, "record binary")
+    rows = ordered.sortWithinPartitions("doc_id", "text").mapInArrow(records, "record binary")
     (rows.select(F.col("record").cast("string").alias("value")).write
      .option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path))
 
@@ -153,23 +154,18 @@ def read(spark: SparkSession, path: str, only: list[int] | None = None) -> DataF
                         out = []
                 yield _frame(out)
 
-    def totals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            n = [sum(f[2] for f in read_table(c)[0]) for c in pdf["content"]]
-            yield pd.DataFrame({"part": pdf["part"], "volume": pdf["volume"], "n": n})
-
     name = r"part-(\d+)-.*-c(\d+)"
     files = (spark.read.format("binaryFile").load(path).filter("length > 0")
              .select(F.regexp_extract("path", name, 1).cast("int").alias("part"),
                      F.regexp_extract("path", name, 2).cast("int").alias("volume"), "content"))
     # ids before a part (one row per writing task) and before a volume of it
-    sizes = files.mapInPandas(totals, "part int, volume int, n long")
+    total = F.conv(F.hex(F.expr("substring(content, -17, 8)")), 16, 10).cast("long")
+    sizes = cut(files.select("part", "volume", total.alias("n")))  # one row per file
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("parts_before"))
     sizes = sizes.select("part", "volume", (F.sum("n").over(Window.partitionBy("part").orderBy("volume")) - F.col("n")).alias("volumes_before"))
     starts = sizes.join(parts, "part").select("part", "volume", (F.col("parts_before") + F.col("volumes_before")).alias("file_start"))
     found = files.mapInPandas(documents, "part int, volume int, doc_id long, before long, n_tokens long, ids binary")
-    # one row per file
     return found.join(F.broadcast(starts), ["part", "volume"]).select(
         "doc_id", (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids")
 

@@ -9,6 +9,7 @@ outside that plain set, apostrophes (contractions) or ``<`` (special tokens) sta
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ _CUT = re.compile(rf"[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
 _CUT_LINES = re.compile(rf"\n|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
 _SPACE = re.compile(r"[\t\n\r ]+")
 #: Bytes of texts whose words are handled at a time, and words whose ids are kept.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 10_000_000
 REMEMBERED = 200_000
 #: Words that are encoded in one call, and in one text of it.
 CALL, LINE = 10_000, 100
@@ -127,6 +128,15 @@ def numbered(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return parts, out, np.diff(ends)
 
 
+def trim() -> None:
+    """Give memory that is no longer used back to the machine: Arrow's pool and the C
+    allocator (where it has the call) would keep it, and a worker outlives many tasks."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def slices(column: pa.Array) -> Iterator[pa.Array]:
     """A column in runs of about SLICE_BYTES of text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -135,7 +145,7 @@ def slices(column: pa.Array) -> Iterator[pa.Array]:
         start = ends[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(ends, start + SLICE_BYTES, side="right")))
         yield column.slice(first, last - first)
-        pa.default_memory_pool().release_unused()  # else the pool keeps what a slice needed
+        trim()
         first = last
 
 
