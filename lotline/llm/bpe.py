@@ -3,8 +3,8 @@
 Texts are split into words task by task and told in blocks: the distinct words of a
 block, one row each, and its stream of word places. Words are grouped over all blocks,
 each distinct word is encoded once, and its ids go back to every block that has it, where
-they are joined to the stream by place. Decoding joins the ids with the id-to-piece
-table, which is broadcast (it is the vocabulary), for each distinct word of a block.
+they are joined to the stream by place. Decoding joins ids with the id-to-piece table,
+which is broadcast (it is the vocabulary).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,67 +32,96 @@ def _stream_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stream_batch(block)
 
 
-def rebuilt(stream: pd.DataFrame, rows: pd.DataFrame, pieces: list[str], width: str) -> pd.DataFrame:
-    """The documents of a block from its stream, its words' ids (by place) and the pieces."""
-    if not len(stream):
+def rebuilt(stream: pa.Table, rows: pa.Table, width: str) -> pa.Table:
+    """The ids of a block's documents from its stream and its words' ids (by place)."""
+    if not stream.num_rows:
         raise ValueError("words of a block without its texts: the input changed between two reads")
-    by_place = [b""] * len(rows)
-    for i, x in zip(rows["place"].tolist(), rows["ids"], strict=True):
-        by_place[i] = bytes(x)
-    flat = np.frombuffer(b"".join(by_place), width).astype(np.uint32)
-    lengths = np.array([len(x) for x in by_place], np.int64) // np.dtype(width).itemsize
+    order = np.argsort(rows.column("place").to_numpy())
+    by_place = rows.column("ids").combine_chunks().take(pa.array(order))
+    by_place = by_place.combine_chunks() if isinstance(by_place, pa.ChunkedArray) else by_place
+    size = np.dtype(width).itemsize
+    lengths = pc.binary_length(by_place).to_numpy(zero_copy_only=False).astype(np.int64) // size
+    flat = np.frombuffer(by_place.buffers()[2] or b"", width, int(lengths.sum())).astype("<u4") if len(by_place) else np.empty(0, "<u4")
     starts = np.cumsum(lengths) - lengths
-    named = [pieces[i] for i in flat.tolist()]
-    decoded = [" ".join(named[s:s + n]) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-    out = []
-    for s in stream.itertuples():
-        codes, at = unpack(s.stream, s.n_words), 0
-        for doc_id, n in zip(s.doc_ids, s.lengths, strict=True):
-            part = codes[at:at + n]
-            at += n
-            ids = words.gather(flat, starts[part], lengths[part])
-            out.append((doc_id, ids.astype("<u4").tobytes(), " ".join([d for c in part.tolist() if (d := decoded[c])])))
-    pdf = pd.DataFrame(out, columns=["doc_id", "ids", "decoded"])
-    pdf["doc_id"] = pd.array([None if pd.isna(d) else int(d) for d in pdf["doc_id"]], dtype="Int64")
-    return pdf
-
-
-def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Token ids and decoded text of every row of ``docs`` (doc_id, text).
-
-    Returns doc_id (long), ids (binary: little-endian unsigned 32-bit), n_tokens, decoded
-    (the pieces of the ids joined by blanks, as the tokenizer, which has no decoder step,
-    joins them). Null and empty texts have no ids and decode to an empty text; a null
-    doc_id is kept; repeated rows each give a row; other columns are ignored. ``docs`` is
-    read twice and must give the same rows in the same partitions both times (a table, a
-    checkpoint); otherwise the job fails.
+    doc_ids, parts = [], []
+    for s in stream.to_pylist():
+        codes = unpack(s["stream"], s["n_words"])
+        per_text = np.array(s["lengths"], np.int64)
+        ends = np.r_[0, np.cumsum(per_text)]
+        ids_before = np.zeros(len(per_text) + 1, np.int32)
+        out = []
+        for i in range(0, len(per_text), 200):
+            last = min(len(per_text), i + 200)
+            some = codes[ends[i]:ends[last]]
+            out.append(words.gather(flat, starts[some], lengths[some]))
+            sums = np.r_[0, np.cumsum(lengths[some])]
+            ids_before[i + 1:last + 1] = ids_before[i] + 4 * sums[ends[i + 1:last + 1] - ends[i]]
+        data = np.concatenate(out) if out else np.empty(0, "<u4")
+        parts.append(pa.Array.from_buffers(pa.binary(), len(per_text), [None, pa.py_buffer(ids_before), pa.py_buffer(data)]))
+        doc_ids += s["doc_ids"]
+    table = pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.concat_arrays(parts)})
+    words.trim()
+    return table
+
+
+def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Token ids of every row of ``docs`` (doc_id, text).
+
+    Returns doc_id (long), ids (binary: little-endian unsigned 32-bit), n_tokens. Null and
+    empty texts have no ids; a null doc_id is kept; repeated rows each give a row; other
+    columns are ignored. ``docs`` is read twice and must give the same rows in the same
+    partitions both times (a table, a checkpoint); otherwise the job fails.
     """
-    spark = docs.sparkSession
     text = words.vocabulary(tokenizer_path)
-    vocabulary = spark.sparkContext.broadcast(text)
-    table = words.pieces(text)
-    pieces = spark.sparkContext.broadcast(table)  # as many as the vocabulary has
-    width = "<u2" if len(table) <= 1 << 16 else "<u4"
+    vocabulary = docs.sparkSession.sparkContext.broadcast(text)
+    width = "<u2" if len(words.pieces(text)) <= 1 << 16 else "<u4"
 
     @F.pandas_udf("binary")
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def ids_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tok = words.load(vocabulary.value)
         for w in parts:
             yield pd.Series([np.array(e.ids, width).tobytes() for e in tok.encode_batch_fast(list(w), add_special_tokens=False)])
+        del tok
+        words.trim()
 
     # else Spark would move it below the grouping, to every block's words
-    encode = encode.asNondeterministic()
+    ids_of = ids_of.asNondeterministic()
 
-    def join(stream: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        return rebuilt(stream, found, pieces.value, width)
+    def join(stream: pa.Table, found: pa.Table) -> pa.Table:
+        return rebuilt(stream, found, width)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = rows.mapInArrow(_word_rows, "block long, place int, word string")
     # one row per distinct word; its list is at most one entry per block
     distinct = told.groupBy("word").agg(F.collect_list(F.struct("block", "place")).alias("at"))
-    placed = (distinct.withColumn("ids", encode("word")).select(F.explode("at").alias("at"), "ids")
+    placed = (distinct.withColumn("ids", ids_of("word")).select(F.explode("at").alias("at"), "ids")
               .select("at.block", "at.place", "ids"))
     streams = rows.mapInArrow(_stream_rows, STREAM_SCHEMA)
-    out = streams.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(
-        join, "doc_id long, ids binary, decoded string")
+    out = streams.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(join, "doc_id long, ids binary")
+    return out.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
+
+
+def decode(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``tokens`` (doc_id, ids as :func:`encode` gives them; other columns are dropped) with
+    ``decoded``: the ids joined with the id-to-piece table, which is broadcast, the pieces
+    put together with blanks, as the tokenizer, which has no decoder step, puts them.
+    Null ids count as none; an id that the table lacks is an error."""
+    pieces = tokens.sparkSession.sparkContext.broadcast(words.pieces(words.vocabulary(tokenizer_path)))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pieces.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                texts = [" ".join([table[j] for j in np.frombuffer(x or b"", "<u4").tolist()]) for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": part.column("ids"), "decoded": pa.array(texts, pa.string())})
+            words.trim()
+
+    rows = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
+    return rows.mapInArrow(join, "doc_id long, ids binary, decoded string")
+
+
+def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Both: doc_id, ids, n_tokens, decoded, one row per row of ``docs``."""
+    out = decode(encode(docs, tokenizer_path), tokenizer_path)
     return out.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "decoded")
