@@ -37,9 +37,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotline.llm.common import components, maybe_in, salted_join, written
+from lotline.llm.words import trim
 
 #: Words whose hashes a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Bands grow by this factor (more where a low similarity lets partners differ more).
 GROWTH = 1.5
 _TAG_BITS = 6
@@ -170,6 +171,7 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n,
                                 "print_a": np.array(a, np.uint64).view(np.int64),
                                 "print_b": np.array(b, np.uint64).view(np.int64), **dict(zip(_SKETCH, matrix.T, strict=True))})
+            trim()
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, print_a long, print_b long, "
     schema += ", ".join(f"{c} long" for c in _SKETCH)
@@ -200,6 +202,7 @@ def key_rows(docs: DataFrame, k: int, percent: int, edges: list[int], bands: lis
                     keys, ids, held = [], [], 0
             if held:
                 yield pd.DataFrame({"key": np.concatenate(keys), "doc_id": np.concatenate(ids)})
+            trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     return rows.mapInPandas(emit, "key long, doc_id long")
@@ -231,6 +234,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 common = len(kept & other)
                 ok.append(100 * common >= percent * (len(kept) + len(other) - common))
             yield pdf.loc[ok, ["a", "b"]]
+            trim()
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
