@@ -126,3 +126,29 @@ def test_numbered():
         got.append([names[c] for c in codes[at:at + n]])
         at += n
     assert got == [words_of(t) for t in texts]
+
+
+def test_rare_words_are_states(table):
+    """Words far below 1/4,096 of the training tokens have arcs."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(f"r{j} s{j}" for j in range(i, i + 40))) for i in range(20)] + [(900, "w1 w2 " * 60_000)]
+    learn = [True] * len(rows) + [False, False]
+    rows += [(901, "r20 s20"), (902, "r20 s25")]
+    check(table, rows, learn)
+    df = table([(*r, f) for r, f in zip(rows, learn)], "doc_id long, text string, learn boolean")
+    score = {r.doc_id: r.score for r in lm.score(df, F.col("learn")).filter("doc_id > 900").collect()}
+    assert score[901] > score[902] + 1
+
+
+@pytest.mark.parametrize("bucket", [50, 700])
+def test_many_buckets(table, monkeypatch, bucket):
+    monkeypatch.setattr(lm, "BUCKET", bucket)
+    check(table, corpus(80) + [(200, None), (201, " ")])
+
+
+def test_frequent_history_is_dealt_out():
+    history, word = np.full(10_000, 7), np.arange(10_000)
+    order, runs = lm._dealt(16, history, word)
+    assert sorted(order.tolist()) == list(range(10_000)) and len(runs) == 16
+    assert max(j - i for _, i, j in runs) < 1_000
