@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import xxhash
 
 from lotline.llm import ordinal_toxicity as tox
 
@@ -77,3 +78,29 @@ def test_gradient_reaches_the_order():
     model = tox._optimise(data, [f"=w{i}" for i in range(6)])
     s = [model.severity(sum(sorted(model.weights.values())[:k]))[0] for k in range(7)]
     assert s == sorted(s) and s[0] < 0.5 < s[1] and s[6] > 1.5
+
+
+def test_marks_of_a_small_language(frame):
+    """A stem in under 3 % of the toxic documents, all of which share frequent word pairs, is still learned."""
+    docs, labels = corpus(1500)
+    rng = random.Random(8)
+    other = ["".join(rng.choices("ghjklpquvwxyz", k=rng.randint(3, 8))) for _ in range(300)]
+    # one word pair that all share has a smaller hash than their others
+    pairs = min(("el " + "".join("abcdefghij"[int(c)] for c in str(i)) for i in range(20_000)), key=xxhash.xxh3_64_intdigest)
+    known, held = [], []
+    for i in range(5000, 5120):
+        bad = i % 15 == 0
+        text = f"{pairs} {' '.join(rng.choices(other, k=40))}{' bomentos' if bad else ''}"
+        docs.append((i, text))
+        (known if i < 5100 else held).append((i, 1, int(bad)))
+    model = tox.fit(frame(docs, "doc_id long, text string"), frame(labels + known, "doc_id long, quality int, toxic int"))
+    assert any(f.startswith("<boment") for f in model.weights)
+    out = {r.doc_id: r.toxic for r in tox.predict(frame([d for d in docs if d[0] >= 5100], "doc_id long, text string"), model).collect()}
+    assert all(out[i] == bool(bad) for i, _, bad in held)
+
+
+def test_copy_key_needs_more_than_one_pair():
+    rng = random.Random(3)
+    texts = [["el", "la"] * 5 + [f"w{rng.randrange(10**6)}" for _ in range(50)] for _ in range(50)]
+    assert len({tox.copy_key(t) for t in texts}) == 50
+    assert tox.copy_key(["a"]) != tox.copy_key(["b"])
