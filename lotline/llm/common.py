@@ -68,6 +68,27 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: Column
     return left.join(right.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
+#: A key of 1/HEAVY or more of all rows is dealt over several tasks; at most HEAVY keys are.
+HEAVY = 512
+#: ... unless it has fewer rows than this.
+FEW_ROWS = 20_000
+
+
+def dealt_join(many: DataFrame, few: DataFrame, keys: list[str], spread: Column, weight: str,
+               how: str = "inner") -> DataFrame:
+    """Equi-join of ``many`` with ``few``, a table of one row per key (no null keys) whose column
+    ``weight`` says how many rows of ``many`` have the key. Only heavy keys are dealt over
+    tasks, by ``spread`` and over a number that follows their weight; the list of
+    them, at most HEAVY rows, is broadcast. ``few`` is read three times (a written table)."""
+    limit = max(FEW_ROWS, (few.agg(F.sum(weight)).first()[0] or 0) // HEAVY)
+    shares = F.ceil(F.col(weight) / limit).cast("int")
+    heavy = few.filter(F.col(weight) > limit).select(*keys, shares.alias("_of"))
+    left = many.join(F.broadcast(heavy), keys, "left").withColumn(
+        "_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_of")).cast("int"), F.lit(0))).drop("_of")
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(weight) > limit, shares - 1).otherwise(0))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (src, dst: long): one row
     (node, component_id) per node, component_id the smallest node reachable.

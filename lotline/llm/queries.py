@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from lotline.llm import (
     backoff_lm,
     bpe,
+    exact_dedup,
     grid_join,
     hd_language,
     interleave_shards,
     oracle,
     ordinal_toxicity,
     partition_join,
+    prefix_trie,
     seekable_ids,
     string_tiling,
+    structure_repair,
     url_gbt,
 )
 from lotline.llm.common import shared_folder, ship
@@ -90,6 +93,19 @@ def op10_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition_join.join_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return structure_repair.repair(structure_repair.damage(conversations), conversations)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_grid_join": op1_grid_join,
@@ -102,6 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_gbt": op8_url_gbt,
         "op9_ordinal_toxicity": op9_ordinal_toxicity,
         "op10_partition_join": op10_partition_join,
+        "op11_exact_dedup": op11_exact_dedup,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_structure_repair": op13_structure_repair,
     }
 
 
