@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotline.functions.guards import require_rows
 from lotline.functions.numbers import round_half_up
 from lotline.operators.clean import first_non_null, prefix_from_source
 
@@ -60,10 +61,10 @@ def _limit_groups(limits: DataFrame, group_col: str) -> DataFrame:
 def semi_join_groups(pins: DataFrame, limits: DataFrame, group_col: str = "pin_group",
                      file_col: str = "file") -> DataFrame:
     """J3 (+ P22): pin rows whose group is one of the limits' groups, with
-    the pin name prefixed by the source file's IP prefix."""
+    the pin name prefixed by the source file's IP prefix. No match at all fails the job."""
     kept = pins.join(_limit_groups(limits, group_col), "pin_group", "left_semi")
-    return kept.select(file_col, "pin_group",
-                       prefix_from_source(F.upper(F.col(file_col)), F.col("pin_name")).alias("pin_name"))
+    return require_rows(kept.select(file_col, "pin_group", prefix_from_source(F.upper(F.col(file_col)), F.col("pin_name")).alias("pin_name")),
+                        "no pin group of the limits is among the pins")
 
 
 def group_match_counts(pins: DataFrame, limits: DataFrame, group_col: str = "pin_group") -> DataFrame:

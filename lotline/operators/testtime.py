@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotline.functions.classify import program_family
+from lotline.functions.guards import require, require_of, require_rows
 from lotline.functions.numbers import round_half_up
 from lotline.operators.clean import require_columns
 
 # Fixed value: the packed duration format.
 DURATION_PATTERN = r"PRE_(\d+\.\d+)MS_MAIN_(\d+\.\d+)MS_ET_(\d+\.\d+)MS"
+NO_DURATION = "no duration in any test result"
 MIN_UNITS = 5
 # Fixed value: columns a duration table must have.
 REQUIRED = ("visual_id", "operation", "devrevstep", "program_name", "dlcp", "test_name", "test_result",
@@ -39,10 +41,15 @@ def _num(c: Column) -> Column:
 def parse_durations(df: DataFrame, col: str = "test_result") -> DataFrame:
     """PRE and MAIN milliseconds from the packed text, searched anywhere
     in the value; ET must be present but is not used; total = PRE + MAIN.
-    Rows without a match (or null) are dropped.
+    Rows without a match (or null) are dropped; a table without any match
+    fails the job.
 
     The pattern is matched once per row (whole match), and the two numbers
     are cut out of the matched text with plain string functions."""
+    return require_rows(_parsed(df, col), NO_DURATION)
+
+
+def _parsed(df: DataFrame, col: str = "test_result") -> DataFrame:
     require_columns(df, REQUIRED)
     m = F.regexp_extract(F.col(col), DURATION_PATTERN, 0)
     parts = F.split(F.col("_m"), "_")          # PRE, <n>MS, MAIN, <n>MS, ET, <n>MS
@@ -61,15 +68,20 @@ def matching_rows(df: DataFrame, col: str = "test_result") -> DataFrame:
 
 def most_common_bin(parsed: DataFrame, bin_col: str = "functional_bin") -> DataFrame:
     """A2: one row, the bin with most rows (nulls ignored); a tie goes to the
-    smaller bin."""
-    return (parsed.filter(F.col(bin_col).isNotNull()).groupBy(bin_col).count()
-                  .orderBy(F.col("count").desc(), F.col(bin_col)).limit(1).select(bin_col))
+    smaller bin. Without any the job fails."""
+    return require(_top_bin(parsed, bin_col), F.col(bin_col).isNotNull(), F.lit(NO_DURATION))
+
+
+def _top_bin(parsed: DataFrame, bin_col: str) -> DataFrame:
+    counts = parsed.filter(F.col(bin_col).isNotNull()).groupBy(bin_col).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.agg(F.min_by(bin_col, F.struct(-F.col("_n"), F.col(bin_col))).alias(bin_col))
 
 
 def common_bin_durations(df: DataFrame, bin_col: str = "functional_bin") -> DataFrame:
     """T1 for the rows of the commonest bin (semi join with the one-row winner)."""
-    top = F.broadcast(most_common_bin(matching_rows(df), bin_col))
-    return parse_durations(df.join(top, bin_col, "left_semi"))
+    top = _top_bin(matching_rows(df), bin_col)
+    out = _parsed(df.join(F.broadcast(top), bin_col, "left_semi"))
+    return require_of(out, top, F.col(bin_col).isNotNull(), F.lit(NO_DURATION))
 
 
 def avg_test_times(filtered: DataFrame) -> DataFrame:

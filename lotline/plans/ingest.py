@@ -1,15 +1,20 @@
-"""Streaming ingest query (S11): extracts land as files, a file-source
-stream ingests them, and the ingested table is the result."""
+"""Streaming queries (S11): extracts land as files, a file-source stream ingests them, and
+the ingested table is the result; observations of export files, and which became ready."""
 
 from __future__ import annotations
 
 import uuid
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotline.plans.units import units
 from lotline.session import checkpoint_dir
+from lotline.sources.tables import read_table
+from lotline.streaming import exports
 from lotline.streaming.ingest import ingest_extracts
 
 # Fixed columns of the landed extract files.
@@ -36,3 +41,28 @@ def q_ingest_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = ingest_extracts(spark, landing, EXTRACT_SCHEMA, table, name="ingest", checkpoint=f"{root}/state")
     q.awaitTermination()
     return spark.read.parquet(table).select(*cols)
+
+
+# Export files as polls see them: one file per user, sizes that stand still for some polls,
+# files that are older than the request, some polls that miss the file.
+OBSERVATIONS = ["'export_' || CAST(user_id AS STRING) || '.csv' AS name",
+                "CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(value / 4) AS BIGINT) END AS size",
+                "CASE WHEN event_type = 'error' THEN NULL WHEN user_id % 7 = 3 THEN TIMESTAMP '2023-12-01 00:00:00' ELSE ts END AS modified",
+                "ts AS polled"]
+REQUESTED = datetime(2024, 1, 3)
+LIMIT = timedelta(days=9)
+CHECKS = 3
+
+
+def q_export_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Land the observations as a table, stream them through the stable-export rule and return the verdicts."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/verdicts-{uuid.uuid4().hex}"
+    read_table(spark, sf_dir, "events").selectExpr(*OBSERVATIONS).coalesce(1).write.parquet(f"{root}/observed")
+    stream = spark.readStream.schema(exports.OBSERVED).parquet(f"{root}/observed")
+    query = (exports.verdicts(stream, REQUESTED, LIMIT, CHECKS, timers=False).writeStream.format("parquet").option("path", f"{root}/verdicts")
+             .option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(exports.VERDICTS).parquet(f"{root}/verdicts")
+
+
+QUERIES = {"ingest_extracts": q_ingest_extracts, "export_verdicts": q_export_verdicts}

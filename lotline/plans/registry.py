@@ -17,6 +17,7 @@ from lotline.plans import (
     lotperf,
     nested,
     oracle_diff,
+    oracle_files,
     oracle_lotperf,
     oracle_nested,
     oracle_readback,
@@ -83,8 +84,8 @@ def queries() -> dict[str, Query]:
         "request_status": requests.q_request_status,
         "lot_list": requests.q_lot_list,
         "lot_batches": requests.q_lot_batches,
-        "ingest_extracts": ingest.q_ingest_extracts,
-        "request_files": files.q_request_files,
+        **ingest.QUERIES,
+        **files.QUERIES,
         **readback.QUERIES,
     }
 
@@ -98,5 +99,6 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle_nested.SQL)
     out.update(oracle_textjobs.SQL)
     out.update(oracle_requests.SQL)
+    out.update(oracle_files.SQL)
     out.update(oracle_readback.SQL)
     return out

@@ -1,4 +1,4 @@
-"""File sources.
+"""File sources (S1, S10) and what their readers share.
 
 Encoding and separator are chosen per file, on the executors: lines are read as
 raw bytes, one aggregate per file says which encodings its bytes allow and what
@@ -8,6 +8,8 @@ name and no row reaches the driver.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,32 +27,25 @@ def _charset_allowed(spark: SparkSession, enc: str) -> bool:
 SEPARATORS = (",", ";", "\t", "|")
 
 
-def _raw_lines(spark: SparkSession, path) -> DataFrame:
+def raw_lines(spark: SparkSession, path) -> DataFrame:
     """(file, _blk, _mid, _raw): undecoded lines; ``_mid`` grows with the line within a split."""
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_mid"), F.col("value").alias("_raw"))
 
 
-def _first_line() -> Column:
+def first_line() -> Column:
     """Aggregate: the first line of a file, from its split at offset 0."""
     return F.min(F.when(F.col("_blk") == 0, F.struct(F.col("_mid").alias("mid"), F.col("_raw").alias("line"))))
 
 
-def _separator(line: Column, candidates: tuple[str, ...]) -> Column:
+def separator(line: Column, candidates: tuple[str, ...]) -> Column:
     counts = [F.size(F.split(line, "\\" + c if c in "|" else c)) - 1 for c in candidates]
     best = F.greatest(*counts) if len(counts) > 1 else counts[0]
     return F.coalesce(*[F.when((best > 0) & (n == best), F.lit(c)) for c, n in zip(candidates, counts, strict=True)], F.lit(","))
 
 
-def sniff_separators(spark: SparkSession, path: str, candidates: tuple[str, ...] = SEPARATORS) -> DataFrame:
-    """(file, sep): per file, the candidate that occurs most often in the
-    first line (ties: earlier candidate; none: ',')."""
-    first = _raw_lines(spark, path).filter("_blk = 0").groupBy("file").agg(_first_line().alias("_first"))
-    return first.select("file", _separator(F.col("_first.line"), candidates).alias("sep"))
-
-
-def _allows(enc: str) -> Column:
+def allows(enc: str) -> Column:
     """Whether the bytes of ``_raw`` are text of an encoding."""
     if enc.upper() == "UTF-8":
         return F.is_valid_utf8("_raw")
@@ -60,20 +55,26 @@ def _allows(enc: str) -> Column:
     return F.lit(True)
 
 
+def charsets(spark: SparkSession, fallbacks: Sequence[str]) -> list[str]:
+    """UTF-8 and the fallbacks that the session can decode."""
+    return ["UTF-8", *[e for e in fallbacks if _charset_allowed(spark, e)]]
+
+
 def read_delimited(spark: SparkSession, path, schema: T.StructType, sep: str | None = ",",
                    fallbacks: tuple[str, ...] = ("GBK", "ISO-8859-1"), header: bool = True) -> DataFrame:
-    """Delimited text (one row per line) with a per-file encoding: UTF-8,
+    """S1 for plain files of one column order (others: ``sources.sheets``): delimited
+    text (one row per line) with a per-file encoding: UTF-8,
     else the first fallback that the whole file's bytes allow (GBK only when
     the session allows legacy charsets; Latin-1 accepts any byte, so it is
     the last resort). A byte-order mark is dropped, blank lines are skipped,
     columns are taken by position. ``sep=None`` sniffs the separator per
     file. Adds ``source_file``."""
-    raw = _raw_lines(spark, path)
-    chain = ["UTF-8", *[e for e in fallbacks if _charset_allowed(spark, e)]]
-    facts = raw.groupBy("file").agg(_first_line().alias("_first"), *[F.every(_allows(e)).alias(f"_ok{i}") for i, e in enumerate(chain)])
+    raw = raw_lines(spark, path)
+    chain = charsets(spark, fallbacks)
+    facts = raw.groupBy("file").agg(first_line().alias("_first"), *[F.every(allows(e)).alias(f"_ok{i}") for i, e in enumerate(chain)])
     facts = facts.select("file", F.col("_first.mid").alias("_first_mid"),
                          F.coalesce(*[F.when(F.col(f"_ok{i}"), F.lit(e)) for i, e in enumerate(chain)], F.lit(chain[-1])).alias("_enc"),
-                         (F.lit(sep) if sep is not None else _separator(F.col("_first.line"), SEPARATORS)).alias("_sep"))
+                         (F.lit(sep) if sep is not None else separator(F.col("_first.line"), SEPARATORS)).alias("_sep"))
     df = raw.join(facts, "file")
     if header:
         df = df.filter(F.col("_mid") != F.col("_first_mid"))
@@ -86,26 +87,6 @@ def read_delimited(spark: SparkSession, path, schema: T.StructType, sep: str | N
     return df.select(row.alias("_row"), F.col("file").alias("source_file")).select("_row.*", "source_file")
 
 
-def read_any(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Reader chosen by extension (.csv with its separator taken from the file,
-    .tsv/.txt tab-separated, .json, .parquet). Spreadsheets are not read: land them as CSV or Parquet."""
-    low = path.lower()
-    if low.endswith(".csv"):
-        if schema is None:
-            raise ValueError("give a schema for delimited files")
-        return read_delimited(spark, path, schema, sep=None)
-    if low.endswith((".tsv", ".txt")):
-        if schema is None:
-            raise ValueError("give a schema for delimited files")
-        return read_delimited(spark, path, schema, sep="\t")
-    if low.endswith(".json"):
-        r = spark.read.option("multiLine", True)
-        return (r.schema(schema) if schema is not None else r).json(path)
-    if low.endswith(".parquet"):
-        return spark.read.parquet(path)
-    raise ValueError(f"unsupported file type: {path} (xls/xlsx: export to CSV or Parquet first)")
-
-
 def latest_by_name(df: DataFrame, name_pattern: str, part: str = "file_name") -> DataFrame:
     """Rows of the newest file, newest by the timestamp in the file
     name (``name_pattern`` must capture it, e.g. r'^MIR_Results_(\\d{8}_\\d{6})\\.csv$'

@@ -1,9 +1,8 @@
 """Line-oriented text sources.
 
-A text file becomes ``(file, line_no, line)`` rows: each file is read whole
-(``wholetext``) and split with ``posexplode``, so line order is explicit
-data and every later window is partitioned by file. Many files load in
-parallel; one file is one task.
+A text file becomes ``(file, line_no, line)`` rows. Files are read in splits, and a line's
+number is its place in its split plus the lines of the file's earlier splits, so line
+order is explicit data and a large file is many tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotline.functions.guards import require
+
 
 def lines_from_text(df: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
     """S4 on a (file, text) table: one row per line, ``line_no`` from 0.
@@ -53,15 +54,16 @@ def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
 def read_lot_list(lines: DataFrame, id_col: str = "lot") -> DataFrame:
     """S5 (+ W9): ids one per line; blank lines and '#' lines skipped; white
     space stripped at both ends; the first occurrence per file kept, with its
-    line as ``ordinal``. A list without any id fails the job."""
+    line as ``ordinal``. A list without any id fails the job, whatever is read of the result."""
     stripped = F.regexp_replace(F.col("line"), r"^\s+|\s+\z", "")
     is_id = (F.col(id_col) != "") & ~F.col(id_col).startswith("#")
-    marked = lines.select("file", "line_no", stripped.alias(id_col))
-    ids = marked.filter(is_id).groupBy("file", id_col).agg(F.min("line_no").alias("ordinal"))
-    empty = marked.groupBy("file").agg(F.count_if(is_id).alias("_n")).filter("_n = 0")
-    failed = empty.select("file", F.raise_error(F.concat(F.lit("no lot in "), F.col("file"))).cast("string").alias(id_col),
-                          F.lit(0).cast(lines.schema["line_no"].dataType).alias("ordinal"))
-    return ids.unionByName(failed)
+    # both branches read this one grouping, so the lines are scanned and dealt once
+    found = lines.select("file", "line_no", stripped.alias(id_col)).groupBy("file", id_col).agg(
+        F.min(F.when(is_id, F.col("line_no"))).alias("ordinal"))
+    counts = found.groupBy("file").agg(F.count("ordinal").alias("_n"))
+    checked = require(counts, F.col("_n") > 0, F.concat(F.lit("no lot in "), F.col("file")))
+    none = checked.filter("_n < 0").select("file", F.lit(None).cast("string").alias(id_col), F.lit(None).cast(lines.schema["line_no"].dataType).alias("ordinal"))
+    return found.filter(F.col("ordinal").isNotNull()).unionByName(none)
 
 
 def split_batches(ids: DataFrame, batch_size: int | None, order_col: str = "ordinal",
