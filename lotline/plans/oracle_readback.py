@@ -15,15 +15,21 @@ FROM units WHERE facility IN ('F0', 'F1', 'F2')
 
 LATEST_SNAPSHOT = f"WITH {view_sql('requests')} SELECT ordinal, mir FROM requests WHERE ordinal % 3 = 0"
 
-CLASS_TABLES = f"""
-SELECT leak_class, count(*) AS rows, count(DISTINCT configuration) AS configurations
-FROM ({oracle_nested.LEAK_CLASS_LIMITS}) GROUP BY leak_class
+_SHOWN = "visual_id, lot, process_step, devrevstep, functional_bin, interface_bin"
+REPORT_BUNDLE = f"""
+SELECT 'pareto' AS part, * FROM ({oracle_units.BIN_PARETO})
+UNION ALL BY NAME
+SELECT * FROM (WITH {oracle_units.UNITS_CTE}, {oracle_units.NORMALIZED_CTE} SELECT 'details' AS part, {_SHOWN} FROM norm)
+UNION ALL BY NAME
+SELECT * FROM (WITH {oracle_units.UNITS_CTE}, {oracle_units.NORMALIZED_CTE}
+               SELECT 'exceptions' AS part, {_SHOWN} FROM norm WHERE lot IS NULL OR visual_id IS NULL)
 """
 
-REPORT_BUNDLE = f"""
-WITH {oracle_units.UNITS_CTE}, {oracle_units.NORMALIZED_CTE}
-SELECT 'details' AS part, count(*) AS rows FROM norm
-UNION ALL SELECT 'exceptions', count(*) FROM norm WHERE lot IS NULL OR visual_id IS NULL
+STATUS_TABLES = f"""
+WITH {oracle_requests.IDS_CTE}
+SELECT sheet, position, ordinal, id, source_lot, CASE WHEN id <> '' AND first_seen IS NOT NULL THEN 'ok' ELSE 'rejected' END AS status,
+       CASE WHEN id = '' THEN 'no id' WHEN first_seen IS NULL THEN 'no source lot' END AS reason, 'zip' AS step
+FROM zipped
 """
 
 _FORMS = {
@@ -62,10 +68,10 @@ SQL = {
     "union_batches": UNION_BATCHES,
     "latest_snapshot": LATEST_SNAPSHOT,
     "report_csv": oracle_units.BIN_PARETO,
-    "class_tables": CLASS_TABLES,
+    "class_tables": oracle_nested.LEAK_CLASS_LIMITS,
     "report_bundle": REPORT_BUNDLE,
     "snapshot_rotation": oracle_diff.SQL["change_log"],
-    "status_tables": oracle_requests.REQUEST_STATUS,
+    "status_tables": STATUS_TABLES,
     "predicate_forms": PREDICATE_FORMS,
     "limits_rank": LIMITS_RANK,
     "mode_rank": MODE_RANK,

@@ -19,7 +19,7 @@ from lotline.session import shared_dir
 from lotline.sinks import writers
 from lotline.sources import adapters, documents
 from lotline.sources.extracts import union_batches
-from lotline.sources.files import latest_by_name
+from lotline.sources.files import newest_by_name
 from lotline.sources.text import read_program_lines
 
 # Fixed value: the day the time predicate counts back from.
@@ -62,13 +62,13 @@ def q_union_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three exports of requests under stamped names; the newest stamp wins,
-    not the name that sorts last."""
+    not the name that sorts last, and only that export is read."""
     path = fresh(spark, "exports")
     req = adapters.requests(spark, sf_dir).select("ordinal", "mir")
     for part, name in ((0, "MIR_Results_20250301_120000"), (1, "MIR_Results_20241231_235959"), (2, "MIR_Results_with_VPO_20260101_000000")):
         req.filter(F.col("ordinal") % 3 == part).write.option("header", True).csv(f"{path}/{name}.csv")
-    raw = spark.read.schema(req.schema).option("header", True).csv(f"{path}/*")
-    return latest_by_name(raw, r"/MIR_Results_(\d{8}_\d{6})\.csv/", part="file_path")
+    newest = newest_by_name(spark, f"{path}/*", r"MIR_Results_(\d{8}_\d{6})\.csv")
+    return spark.read.schema(req.schema).option("header", True).csv(newest)
 
 
 def q_report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,20 +79,23 @@ def q_report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_class_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2: the limits routed to one table per leak class."""
+    """K2: the limits routed to one table per leak class, all read back."""
     path = fresh(spark, "classes")
-    writers.write_multi_table(nested.split_by_class(nested_plans.limits(spark, sf_dir)), "leak_class", path)
-    return spark.read.parquet(path).groupBy("leak_class").agg(F.count("*").alias("rows"), F.countDistinct("configuration").alias("configurations"))
+    limits = nested_plans.q_leak_class_limits(spark, sf_dir)
+    writers.write_multi_table(limits, "leak_class", path)
+    return spark.read.schema(limits.schema).parquet(path)
 
 
 def q_report_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3: the daily report's tables in one folder."""
+    """K3: the daily report's tables as one version; a first version of one table is swapped for it."""
     path = fresh(spark, "bundle")
     u = units(spark, sf_dir)
-    parts = {"details": pareto.normalized_units(u), "exceptions": pareto.unit_exceptions(u)}
-    writers.write_bundle(parts, path)
-    sizes = [spark.read.parquet(f"{path}/{p}").agg(F.lit(p).alias("part"), F.count("*").alias("rows")) for p in parts]
-    return sizes[0].unionByName(sizes[1])
+    shown = ("visual_id", "lot", "process_step", "devrevstep", "functional_bin", "interface_bin")
+    details = pareto.normalized_units(u).select(*shown)
+    writers.write_bundle({"exceptions": pareto.unit_exceptions(u).select(*shown)}, path)
+    writers.write_bundle({"pareto": pareto.bin_pareto(u), "details": details, "exceptions": pareto.unit_exceptions(u).select(*shown)}, path)
+    out = [writers.read_part(spark, path, p).withColumn("part", F.lit(p)) for p in ("pareto", "details", "exceptions")]
+    return out[0].unionByName(out[1], allowMissingColumns=True).unionByName(out[2], allowMissingColumns=True)
 
 
 def q_snapshot_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +109,12 @@ def q_snapshot_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_status_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K5: ok and rejected requests side by side."""
+    """K5: ok and rejected requests side by side, with step and time of the job, all read back."""
     path = fresh(spark, "status")
-    writers.write_status(requests.status(spark, sf_dir), path)
-    return order.workflow_counts(spark.read.parquet(path), ["sheet"])
+    status = requests.status(spark, sf_dir).withColumns({"step": F.lit("zip"), "at": F.current_timestamp()})
+    writers.write_status(status, path)
+    back = spark.read.schema(status.schema).parquet(path).filter("at <= current_timestamp()")
+    return back.select("sheet", "position", "ordinal", "id", "source_lot", "status", "reason", "step")
 
 
 def q_predicate_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

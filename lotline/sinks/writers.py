@@ -1,4 +1,4 @@
-"""Sinks (K1-K5): partitioned, append-only outputs; no renames, no driver I/O.
+"""Sinks (K1-K5): partitioned, append-only outputs; bundles and snapshots by manifest.
 
 Every writer takes a DataFrame and a target folder on a shared file system
 (HDFS, object store); a run is one partition (``run_ts=...``), so a failed
@@ -13,6 +13,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotline.sinks.versions import NoVersionError, parts, publish, read_part
+
+__all__ = ["last_two_snapshots", "read_part", "run_stamp", "snapshot_dates", "write_bundle", "write_multi_table", "write_snapshot", "write_status", "write_table"]
+
 
 def run_stamp(now: datetime | None = None) -> str:
     return (now or datetime.now(timezone.utc)).strftime("%Y%m%d_%H%M%S")
@@ -43,46 +47,33 @@ def write_multi_table(df: DataFrame, table_col: str, path: str, fmt: str = "parq
     df.write.mode(mode).partitionBy(table_col).format(fmt).save(path)
 
 
-def write_bundle(parts: Mapping[str, DataFrame], path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """K3: a report bundle: one table per part (Pareto tables, details,
-    exceptions) under ``path/<part>``."""
-    for name, df in parts.items():
-        df.write.mode(mode).format(fmt).save(f"{path.rstrip('/')}/{name}")
+def write_bundle(tables: Mapping[str, DataFrame], path: str) -> int:
+    """K3: a report bundle (Pareto tables, details, exceptions) as the next version of ``path``: its
+    tables appear together or not at all. Returns the version's number; read with ``read_part``."""
+    return publish(path, tables)
 
 
 def write_snapshot(df: DataFrame, path: str, snapshot_dt: str) -> None:
-    """K4: write a catalogue snapshot as partition ``snapshot_dt=...``
-    (replaces the old/backup file rotation; nothing is ever renamed). A re-run
-    of a date replaces that partition and touches no other."""
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/snapshot_dt={snapshot_dt}")
+    """K4: a catalogue snapshot as the part ``snapshot_dt`` of ``path`` (replaces the old/backup file
+    rotation; nothing is renamed or deleted). A re-run of a date swaps that part when it
+    is written, and touches no other; until then, and if it fails, readers see the old one."""
+    publish(path, {snapshot_dt: df}, keep=True)
 
 
 def snapshot_dates(spark: SparkSession, path: str) -> list[str]:
-    """Partition values of a snapshot table, from the file system listing
-    (no data is read)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
+    """Dates of a snapshot table, from its manifest (no data is read)."""
+    try:
+        return sorted(parts(spark, path))
+    except NoVersionError:
         return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("snapshot_dt="):
-            out.append(name.split("=", 1)[1])
-    return sorted(out)
 
 
 def last_two_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(previous, latest) snapshots; partition pruning reads only those two."""
-    dates = snapshot_dates(spark, path)
-    if len(dates) < 2:
-        raise ValueError(f"need two snapshots under {path}, found {dates}")
-    t = spark.read.parquet(path)
-    prev, last = dates[-2], dates[-1]
-    return (t.filter(F.col("snapshot_dt") == prev).drop("snapshot_dt"),
-            t.filter(F.col("snapshot_dt") == last).drop("snapshot_dt"))
+    """(previous, latest) snapshots, both of one version; no other is read."""
+    found = parts(spark, path) if snapshot_dates(spark, path) else {}
+    if len(found) < 2:
+        raise ValueError(f"need two snapshots under {path}, found {sorted(found)}")
+    return tuple(spark.read.parquet(f"{path.rstrip('/')}/{found[d]}") for d in sorted(found)[-2:])
 
 
 def write_status(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -8,6 +8,7 @@ name and no row reaches the driver.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,3 +98,16 @@ def latest_by_name(df: DataFrame, name_pattern: str, part: str = "file_name") ->
     tagged = df.withColumn("_stamp", stamp).filter(F.col("_stamp") != "")
     newest = tagged.agg(F.max("_stamp").alias("_stamp"))
     return tagged.join(F.broadcast(newest), "_stamp", "left_semi").drop("_stamp")
+
+
+def newest_by_name(spark: SparkSession, path: str, name_pattern: str) -> str:
+    """Path of the newest export (a file or a folder) among those that the glob ``path`` lists, by
+    the stamp that ``name_pattern`` captures in the whole name. Only names are listed, no row is
+    read; ties go to the greater name."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    listed = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
+    found = [(m[1], s.getPath().getName(), s.getPath().toString()) for s in listed if (m := re.fullmatch(name_pattern, s.getPath().getName()))]
+    if not found:
+        raise FileNotFoundError(f"no export under {path} is named like {name_pattern}")
+    return max(found)[2]

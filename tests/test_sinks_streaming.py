@@ -54,7 +54,7 @@ def test_bundle_and_status(spark):
     a = spark.createDataFrame([(1,)], "v int")
     b = spark.createDataFrame([("x", "ok"), ("y", "rejected")], "k string, status string")
     writers.write_bundle({"pareto": a, "details": b}, f"{d}/report")
-    assert rows(spark.read.parquet(f"{d}/report/pareto")) == [(1,)]
+    assert rows(writers.read_part(spark, f"{d}/report", "pareto")) == [(1,)]
     writers.write_status(b, f"{d}/status")
     assert sorted(p for p in os.listdir(f"{d}/status") if p.startswith("status=")) == ["status=ok", "status=rejected"]
 
@@ -89,3 +89,55 @@ def test_csv_with_bom(spark):
     assert open(part, "rb").read(3) == b"\xef\xbb\xbf"
     back = spark.read.option("header", True).csv(target)
     assert back.columns == ["lot", "n"] and rows(back) == [("L1", "1")]
+
+
+def test_a_version_appears_whole_or_not_at_all(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from lotline.sinks import versions
+
+    d = tempfile.mkdtemp(prefix="lotline-version-", dir="/tmp")
+    with pytest.raises(versions.NoVersionError):
+        versions.parts(spark, d)
+    old = spark.createDataFrame([("old",)], "v string")
+    assert writers.write_bundle({"pareto": old, "details": old}, d) == 1
+    bad = old.select(F.raise_error(F.lit("lost")).cast("string").alias("v"))
+    with pytest.raises(Exception, match="lost"):
+        writers.write_bundle({"pareto": old.select(F.lit("new").alias("v")), "details": bad}, d)
+    assert [rows(writers.read_part(spark, d, p)) for p in ("pareto", "details")] == [[("old",)], [("old",)]]
+    writers.write_bundle({"pareto": old.select(F.lit("new").alias("v"))}, d)
+    assert rows(writers.read_part(spark, d, "pareto")) == [("new",)] and set(versions.parts(spark, d)) == {"pareto"}
+
+
+def test_failed_rerun_keeps_the_snapshot_and_writers_do_not_lose_each_other(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from lotline.sinks import versions
+
+    d = tempfile.mkdtemp(prefix="lotline-rerun-", dir="/tmp")
+    a = spark.createDataFrame([("x",)], "k string")
+    writers.write_snapshot(a, d, "20250101")
+    with pytest.raises(Exception, match="lost"):
+        writers.write_snapshot(a.select(F.raise_error(F.lit("lost")).cast("string").alias("k")), d, "20250101")
+    assert rows(spark.read.parquet(f"{d}/{versions.parts(spark, d)['20250101']}")) == [("x",)]
+    # the number is taken: the claim fails, the second writer starts from the first's version
+    assert not versions._claim(spark, d, 1, "{}")
+    writers.write_snapshot(a, d, "20250108")
+    assert writers.snapshot_dates(spark, d) == ["20250101", "20250108"]
+
+
+def test_newest_export_by_listing(spark):
+    import pytest
+
+    from lotline.sources.files import newest_by_name
+
+    d = tempfile.mkdtemp(prefix="lotline-newest-", dir="/tmp")
+    for i in range(10_000):
+        open(f"{d}/MIR_Results_2024{i:04d}_000000.csv", "w").close()
+    for name in ("MIR_Results_20250301_000000.csv", "MIR_Results_with_VPO_20260101_000000.csv", "MIR_Results_20250301_000000.csv.tmp"):
+        open(f"{d}/{name}", "w").close()
+    assert newest_by_name(spark, f"{d}/*", r"MIR_Results_(\d{8}_\d{6})\.csv").endswith("/MIR_Results_20250301_000000.csv")
+    with pytest.raises(FileNotFoundError, match="no export"):
+        newest_by_name(spark, f"{d}/*", r"none_(\d+)")
