@@ -12,14 +12,18 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotline.functions.guards import require_rows
 from lotline.functions.numbers import round_half_up
+from lotline.operators import segments
 from lotline.operators.clean import first_non_null, prefix_from_source
 
 LIMIT_KEYS = ("test_type", "configuration")
+#: Left rows of one key that one split takes, and keys at most that are dealt over splits.
+HEAVY_ROWS = 100_000
+HEAVY_KEYS = 64
 
 
 def limits_left_join(left: DataFrame, limits: DataFrame, keys: Sequence[str] = LIMIT_KEYS,
@@ -28,7 +32,7 @@ def limits_left_join(left: DataFrame, limits: DataFrame, keys: Sequence[str] = L
     null, as the reference's merge does); unmatched left rows kept once.
     Right key columns may be named differently (``right_keys`` maps left
     name -> right name). Other right columns whose names clash with left
-    columns get ``suffix``."""
+    columns get ``suffix``. A key with very many left rows is dealt over tasks."""
     right_keys = dict(right_keys or {})
     r = limits
     for k in keys:
@@ -37,9 +41,26 @@ def limits_left_join(left: DataFrame, limits: DataFrame, keys: Sequence[str] = L
     clash = {c for c in r.columns if c in left.columns}
     for c in clash:
         r = r.withColumnRenamed(c, c + suffix)
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"_rk_{k}"]) for k in keys])
+    left, r = _dealt(left, r, keys)
+    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"_rk_{k}"]) for k in keys]) & (left["_split"] == r["_split"])
     out = left.join(r, cond, "left")
-    return out.select(*[left[c] for c in left.columns], *[r[c] for c in r.columns if not c.startswith("_rk_")])
+    names = [c for c in left.columns if c not in ("_split", *[f"_hot_{k}" for k in keys])]
+    return out.select(*[left[c] for c in names], *[r[c] for c in r.columns if not c.startswith(("_rk_", "_split"))])
+
+
+def _dealt(left: DataFrame, r: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_split``: the rows of a heavy left key are dealt over as many splits as it
+    has HEAVY_ROWS, its limits rows are copied to each of them; all others are split 0. A key is
+    heavy with 1/HEAVY_KEYS of all left rows and HEAVY_ROWS, so the list of them is short."""
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    heavy = counts.join(F.broadcast(total), (F.col("_n") >= HEAVY_ROWS) & (F.col("_n") * HEAVY_KEYS >= F.col("_all")))
+    heavy = heavy.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col("_n") / HEAVY_ROWS).cast("int").alias("_of"))
+    at = reduce(lambda a, b: a & b, [left[k].eqNullSafe(heavy[f"_hot_{k}"]) for k in keys])
+    dealt = left.join(F.broadcast(heavy), at, "left").withColumn("_split", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_of")).cast("int"), F.lit(0)))
+    copied = r.join(F.broadcast(heavy), reduce(lambda a, b: a & b, [r[f"_rk_{k}"].eqNullSafe(heavy[f"_hot_{k}"]) for k in keys]), "left")
+    copied = copied.withColumn("_split", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_of"), F.lit(1)) - 1)))
+    return dealt.drop("_of"), copied.drop("_of", *[f"_hot_{k}" for k in keys])
 
 
 def match_rate(left: DataFrame, limits: DataFrame, keys: Sequence[str] = LIMIT_KEYS) -> DataFrame:
@@ -78,12 +99,10 @@ def positional_zip(rows: DataFrame, ids: DataFrame, group: str, row_order: str,
                    id_col: str = "id", newest_first: bool = True) -> DataFrame:
     """Per group, the i-th row (by ``row_order``) gets the i-th id. Ids
     are listed newest first, so the list is reversed (oldest first) before
-    pairing. Rows without an id get ''; ids without a row are dropped."""
-    rpos = F.row_number().over(Window.partitionBy(group).orderBy(row_order))
-    order = F.col(id_order).desc() if newest_first else F.col(id_order)
-    ipos = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    r = rows.withColumn("_pos", rpos)
-    i = ids.select(group, F.col(id_col).alias("_id"), ipos.alias("_pos"))
+    pairing; both orders are integers, counted in chunks. Rows without an id get ''; ids without a row are dropped."""
+    r = segments.place(rows, [group], row_order, "_pos")
+    i = ids.select(group, F.col(id_col).alias("_id"), (-F.col(id_order) if newest_first else F.col(id_order)).alias("_order"))
+    i = segments.place(i, [group], "_order", "_pos").drop("_order")
     return (r.join(i, [group, "_pos"], "left")
              .withColumn(id_col, F.coalesce(F.col("_id"), F.lit("")))
              .drop("_id", "_pos"))

@@ -1,47 +1,51 @@
 """Sheet ordering operators.
 
-A sheet (a request list, a result table) is an ordered group; every window
-here is partitioned by the sheet key and ordered by an explicit ordinal,
-so sheets are handled in parallel and no window spans the whole table.
+A sheet (a request list, a result table) is ordered by an explicit integer ordinal. Sheets
+are handled in parallel, and one sheet in chunks (``operators.segments``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotline.operators import segments
+
 
 def group_by_first_seen(df: DataFrame, sheet: str, key: str, order_col: str) -> DataFrame:
     """Order rows so equal (trimmed) keys are adjacent, groups in the
     order of their first row, rows stable inside a group, null or blank keys
-    last. Adds ``first_seen`` and the new ``position`` (1-based, per sheet)."""
+    last. Adds ``first_seen`` and the new ``position`` (1-based, per sheet).
+
+    A row's position is the rows of the groups before its own, plus its place in its
+    group; both are running totals in chunks, so a sheet may be one large file."""
     k = F.trim(F.col(key).cast("string"))
-    k = F.when(k == "", F.lit(None)).otherwise(k)
-    first = F.min(order_col).over(Window.partitionBy(sheet, k))
-    out = df.withColumn("first_seen", F.when(k.isNotNull(), first))
-    pos = F.row_number().over(Window.partitionBy(sheet).orderBy(F.col("first_seen").asc_nulls_last(),
-                                                                F.col(order_col)))
-    return out.withColumn("position", pos.cast("long"))
+    rows = df.withColumn("_key", F.when(k != "", k))
+    groups = rows.groupBy(sheet, "_key").agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # blank keys are one group, behind all others
+    named = segments.running_total(groups.filter("_key is not null"), [sheet], "_first", F.col("_n"), "_ahead")
+    all_named = groups.filter("_key is not null").groupBy(sheet).agg(F.sum("_n").alias("_ahead"))
+    blank = groups.filter("_key is null")
+    totals, cond = segments.same(blank, all_named, [sheet])
+    blank = blank.join(totals, cond, "left").select(*groups.columns, F.coalesce("_ahead", F.lit(0)).alias("_ahead"))
+    placed = segments.place(rows, [sheet, "_key"], order_col, "_place")
+    ahead, cond = segments.same(placed, named.unionByName(blank).drop("_n"), [sheet, "_key"])
+    out = placed.join(ahead, cond)
+    return out.select(*df.columns, F.when(F.col("_key").isNotNull(), F.col("_first")).alias("first_seen"),
+                      (F.col("_ahead") + F.col("_place")).cast("long").alias("position"))
 
 
 def run_spans(df: DataFrame, sheet: str, order_col: str, columns: Sequence[str]) -> DataFrame:
     """Per sheet and column, runs of consecutive equal values (compared
     as text; two nulls are equal) -> (sheet, column, start, length, value).
     ``merged`` marks the runs a report would merge: longer than one row
-    and not null."""
-    w = Window.partitionBy(sheet, "column").orderBy(order_col)
+    and not null. Runs are found in chunks and joined over their borders."""
     long = df.select(sheet, order_col, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("_c")) \
         .select(sheet, order_col, "_c.column", "_c.value")
-    change = F.when(F.lag("value").over(w).eqNullSafe(F.col("value")) & F.lag(order_col).over(w).isNotNull(),
-                    F.lit(0)).otherwise(F.lit(1))
-    isl = long.withColumn("_chg", change).withColumn(
-        "_island", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = isl.groupBy(sheet, "column", "_island").agg(
-        F.min(order_col).alias("start"), F.count(F.lit(1)).alias("length"), F.first("value").alias("value"))
-    return spans.drop("_island").withColumn(
+    return segments.runs(long, [sheet, "column"], order_col, "value").withColumn(
         "merged", (F.col("length") > 1) & F.col("value").isNotNull())
 
 

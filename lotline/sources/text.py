@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotline.functions.guards import require
+from lotline.operators.segments import place
 
 
 def lines_from_text(df: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
@@ -69,9 +70,9 @@ def read_lot_list(lines: DataFrame, id_col: str = "lot") -> DataFrame:
 def split_batches(ids: DataFrame, batch_size: int | None, order_col: str = "ordinal",
                   part_col: str = "file") -> DataFrame:
     """Consecutive batches of ``batch_size`` ids per list file, in list
-    order; ``None`` or <= 0 puts the whole list in batch 0. A list is one
-    ordered group (one file), so the window is per file."""
+    order; ``None`` or <= 0 puts the whole list in batch 0. Places are counted
+    in chunks of lines, so one list may be many tasks."""
     if not batch_size or batch_size <= 0:
         return ids.withColumn("batch_id", F.lit(0))
-    rank = F.row_number().over(Window.partitionBy(part_col).orderBy(order_col))
-    return ids.withColumn("batch_id", F.floor((rank - 1) / F.lit(batch_size)).cast("int"))
+    ranked = place(ids, [part_col], order_col, "_rank")
+    return ranked.withColumn("batch_id", F.floor((F.col("_rank") - 1) / F.lit(batch_size)).cast("int")).drop("_rank")
