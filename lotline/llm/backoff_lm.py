@@ -1,7 +1,7 @@
 """Language-model scores from a weighted backoff automaton.
 
 States are the empty history (root), the start of a text and every training word. A state
-has an arc for each word or end that followed it at least MIN_ARC times, with the
+has an arc for each word or end that ever followed it, with the
 log-probability of a discounted and interpolated bigram, and one failure arc to the root
 with its backoff weight; the root has an arc for every word. A text is read once from
 left to right: take the state's arc for the word, or follow the failure arc and take
@@ -36,10 +36,8 @@ from lotline.llm.blocks import STREAM_SCHEMA, blocks, stream_batch, unpack, word
 from lotline.llm.common import crc32_of, written
 from lotline.llm.words import trim
 
-#: Share of the training tokens that a word needs to be a state: none.
-STATE_RATE = 0.0
-#: Occurrences that an arc needs; a rarer word has none and acts as the root.
-MIN_ARC = 2
+#: Bytes of text in a block.
+BLOCK_BYTES = 8_000_000
 DISCOUNT = 0.75
 #: Words of a block that are worked on at a time.
 SLICE = 500_000
@@ -197,7 +195,6 @@ def summed(told: pa.Table) -> pa.Table:
     words, word = np.unique(np.concatenate([r[1] for r in runs]), return_inverse=True)
     pairs, at = np.unique(history * len(words) + word, return_inverse=True)
     n = np.bincount(at, weights=np.concatenate([r[2] for r in runs]), minlength=len(pairs)).astype(np.int64)
-    n[n < MIN_ARC] = 0
     arcs = np.flatnonzero(n)
     taken = np.bincount(pairs[arcs] // len(words), weights=n[arcs] - DISCOUNT, minlength=len(names))
     held = np.flatnonzero(taken)
@@ -271,13 +268,13 @@ def score(docs: DataFrame, flag: Column) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", flag.alias("flag"))
 
     def tell_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, numbered):
+        for block in blocks(batches, numbered, BLOCK_BYTES):
             yield from word_batches(block, n=block.flagged().astype(np.int64), m=np.bincount(block.codes, minlength=len(block.words)))
 
     told = rows.mapInArrow(tell_words, "block long, place int, word string, n long, m long")
     # one row per distinct word; its list is at most one entry per block
     table = written(told.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.collect_list(F.struct("block", "place")).alias("at"))
-                    .withColumn("id", F.when(F.col("n") >= MIN_ARC, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))), "words")
+                    .withColumn("id", F.when(F.col("n") > 0, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))), "words")
     texts = rows.filter("flag").count()
     r = table.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v"), F.sum("m").alias("m"),
                   F.sum((F.col("n") == 1).cast("long")).alias("f1"), F.sum((F.col("n") == 2).cast("long")).alias("f2")).first()
@@ -287,7 +284,7 @@ def score(docs: DataFrame, flag: Column) -> DataFrame:
     by_word = table.select(F.explode("at").alias("at"), "n", "id").select("at.block", "at.place", "n", "id")
 
     def tell_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, numbered):
+        for block in blocks(batches, numbered, BLOCK_BYTES):
             yield stream_batch(block)
 
     def tell_pairs(streams: pa.Table, found: pa.Table) -> pa.Table:

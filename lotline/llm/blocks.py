@@ -1,6 +1,6 @@
 """Blocks of texts, told as distinct words and as streams of word places.
 
-A block is one Arrow batch of a task's texts (Spark bounds its rows and its bytes). Its
+A block is a run of a task's texts, cut at a number of bytes within its Arrow batches. Its
 distinct words are numbered by first appearance (their place), so a table of words can be
 joined back to every block that has them, and the block's texts are a compact stream of
 places. The streams and the words come from separate reads of the texts: ``docs`` must
@@ -43,33 +43,29 @@ class Block:
         return np.bincount(self.codes[np.repeat(self.flags, self.lengths)], minlength=len(self.words))
 
 
-def _numbered(column: pa.Array, numbered: Callable[[pa.Array], Numbered]) -> Numbered:
-    """``numbered`` of a long column, slice by slice, so its working memory is bounded."""
-    places: dict = {}
-    codes, lengths = [], []
-    for part in slices(column):
-        words, some, n = numbered(part)
-        here = np.fromiter((places.setdefault(w, len(places)) for w in words), np.uint32, len(words))
-        codes.append(here[some])
-        lengths.append(n)
-    return list(places), np.concatenate(codes), np.concatenate(lengths)
+#: Bytes of text in a block, about; a longer text is a block of its own.
+BLOCK_BYTES = 10_000_000
 
 
-def blocks(batches: Iterator[pa.RecordBatch], numbered: Callable[[pa.Array], Numbered]) -> Iterator[Block]:
-    """Blocks of a task's rows (doc_id, text and, if there is one, flag)."""
+def blocks(batches: Iterator[pa.RecordBatch], numbered: Callable[[pa.Array], Numbered], limit: int = BLOCK_BYTES) -> Iterator[Block]:
+    """Blocks of a task's rows (doc_id, text and, if there is one, flag), cut at ``limit`` bytes of
+    text whatever the size of Spark's batches."""
     part = TaskContext.get().partitionId()
     for n, batch in enumerate(batches):
-        if not batch.num_rows:
-            continue
-        words, codes, lengths = _numbered(batch.column("text"), numbered)
-        flags = (batch.column("flag").to_numpy(zero_copy_only=False).astype(bool) if "flag" in batch.schema.names
-                 else np.ones(batch.num_rows, bool))
-        content = xxhash.xxh3_64(f"{part}.{n}:{batch.column('doc_id').to_pylist()}")
-        for x in (codes, lengths, flags):
-            content.update(np.ascontiguousarray(x).tobytes())
-        content.update("\0".join(words).encode("utf-8", "surrogatepass"))
-        yield Block(content.intdigest() - (1 << 63), words, codes, lengths, batch.column("doc_id"), flags)
-        trim()
+        first = 0
+        for k, texts in enumerate(slices(batch.column("text"), limit)):
+            rows = batch.slice(first, len(texts))
+            first += len(texts)
+            words, codes, lengths = numbered(texts)
+            codes = codes.astype(np.uint32)
+            flags = (rows.column("flag").to_numpy(zero_copy_only=False).astype(bool) if "flag" in batch.schema.names
+                     else np.ones(rows.num_rows, bool))
+            content = xxhash.xxh3_64(f"{part}.{n}.{k}:{rows.column('doc_id').to_pylist()}")
+            for x in (codes, lengths, flags):
+                content.update(np.ascontiguousarray(x).tobytes())
+            content.update("\0".join(words).encode("utf-8", "surrogatepass"))
+            yield Block(content.intdigest() - (1 << 63), words, codes, lengths, rows.column("doc_id"), flags)
+            trim()
 
 
 def word_batches(block: Block, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:

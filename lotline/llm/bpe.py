@@ -3,8 +3,9 @@
 Texts are split into words task by task and told in blocks: the distinct words of a
 block, one row each, and its stream of word places. Words are grouped over all blocks,
 each distinct word is encoded once, and its ids go back to every block that has it, where
-they are joined to the stream by place. Decoding joins ids with the id-to-piece table,
-which is broadcast (it is the vocabulary).
+they are joined to the stream by place. Decoding looks ids up in the id-to-piece table,
+which is broadcast (it is the vocabulary): a look-up by row number in place of a join, as
+a join would make a row of each token.
 """
 
 from __future__ import annotations
@@ -64,6 +65,15 @@ def rebuilt(stream: pa.Table, rows: pa.Table, width: str) -> pa.Table:
     return table
 
 
+def _texts(ids: pa.Array, table: list[str]) -> pa.Array:
+    """What each row's ids stand for: their pieces, put together with blanks."""
+    out = []
+    for i in range(0, len(ids), 500):
+        found = [" ".join([table[j] for j in np.frombuffer(x or b"", "<u4").tolist()]) for x in ids.slice(i, 500).to_pylist()]
+        out.append(pa.array(found, pa.string()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Token ids of every row of ``docs`` (doc_id, text).
 
@@ -72,9 +82,16 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     columns are ignored. ``docs`` is read twice and must give the same rows in the same
     partitions both times (a table, a checkpoint); otherwise the job fails.
     """
+    return _encoded(docs, tokenizer_path, with_text=False)
+
+
+def _encoded(docs: DataFrame, tokenizer_path: str, with_text: bool) -> DataFrame:
+    """:func:`encode`; ``with_text``: also ``decoded``, in the step that has the ids at hand."""
     text = words.vocabulary(tokenizer_path)
     vocabulary = docs.sparkSession.sparkContext.broadcast(text)
-    width = "<u2" if len(words.pieces(text)) <= 1 << 16 else "<u4"
+    pieces = words.pieces(text)
+    width = "<u2" if len(pieces) <= 1 << 16 else "<u4"
+    table = docs.sparkSession.sparkContext.broadcast(pieces) if with_text else None
 
     @F.pandas_udf("binary")
     def ids_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -88,7 +105,11 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     ids_of = ids_of.asNondeterministic()
 
     def join(stream: pa.Table, found: pa.Table) -> pa.Table:
-        return rebuilt(stream, found, width)
+        out = rebuilt(stream, found, width)
+        if table is not None:
+            out = out.append_column("decoded", _texts(out.column("ids").combine_chunks(), table.value))
+            words.trim()
+        return out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = rows.mapInArrow(_word_rows, "block long, place int, word string")
@@ -97,24 +118,22 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     placed = (distinct.withColumn("ids", ids_of("word")).select(F.explode("at").alias("at"), "ids")
               .select("at.block", "at.place", "ids"))
     streams = rows.mapInArrow(_stream_rows, STREAM_SCHEMA)
-    out = streams.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(join, "doc_id long, ids binary")
-    return out.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
+    out = streams.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(join, "doc_id long, ids binary" + ", decoded string" * with_text)
+    return out.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *["decoded"] * with_text)
 
 
 def decode(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
     """``tokens`` (doc_id, ids as :func:`encode` gives them; other columns are dropped) with
-    ``decoded``: the ids joined with the id-to-piece table, which is broadcast, the pieces
+    ``decoded``: the ids looked up in the id-to-piece table, which is broadcast, the pieces
     put together with blanks, as the tokenizer, which has no decoder step, puts them.
     Null ids count as none; an id that the table lacks is an error."""
     pieces = tokens.sparkSession.sparkContext.broadcast(words.pieces(words.vocabulary(tokenizer_path)))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                texts = [" ".join([table[j] for j in np.frombuffer(x or b"", "<u4").tolist()]) for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": part.column("ids"), "decoded": pa.array(texts, pa.string())})
+            for i in range(0, batch.num_rows, 5000):
+                part = batch.slice(i, 5000)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": part.column("ids"), "decoded": _texts(part.column("ids"), pieces.value)})
             words.trim()
 
     rows = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
@@ -123,5 +142,4 @@ def decode(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Both: doc_id, ids, n_tokens, decoded, one row per row of ``docs``."""
-    out = decode(encode(docs, tokenizer_path), tokenizer_path)
-    return out.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "decoded")
+    return _encoded(docs, tokenizer_path, with_text=True)

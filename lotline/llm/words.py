@@ -137,13 +137,13 @@ def trim() -> None:
         give_back(0)
 
 
-def slices(column: pa.Array) -> Iterator[pa.Array]:
-    """A column in runs of about SLICE_BYTES of text."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """A column in runs of at most ``limit`` bytes of text, or one longer text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
     while first < len(column):
         start = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, start + SLICE_BYTES, side="right")))
+        last = max(first + 1, int(np.searchsorted(ends, start + limit, side="right")))
         yield column.slice(first, last - first)
         trim()
         first = last

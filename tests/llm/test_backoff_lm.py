@@ -23,14 +23,13 @@ def brute(rows, learn):
     n, v, k = sum(c.values()), len(c), sum(learn)
     f1, f2 = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
     d = f1 / (f1 + 2 * f2) if f1 and f2 else 0.5
-    states = {w for w in c if w is not None and c[w] >= lm.STATE_RATE * n} | {"start"}
+    states = {w for w in c if w is not None} | {"start"}
     total = {s: k if s == "start" else c[s] for s in states}
     arcs = Counter()
     for t, f in zip(texts, learn):
         for h, w in zip(["start", *t], t):
             if f and h in states and (w is None or w in states):
                 arcs[h, w] += 1
-    arcs = {a: x for a, x in arcs.items() if x >= lm.MIN_ARC}
     taken = Counter()
     for (h, _), x in arcs.items():
         taken[h] += x - lm.DISCOUNT

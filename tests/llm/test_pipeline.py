@@ -23,7 +23,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "ngram_jaccard_join", "benchmark_decontamination", "bpe"]
     names = [q for q in E.queries() if q.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
 
 
 @needs_data
@@ -77,7 +77,12 @@ def test_query_runs(spark, name):
     rows = E.queries()[name](spark, SMALL).collect()
     table = {"op1": "embeddings", "op8": "pages"}.get(name.split("_")[0], "documents")
     n = spark.read.parquet(f"{SMALL}/{table}.parquet").count()
-    assert len(rows) == n if not name.startswith("op6_") else 0 < len(rows) < n
+    if name.startswith("op12_"):
+        assert sum(r.depth == 0 for r in rows) == 1
+    elif name.startswith("op13_"):
+        assert len(rows) == spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id").distinct().count()
+    else:
+        assert len(rows) == n if not name.startswith("op6_") else 0 < len(rows) < n
 
 
 @needs_data
@@ -85,7 +90,9 @@ def test_contract_columns(spark):
     want = {"op1": "vec_id n_links component_id kept", "op2": "doc_id n_tokens ids_sha256 decoded_sha256", "op3": "doc_id held_out lang_pred score",
             "op4": "doc_id size text_crc32 law shard slot grown_shard", "op5": "doc_id start n_tokens ids_crc32",
             "op7": "doc_id held_out n_tokens n_known train_tokens base_score score", "op8": "page_id host path rule verdict",
-            "op10": "doc_id n_shingles component_id"}
+            "op10": "doc_id n_shingles component_id", "op11": "doc_id keep_id group_size kept text_sha256",
+            "op12": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+            "op13": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256"}
     for name, f in E.queries().items():
         if name.split("_")[0] in want and name.startswith("op"):
             assert f(spark, SMALL).columns == want[name.split("_")[0]].split()
@@ -93,3 +100,43 @@ def test_contract_columns(spark):
 
 def test_shingles_keep_their_case_rules():
     assert partition_join.words_of("A\x0bB É\x85x") == ["a".encode(), b"b", "É\x85x".encode()]
+
+
+NEW = ["op11_exact_dedup", "op12_prefix_trie", "op13_structure_repair"]
+
+
+@needs_data
+@pytest.mark.parametrize("name", NEW)
+def test_new_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
+    df = E.queries()[name](spark, SMALL)
+    want = con.execute(E.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(str, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+@needs_data
+def test_unlike_texts_of_one_id_are_not_lost(spark, tmp_path):
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(1, near), (1, "quite another text that has nothing to do with it at all"), (1, near), (2, near + " x"), (None, near), (None, near), (3, "alone it stands")]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
+    out = stages.keep_one_of_group(spark, spark.read.parquet(str(tmp_path / "d")), SMALL)
+    assert sorted(((str(r.doc_id), r.text) for r in out.collect())) == sorted([("1", near), ("1", rows[1][1]), ("None", near), ("None", near), ("3", rows[6][1])])
+
+
+@needs_data
+def test_unknown_languages_go_and_short_clean_texts_stay(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = {10**6: "zzz qqq xxx x7 {}", 10**6 + 1: "你好 世界 这是 一个 测试", 10**6 + 2: "Добрый день, как дела сегодня", 10**6 + 3: "kq wx zj vq qz " * 40}
+    more = spark.createDataFrame([(i, t, None, "s", 1) for i, t in odd.items()], docs.schema)
+    docs.unionByName(more).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    kept = {r.doc_id for r in stages.drop_unknown_language(spark, docs, SMALL).select("doc_id").collect()}
+    assert not kept & odd.keys()
+    clean = {r.doc_id for r in docs.filter("lang is not null and text rlike '[a-zA-Z]'").collect()}
+    assert len(clean - kept) <= 2, clean - kept
