@@ -98,6 +98,14 @@ def bin_pareto(units: DataFrame, slices: Mapping[str, Mapping[str, object]] | No
     bin, device step and process step become 'UNKNOWN' (P5) per slice, as
     in the reference. Without a process-step column the table is overall.
     """
+    rows, keys = pareto_rows(units, slices, bin_kinds, id_col, dev_col, step_col)
+    return pareto_table(bin_cells(rows, keys, "bin", dev_col, id_col, measure), keys, dev_col)
+
+
+def pareto_rows(units: DataFrame, slices: Mapping[str, Mapping[str, object]] | None = None,
+                bin_kinds: Mapping[str, str] | None = None, id_col: str = "visual_id",
+                dev_col: str = "devrevstep", step_col: str = "process_step") -> tuple[DataFrame, list[str]]:
+    """The rows that the Pareto counts, one per unit row, slice and bin kind, and the table's keys."""
     slices = dict(slices or {"main": MAIN_FILTERS, "retest": RETEST_FILTERS})
     bin_kinds = dict(bin_kinds or {"functional": "functional_bin", "interface": "interface_bin"})
     require_columns(units, [id_col, dev_col, bin_kinds.get("functional", "functional_bin")],
@@ -115,8 +123,11 @@ def bin_pareto(units: DataFrame, slices: Mapping[str, Mapping[str, object]] | No
     rows = (units.filter(wanted).select(*keep, F.explode(slice_names).alias("slice"), F.explode(bins).alias("_b"))
                  .select("slice", "_b.bin_kind", "_b.bin", *keep))
     rows = fill_unknown(rows, ["bin", dev_col] + ([step_col] if has_step else []))
-    keys = ["slice", "bin_kind"] + ([step_col] if has_step else [])
-    cells = bin_cells(rows, keys, "bin", dev_col, id_col, measure)
+    return rows, ["slice", "bin_kind"] + ([step_col] if has_step else [])
+
+
+def pareto_table(cells: DataFrame, keys: Sequence[str], dev_col: str = "devrevstep") -> DataFrame:
+    """The Pareto of its cells: totals, shares, severity."""
     out = pareto_totals(cells, keys, "bin", dev_col)
     is_total_row = F.col("row_kind").isin("step_total", "grand_total")
     return out.withColumn("severity", severity(F.col("percentage"), F.col("bin"), F.col("bin_kind"), is_total_row))

@@ -109,7 +109,9 @@ def _config_candidate(lines: DataFrame, chunk_lines: int) -> DataFrame:
     'Configuration' but without both '=' and ';' is joined (with spaces) with
     the following lines up to the first one holding ';', which must not lie
     behind the next block end. Only the lines of such spans are gathered,
-    one group per span."""
+    one group per ';': its first open line gives the value. (No block begins
+    inside a span, and what a later open line of it would give, the first
+    finds too, so the others never are a block's first match.)"""
     line = F.col("line")
     has_cfg, has_semi, is_end = line.contains("Configuration"), line.contains(";"), line.rlike(END_RE)
     single = has_cfg & line.contains("=") & has_semi
@@ -117,12 +119,16 @@ def _config_candidate(lines: DataFrame, chunk_lines: int) -> DataFrame:
                 {"_semi": F.when(has_semi, F.col("line_no")), "_stop": F.when(is_end, F.col("line_no"))},
                 chunk_lines, forward=False, own=False)
     spans = df.filter(has_cfg & ~single & (F.col("_stop").isNull() | (F.col("_semi") <= F.col("_stop"))))
-    members = spans.select("file", F.col("line_no").alias("_from"), F.explode(F.sequence("line_no", "_semi")).alias("line_no"))
+    spans = spans.groupBy("file", "_semi").agg(F.min("line_no").alias("_from"))
+    members = spans.select("file", "_from", F.explode(F.sequence("_from", "_semi")).alias("line_no"))
     texts = (members.join(lines.select("file", "line_no", "line"), ["file", "line_no"])
              .groupBy("file", "_from").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_lines")))
     joined = F.concat_ws(" ", F.transform("_lines", lambda x: x["line"]))
     texts = texts.select("file", F.col("_from").alias("line_no"), _extract(joined, CONFIG_RE).alias("_multi"))
-    out = lines.join(texts, ["file", "line_no"], "left")
+    # only open lines are joined
+    is_open = has_cfg & ~single
+    opened = lines.filter(is_open).join(texts, ["file", "line_no"], "left").select(*lines.columns, "_multi")
+    out = lines.filter(~is_open).withColumn("_multi", F.lit(None).cast("string")).unionByName(opened)
     return out.withColumn("_cfg", _strip(F.coalesce(F.when(single, _extract(line, CONFIG_RE)), F.col("_multi")))).drop("_multi")
 
 
@@ -161,6 +167,13 @@ def extract_instances(lines: DataFrame, rule_marker: str = RULE_MARKER,
     )
 
 
+def extract_instance_heads(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """The instances of :func:`extract_instances` with name, method and bypass port only, for
+    counts that need no configuration: no span of lines is gathered."""
+    df = _scan_blocks(lines, False, {"bypass_port": _strip(_extract(F.col("line"), BYPASS_RE))}, chunk_lines)
+    return df.select("file", "head_line", "test_instance_name", "test_method", F.coalesce(F.col("bypass_port"), F.lit(UNKNOWN)).alias("bypass_port"))
+
+
 def extract_instances_lite(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """Name, method and bypass port; the block stops at the next 'Test '
     line (the line right after the head included)."""

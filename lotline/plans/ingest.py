@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lotline.operators import pareto_state
 from lotline.plans.units import units
 from lotline.session import checkpoint_dir
 from lotline.sources.tables import read_table
 from lotline.streaming import exports
-from lotline.streaming.ingest import ingest_extracts
+from lotline.streaming.ingest import ingest_extracts, ingest_with
 
 # Fixed columns of the landed extract files.
 EXTRACT_SCHEMA = T.StructType([
@@ -65,4 +66,17 @@ def q_export_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(exports.VERDICTS).parquet(f"{root}/verdicts")
 
 
-QUERIES = {"ingest_extracts": q_ingest_extracts, "export_verdicts": q_export_verdicts}
+def q_pareto_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Land the unit extract as files, take them in micro-batches into the Pareto's state (S11, A7,
+    A11) and return the Pareto that the state gives."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/pareto-{uuid.uuid4().hex}"
+    schema = T.StructType([*EXTRACT_SCHEMA.fields, T.StructField("substructure_id", T.StringType())])
+    rows = units(spark, sf_dir).select(*[f.name for f in schema.fields])
+    rows.repartition(3, "visual_id").write.option("header", True).csv(f"{root}/landing")
+    query = ingest_with(spark, f"{root}/landing", schema, lambda batch, batch_id: pareto_state.add_batch(batch, f"{root}/state", batch_id),
+                        checkpoint=f"{root}/stream", max_files_per_trigger=2)
+    query.awaitTermination()
+    return pareto_state.current_pareto(spark, f"{root}/state")
+
+
+QUERIES = {"pareto_batches": q_pareto_batches, "ingest_extracts": q_ingest_extracts, "export_verdicts": q_export_verdicts}

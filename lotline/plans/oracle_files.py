@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lotline.plans import oracle_units
 from lotline.plans.files import BROKEN_CELL, DAMAGED
 from lotline.plans.ingest import OBSERVATIONS
 from lotline.sources.adapters import view_sql
@@ -57,4 +58,5 @@ WHERE r.name IS NOT NULL OR n.name IN (SELECT name FROM ended)
 
 SQL = {
     "export_verdicts": EXPORT_VERDICTS,
+    "pareto_batches": oracle_units.BIN_PARETO,
     "sheet_layouts": SHEET_LAYOUTS, "sheet_line_breaks": SHEET_LINE_BREAKS, "sheet_rejects": SHEET_REJECTS, "table_forms": TABLE_FORMS}

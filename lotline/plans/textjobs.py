@@ -32,7 +32,7 @@ def q_extract_instances_lite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_instance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textjobs.instance_counts(instances(spark, sf_dir))
+    return textjobs.instance_counts(textjobs.extract_instance_heads(instance_lines(spark, sf_dir)))
 
 
 def q_instance_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:

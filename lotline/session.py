@@ -49,9 +49,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: the cluster's ``spark.checkpoint.dir``
     or, where that is unset, a folder of the warehouse, which every session has
-    and a cluster keeps on shared storage."""
+    and a cluster keeps on shared storage. A cluster whose warehouse is the driver's own
+    disk must set it."""
     current = spark.conf.get("spark.checkpoint.dir", None)
-    return (current or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch").rstrip("/")
+    if current:
+        return current.rstrip("/")
+    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    own_disk = base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local")
+    if own_disk:
+        raise RuntimeError(f"set spark.checkpoint.dir: the warehouse {base} is the driver's own disk, which executors do not share")
+    return base + "/.scratch"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -51,10 +51,10 @@ def ingest_extracts(spark: SparkSession, src_dir: str, schema: T.StructType, out
 
 def ingest_with(spark: SparkSession, src_dir: str, schema: T.StructType,
                 handle: Callable[[DataFrame, int], None], name: str = "extract_batches",
-                fmt: str = "csv", checkpoint: str | None = None) -> StreamingQuery:
+                fmt: str = "csv", checkpoint: str | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Run ``handle(batch_df, batch_id)`` on each micro-batch of new files
     (``foreachBatch``: batch operators such as the Pareto counts run on
     every batch; the handler should write idempotently by ``batch_id``)."""
     ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/{name}"
-    return (extract_stream(spark, src_dir, schema, fmt).writeStream.foreachBatch(handle)
+    return (extract_stream(spark, src_dir, schema, fmt, max_files_per_trigger).writeStream.foreachBatch(handle)
             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())

@@ -217,3 +217,16 @@ def test_split_line_numbers(spark, tmp_path):
         assert a.count() == len((PROGRAM * 200).splitlines()) + 2
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_many_open_configuration_lines(spark):
+    """Open lines one after the other up to one ';': the first gives the value, in one span."""
+    from lotline.operators import textjobs
+
+    n = 20_000
+    body = ["Test PrimeDcLeakageTestMethod A1", "{"] + [f'  Configuration {i}' for i in range(n)] + ['  = "HOT_1";', "}"]
+    body += ["Test PrimeDcLeakageTestMethod B2", "{", '  Configuration = "COLD_2";', "}"]
+    out = {r.test_instance_name: r.configuration for r in textjobs.extract_instances(lines(spark, "\n".join(body) + "\n")).collect()}
+    assert set(out) == {"A1", "B2"} and out["B2"] == "COLD_2"
+    heads = rows(textjobs.instance_counts(textjobs.extract_instance_heads(lines(spark, "\n".join(body) + "\n"))))
+    assert heads == rows(textjobs.instance_counts(textjobs.extract_instances(lines(spark, "\n".join(body) + "\n"))))
