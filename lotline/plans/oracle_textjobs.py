@@ -13,6 +13,12 @@ from lotline.plans.oracle_nested import LIMITS_CTE
 from lotline.sources.programs import template_sql
 
 
+# Fixed values of the input format, typed here so that the reference does not follow the operator:
+# the line that begins a wanted test, and the line that ends a block.
+HEAD = r"^Test\s+(PrimeDcLeakageTestMethod|TraceAnalyticsDcLeakage)\s+(\S+)"
+END = r"^\s*Test "
+
+
 def q(s: str) -> str:
     """SQL string literal."""
     return "'" + s.replace("'", "''") + "'"
@@ -45,7 +51,7 @@ joined AS (
   JOIN instance_program_lines b
     ON b.file = a.file AND b.line_no BETWEEN a.line_no AND s.semi_line
   WHERE NOT EXISTS (SELECT 1 FROM instance_program_lines e WHERE e.file = a.file AND e.line_no > a.line_no
-                    AND e.line_no < s.semi_line AND regexp_matches(e.line, {q(T.END_RE)}))
+                    AND e.line_no < s.semi_line AND regexp_matches(e.line, {q(END)}))
   GROUP BY a.file, a.line_no
 ),
 cand AS (
@@ -62,11 +68,11 @@ def heads_cte(first_end_offset: int) -> str:
     return f"""
 heads AS (
   SELECT file, line_no AS head_line,
-         regexp_extract(line, {q(T.HEAD_RE)}, 2) AS test_instance_name,
-         regexp_extract(line, {q(T.HEAD_RE)}, 1) AS test_method
-  FROM instance_program_lines WHERE regexp_matches(line, {q(T.HEAD_RE)})
+         regexp_extract(line, {q(HEAD)}, 2) AS test_instance_name,
+         regexp_extract(line, {q(HEAD)}, 1) AS test_method
+  FROM instance_program_lines WHERE regexp_matches(line, {q(HEAD)})
 ),
-ends AS (SELECT file, line_no FROM instance_program_lines WHERE regexp_matches(line, {q(T.END_RE)})),
+ends AS (SELECT file, line_no FROM instance_program_lines WHERE regexp_matches(line, {q(END)})),
 first_end AS (
   SELECT h.file, h.head_line, min(e.line_no) AS end_line
   FROM heads h LEFT JOIN ends e ON e.file = h.file AND e.line_no >= h.head_line + {first_end_offset}
