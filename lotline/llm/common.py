@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotline.session import shared_dir
+
 #: Copies of the small side of a join whose other side may have a hot key.
 SALTS = 16
 
@@ -34,12 +36,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, or under the warehouse folder
-    (which a cluster also shares) where that setting is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or
+    the warehouse where that is unset (an error where it is the driver's own disk)."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -150,17 +149,31 @@ def bit_field(df: DataFrame, place: Column) -> np.ndarray:
     return out
 
 
-def maybe_in(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be among those of ``few``: all that are, and of the
-    others only such as share a bit with one. The broadcast has FIELD_BITS bits at most."""
+def _marked(df: DataFrame, few: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """``df`` with the bits of its keys' bucket, and whether its key may be among those of ``few``."""
     at = F.xxhash64(key).bitwiseAND(F.lit(FIELD_BITS - 1)) + 1
     bits = bit_rows(few, F.xxhash64(key)).select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
-    out = df.withColumn("__at", at).join(F.broadcast(bits), F.bitmap_bucket_number("__at") == F.col("__bucket"))
+    out = df.withColumn("__at", at).join(F.broadcast(bits), F.bitmap_bucket_number("__at") == F.col("__bucket"), "left")
     held = F.expr("shiftright(cast(conv(hex(substring(__bits, cast((__at - 1) % 32768 div 8 + 1 as int), 1)), 16, 10) as int), "
                   "cast((__at - 1) % 8 as int)) & 1 = 1")
+    return out, F.coalesce(held, F.lit(False))
+
+
+def maybe_in(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among those of ``few``: all that are, and of the
+    others only such as share a bit with one. The broadcast has FIELD_BITS bits at most."""
+    out, held = _marked(df, few, key)
     return out.filter(held).select(*df.columns)
 
 
+def without(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not among those of ``few``, exactly; only rows that share a
+    bit with one of these are shuffled. ``df`` is read twice."""
+    out, held = _marked(df, few, key)
+    never = out.filter(~held).select(*df.columns)
+    return never.unionByName(maybe_in(df, few, key).join(few.select(key), key, "left_anti").select(*df.columns))
+
+
 def crc32_of(col: Column) -> Column:
     """Unsigned crc32 of a value written as text."""
     return F.crc32(col.cast("string").cast("binary"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotline.llm.common import components, maybe_in, salted_join, written
+from lotline.llm.common import components, dealt_join, maybe_in, salted_join, without, written
 from lotline.llm.words import trim
 
 #: Words whose hashes a task remembers.
@@ -260,8 +260,8 @@ def join_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # equal sets: one of them stands for all
     known = sets.filter("doc_id is not null and n_shingles > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "n_shingles", "print_a", "print_b")
     same = ["n_shingles", "print_a", "print_b"]
-    leaders = known.groupBy(*same).agg(F.min("doc_id").alias("leader"))
-    copies = written(salted_join(known, leaders, same, F.col("doc_id")).filter("doc_id <> leader")
+    leaders = written(known.groupBy(*same).agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "leaders")
+    copies = written(dealt_join(known, leaders, same, F.col("doc_id"), "n").filter("doc_id <> leader")
                      .groupBy("doc_id").agg(F.min("leader").alias("leader")), "copies")
 
     longest = known.agg(F.max("n_shingles")).first()[0] or 1
@@ -272,8 +272,9 @@ def join_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     counts = {r["band"]: r["n"] for r in known.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}
     bands = layouts(percent, edges, counts)
 
-    # keys shared by two documents at least, without each document's costliest ones
-    rows = key_rows(docs, k, percent, edges, bands)
+    # keys shared by two documents at least, without each document's costliest ones; copies have none
+    one_each = without(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), copies, "doc_id")
+    rows = key_rows(one_each, k, percent, edges, bands)
     by_key = Window.partitionBy("key")
     shared = rows.withColumn("holders", F.count("*").over(by_key)).filter("holders > 1")
     tag = F.col("key").bitwiseAND(F.lit((1 << _TAG_BITS) - 1)).cast("int")
@@ -282,7 +283,6 @@ def join_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # dealt by document once, for the window and the join
     cheap = (shared.repartition("doc_id").withColumn("tag", tag).withColumn("place", F.row_number().over(in_doc))
              .filter(F.col("place") > spare).select("key", "doc_id"))
-    cheap = cheap.join(copies, "doc_id", "left").select("key", F.coalesce("leader", "doc_id").alias("doc_id"))
     # and by key once
     links = written(cheap.repartition("key").distinct().withColumn("pivot", F.min("doc_id").over(by_key))
                     .withColumn("holders", F.count("*").over(by_key)).filter("holders > 1")
