@@ -8,8 +8,9 @@ cut gives shards that each have the whole mixture, of sizes at most one apart
 
 Ranks need no global sort in one task: within a source they are a window over
 (source, hash prefix) plus the counts of the earlier prefixes, so a source with
-a third of all rows is dealt over PREFIXES groups; the rank over all rows is the
-same with slices of the fractional rank.
+a third of all rows is dealt over PREFIXES groups. The rank over all rows comes from
+ranges of (fractional rank, seeded hash), so that many sources of one row, which share a
+fractional rank, are many tasks too, and mix by their hashes.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Groups that the rows of one source, and slices that all rows, are dealt over.
+from lotline.llm.turns import numbered
+
+#: Groups that the rows of one source are dealt over.
 PREFIXES = 1024
-SLICES = 4096
 
 
 def interleave(docs: DataFrame, shards: int = 8, seed: str = "lot") -> DataFrame:
@@ -49,17 +51,11 @@ def interleave(docs: DataFrame, shards: int = 8, seed: str = "lot") -> DataFrame
     within = Window.partitionBy("stratum", "prefix").orderBy("key", "doc_id", "size", "text_crc32")
     ranked = (rows.join(counts, ["stratum", "prefix"])
               .withColumn("rank", F.col("before") + F.row_number().over(within))
-              .withColumn("twice", 2 * F.col("rank") - 1)
-              .withColumn("slice", F.expr(f"(twice * {SLICES}) div (2 * total)"))
-              .withColumn("fraction", F.col("twice") / (2 * F.col("total"))))
-    # SLICES rows at most: one small window, and a broadcast of known size
-    everything = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = ranked.groupBy("slice").agg(F.count("*").alias("n"))
-    slices = slices.select("slice", (F.sum("n").over(everything) - F.col("n")).alias("earlier"),
-                           F.sum("n").over(Window.partitionBy(F.lit(1))).alias("all_rows"))
-    in_slice = Window.partitionBy("slice").orderBy("fraction", "stratum", "key", "doc_id", "size", "text_crc32")
-    return (ranked.join(F.broadcast(slices), "slice")
-            .withColumn("at", F.col("earlier") + F.row_number().over(in_slice) - 1)
+              .withColumn("fraction", (2 * F.col("rank") - 1) / (2 * F.col("total"))))
+    all_rows = counts.select("stratum", "total").distinct().agg(F.sum("total")).first()[0] or 0
+    order = [F.col(c).asc() for c in ("fraction", "key", "stratum", "doc_id", "size", "text_crc32")]
+    placed = numbered(ranked.select("doc_id", "source", "stratum", "size", "text_crc32", "key", "fraction", F.lit(0).alias("one")), "one", *order)
+    return (placed.withColumn("at", F.col("pos") - 1).withColumn("all_rows", F.lit(all_rows).cast("long"))
             .withColumn("shard", F.expr(f"cast((at * {shards}) div all_rows as int)"))
             .select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
                     F.expr(f"at - ((shard * all_rows + {shards - 1}) div {shards})").alias("slot"),

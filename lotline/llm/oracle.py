@@ -72,7 +72,7 @@ r AS (
   FROM c
 ),
 g AS (
-  SELECT *, row_number() OVER (ORDER BY CAST(2 * rank - 1 AS DOUBLE) / CAST(2 * total AS DOUBLE), stratum, key, doc_id, size, text_crc32) - 1 AS pos,
+  SELECT *, row_number() OVER (ORDER BY CAST(2 * rank - 1 AS DOUBLE) / CAST(2 * total AS DOUBLE), key, stratum, doc_id, size, text_crc32) - 1 AS pos,
          count(*) OVER () AS n
   FROM r
 ),

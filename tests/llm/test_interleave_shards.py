@@ -21,7 +21,7 @@ def brute(rows, shards):
     line = []
     for stratum, rs in items.items():
         for k, (order, *rest) in enumerate(sorted(rs, key=lambda r: r[0]), 1):
-            line.append(((float(Fraction(2 * k - 1, 2 * len(rs))), stratum, order[1:]), rest))
+            line.append(((float(Fraction(2 * k - 1, 2 * len(rs))), order[1], stratum, order[2:]), rest))
     line.sort(key=lambda r: r[0])
     n = len(line)
     return [(*rest, at * shards // n, at - (at * shards // n * n + shards - 1) // shards) for at, (_, rest) in enumerate(line)]
@@ -56,3 +56,13 @@ def test_nulls_ties_repeats(frame):
 def test_one_source_and_empty(frame):
     check(frame, [(i, "same", "only") for i in range(100)])
     assert sh.interleave(frame([], SCHEMA, 1)).count() == 0
+
+
+def test_many_sources_of_one_row_mix(frame):
+    """All of them have the fractional rank 1/2: their hashes deal them over the shards, beside a large source."""
+    rows = [(i, "t", f"host{i}" if i % 2 else "big") for i in range(800)]
+    got = check(frame, rows)
+    middle = [r.shard for r in got if r.source != "big"]
+    assert len(set(middle)) >= 4
+    names = sorted((r.source, r.shard) for r in got if r.source != "big")
+    assert [s for _, s in names] != sorted(s for _, s in names)
