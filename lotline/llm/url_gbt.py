@@ -15,8 +15,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotline.llm.common import written
+
 #: Labelled URLs that the trees are fitted on, about, at most.
 TRAIN_ROWS = 20_000
+#: Rows of each class that the sample has at least, about (all where a class has fewer).
+CLASS_ROWS = 200
 #: Added to the counts of a suffix, at the overall rate.
 SUFFIX_PRIOR = 20.0
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "params", "host_length", "host_labels",
@@ -95,7 +99,7 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", id_col: str
 
     Returns id, host, path, rule, verdict, block_probability. The trees are fitted on
     about ``train_rows`` of the URLs that a rule decides (all of them where they are
-    fewer), picked by a hash of the URL. Null URLs and such without ``://`` have empty
+    fewer), picked by a hash of URL and id, of either verdict CLASS_ROWS at least. Null URLs and such without ``://`` have empty
     host and path and are judged by the trees; where no rule decides any row, or all
     decide alike, there is nothing to learn and the rest is allowed, or gets that one
     verdict. Repeated rows and ids are judged alike; other columns are ignored.
@@ -124,10 +128,13 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", id_col: str
     full = full.select(id_col, "host", "path", "rule", "_label", "_url", "suffix_rate", "suffix_log",
                        *[v.alias(k) for k, v in feats.items()])
     full = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(full)
-    picked = F.pmod(F.xxhash64("_url"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, train_rows / n)) + 1
-    train = full.filter(F.col("_label").isNotNull() & picked).select("_features", "_label")
-    if train.agg(F.countDistinct("_label")).first()[0] < 2:  # a sample that missed one side: take all labelled rows
-        train = full.filter(F.col("_label").isNotNull()).select("_features", "_label")
+    # every class has its share, and CLASS_ROWS at least; equal URLs are picked row by row
+    held = {1.0: n * rate, 0.0: n * (1.0 - rate)}
+    share = {label: min(1.0, max(train_rows / n, CLASS_ROWS / max(1.0, of))) for label, of in held.items()}
+    at = F.pmod(F.xxhash64("_url", F.col(id_col)), F.lit(1_000_003))
+    picked = at < F.when(F.col("_label") == 1.0, int(1_000_003 * share[1.0]) + 1).otherwise(int(1_000_003 * share[0.0]) + 1)
+    # the trees pass over it many times
+    train = written(full.filter(F.col("_label").isNotNull() & picked).select("_features", "_label"), "url-sample")
     model = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=depth,
                           maxBins=32, seed=11, checkpointInterval=-1).fit(train)
     scored = model.transform(full).withColumn("_p", vector_to_array("probability")[1])
