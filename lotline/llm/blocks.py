@@ -43,8 +43,23 @@ class Block:
         return np.bincount(self.codes[np.repeat(self.flags, self.lengths)], minlength=len(self.words))
 
 
-#: Bytes of text in a block, about; a longer text is a block of its own.
+#: Bytes of text in a block, about; a longer text is a block of its own. WORKED: of which so many
+#: are split at a time, as that takes many times their size.
 BLOCK_BYTES = 10_000_000
+WORKED = 2_500_000
+
+
+def _numbered(column: pa.Array, numbered: Callable[[pa.Array], Numbered]) -> Numbered:
+    """``numbered`` of a block's texts, run by run."""
+    places: dict = {}
+    codes, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+    for part in slices(column, WORKED):
+        words, some, n = numbered(part)
+        here = np.fromiter((places.setdefault(w, len(places)) for w in words), np.uint32, len(words))
+        codes.append(here[some])
+        lengths.append(n)
+        del words, some, n
+    return list(places), np.concatenate(codes), np.concatenate(lengths)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], numbered: Callable[[pa.Array], Numbered], limit: int = BLOCK_BYTES) -> Iterator[Block]:
@@ -56,8 +71,7 @@ def blocks(batches: Iterator[pa.RecordBatch], numbered: Callable[[pa.Array], Num
         for k, texts in enumerate(slices(batch.column("text"), limit)):
             rows = batch.slice(first, len(texts))
             first += len(texts)
-            words, codes, lengths = numbered(texts)
-            codes = codes.astype(np.uint32)
+            words, codes, lengths = _numbered(texts, numbered)
             flags = (rows.column("flag").to_numpy(zero_copy_only=False).astype(bool) if "flag" in batch.schema.names
                      else np.ones(rows.num_rows, bool))
             content = xxhash.xxh3_64(f"{part}.{n}.{k}:{rows.column('doc_id').to_pylist()}")

@@ -13,9 +13,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +32,47 @@ def _stream_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stream_batch(block)
 
 
-def rebuilt(stream: pa.Table, rows: pa.Table, width: str) -> pa.Table:
+#: Words of blocks that a task holds before it packs them.
+RUN = 500_000
+_RUN = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
+
+
+def _runs(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Rows (block, n, data): the places of a block's words (as steps), how many ids each has, and the ids."""
+    block, place, lengths = (np.concatenate([h[i] for h in held]) for i in range(3))
+    flat = np.concatenate([h[3] for h in held])
+    order = np.lexsort((place, block))
+    starts = np.cumsum(lengths) - lengths
+    block, place, flat, lengths = block[order], place[order], words.gather(flat, starts[order], lengths[order]), lengths[order]
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.empty(0, np.int64)
+    last, ends = np.r_[first[1:], len(block)], np.r_[0, np.cumsum(lengths)]
+    pack = zstandard.ZstdCompressor(level=3).compress
+    data = [pack(np.diff(place[i:j], prepend=0).astype("<i4").tobytes() + lengths[i:j].astype("<u4").tobytes() + flat[ends[i]:ends[j]].tobytes())
+            for i, j in zip(first.tolist(), last.tolist(), strict=True)] if len(block) else []
+    return pa.RecordBatch.from_pydict({"block": block[first], "n": (last - first if len(block) else first).astype(np.int32), "data": data}, _RUN)
+
+
+def by_place(found: pa.Table, width: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's words from their runs: the ids, and by place where a word's begin and how many it has."""
+    places, counts, flat = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, width)]
+    for n, data in zip(found.column("n").to_pylist(), found.column("data").to_pylist(), strict=True):
+        raw = zstandard.ZstdDecompressor().decompress(data)
+        places.append(np.cumsum(np.frombuffer(raw, "<i4", n), dtype=np.int64))
+        counts.append(np.frombuffer(raw, "<u4", n, 4 * n).astype(np.int64))
+        flat.append(np.frombuffer(raw, width, int(counts[-1].sum()), 8 * n))
+    place, lengths = np.concatenate(places), np.concatenate(counts)
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(place)
+    if not np.array_equal(place[order], np.arange(len(place))):
+        raise ValueError("a block's words and those that came back differ")
+    return np.concatenate(flat).astype("<u4"), starts[order], lengths[order]
+
+
+def rebuilt(stream: pa.Table, found: pa.Table, width: str) -> pa.Table:
     """The ids of a block's documents from its stream and its words' ids (by place)."""
     if not stream.num_rows:
         raise ValueError("words of a block without its texts: the input changed between two reads")
-    order = np.argsort(rows.column("place").to_numpy())
-    by_place = rows.column("ids").combine_chunks().take(pa.array(order))
-    by_place = by_place.combine_chunks() if isinstance(by_place, pa.ChunkedArray) else by_place
-    size = np.dtype(width).itemsize
-    lengths = pc.binary_length(by_place).to_numpy(zero_copy_only=False).astype(np.int64) // size
-    flat = np.frombuffer(by_place.buffers()[2] or b"", width, int(lengths.sum())).astype("<u4") if len(by_place) else np.empty(0, "<u4")
-    starts = np.cumsum(lengths) - lengths
+    flat, starts, lengths = by_place(found, width)
     doc_ids, parts = [], []
     for s in stream.to_pylist():
         codes = unpack(s["stream"], s["n_words"])
@@ -93,17 +122,27 @@ def _encoded(docs: DataFrame, tokenizer_path: str, with_text: bool) -> DataFrame
     width = "<u2" if len(pieces) <= 1 << 16 else "<u4"
     table = docs.sparkSession.sparkContext.broadcast(pieces) if with_text else None
 
-    @F.pandas_udf("binary")
-    def ids_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = words.load(vocabulary.value)
-        for w in parts:
-            yield pd.Series([np.array(e.ids, width).tobytes() for e in tok.encode_batch_fast(list(w), add_special_tokens=False)])
+        held, size = [], 0
+        for batch in batches:
+            found = [np.array(e.ids, width) for e in tok.encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)]
+            lengths = np.array([len(x) for x in found], np.int64)
+            flat, starts = np.concatenate([np.empty(0, width), *found]), np.cumsum(lengths) - lengths
+            at = batch.column("at")
+            word = np.repeat(np.arange(len(found)), at.value_lengths().to_numpy(zero_copy_only=False))
+            spots = at.flatten()
+            held.append((spots.field("block").to_numpy(), spots.field("place").to_numpy(), lengths[word], words.gather(flat, starts[word], lengths[word])))
+            size += len(word)
+            if size >= RUN:
+                yield _runs(held)
+                held, size = [], 0
+                words.trim()
+        if held:
+            yield _runs(held)
         del tok
         words.trim()
 
-    # else Spark would move it below the grouping, to every block's words
-    ids_of = ids_of.asNondeterministic()
-
     def join(stream: pa.Table, found: pa.Table) -> pa.Table:
         out = rebuilt(stream, found, width)
         if table is not None:
@@ -115,8 +154,7 @@ def _encoded(docs: DataFrame, tokenizer_path: str, with_text: bool) -> DataFrame
     told = rows.mapInArrow(_word_rows, "block long, place int, word string")
     # one row per distinct word; its list is at most one entry per block
     distinct = told.groupBy("word").agg(F.collect_list(F.struct("block", "place")).alias("at"))
-    placed = (distinct.withColumn("ids", ids_of("word")).select(F.explode("at").alias("at"), "ids")
-              .select("at.block", "at.place", "ids"))
+    placed = distinct.mapInArrow(encode_words, "block long, n int, data binary")
     streams = rows.mapInArrow(_stream_rows, STREAM_SCHEMA)
     out = streams.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(join, "doc_id long, ids binary" + ", decoded string" * with_text)
     return out.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *["decoded"] * with_text)
