@@ -8,7 +8,6 @@ import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotline.operators import pareto_state

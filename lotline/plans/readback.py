@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotline.operators import diff, nested, order, pareto, present
+from lotline.operators import diff, nested, pareto, present
 from lotline.operators.clean import optional_predicates
 from lotline.plans import nested as nested_plans
 from lotline.plans import requests, textjobs

@@ -11,7 +11,6 @@ from collections.abc import Mapping
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lotline.sinks.versions import NoVersionError, parts, publish, read_part
 
