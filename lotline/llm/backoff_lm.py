@@ -107,6 +107,40 @@ class Root:
         return np.log10((counts + 1) / (self.tokens + self.types + 1))
 
 
+#: Words of blocks that a task holds before it packs them.
+RUN = 1_000_000
+
+
+def _word_runs(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Rows (block, place, n, id): a block's words by place, packed."""
+    block, place, n, number = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((place, block))
+    block, place, n, number = block[order], place[order], n[order], number[order]
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.empty(0, np.int64)
+    spans = list(zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=True)) if len(block) else []
+    return pa.RecordBatch.from_pydict({
+        "block": pa.array(block[first], pa.int64()), "place": pa.array([pack(_steps(place[i:j])) for i, j in spans], pa.binary()),
+        "n": pa.array([pack(n[i:j]) for i, j in spans], pa.binary()), "id": pa.array([pack(number[i:j]) for i, j in spans], pa.binary())})
+
+
+def spread_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts and numbers of words (at, n, id), sent to the blocks that have them in packed runs."""
+    held, size = [], 0
+    for batch in batches:
+        at, n, number = batch.column("at"), batch.column("n").to_numpy(), batch.column("id").to_numpy()
+        word = np.repeat(np.arange(batch.num_rows), at.value_lengths().to_numpy(zero_copy_only=False))
+        spots = at.flatten()
+        held.append((spots.field("block").to_numpy(), spots.field("place").to_numpy().astype(np.int64), n[word], number[word]))
+        size += len(word)
+        if size >= RUN:
+            yield _word_runs(held)
+            held, size = [], 0
+            trim()
+    if held:
+        yield _word_runs(held)
+        trim()
+
+
 def held_out(id_col: str = "doc_id"):
     """True where the id's crc32 leaves 2 when divided by 7 (null id: false, and not learned from)."""
     return F.coalesce(crc32_of(F.col(id_col)) % 7 == 2, F.lit(False))
@@ -281,7 +315,7 @@ def score(docs: DataFrame, flag: Column) -> DataFrame:
     root = Root((r["n"] or 0) + texts, (r["v"] or 0) + (texts > 0), texts, (r["f1"] or 0) + (texts == 1), (r["f2"] or 0) + (texts == 2))
     buckets = 1 + (r["m"] or 0) // BUCKET
 
-    by_word = table.select(F.explode("at").alias("at"), "n", "id").select("at.block", "at.place", "n", "id")
+    by_word = table.select("at", "n", "id").mapInArrow(spread_words, "block long, place binary, n binary, id binary")
 
     def tell_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, numbered, BLOCK_BYTES):
@@ -290,9 +324,11 @@ def score(docs: DataFrame, flag: Column) -> DataFrame:
     def tell_pairs(streams: pa.Table, found: pa.Table) -> pa.Table:
         if not streams.num_rows:
             raise ValueError("words of a block without its texts: the input changed between two reads")
-        place = found["place"].to_numpy()
+        runs = found.select(["place", "n", "id"]).to_pylist()
+        place = np.concatenate([np.empty(0, np.int64), *[np.cumsum(unpacked(r["place"])) for r in runs]])
         count_of, id_of = np.zeros(len(place), np.int64), np.full(len(place), -1, np.int64)
-        count_of[place], id_of[place] = found["n"].to_numpy(), found["id"].to_numpy()
+        count_of[place] = np.concatenate([np.empty(0, np.int64), *[unpacked(r["n"]) for r in runs]])
+        id_of[place] = np.concatenate([np.empty(0, np.int64), *[unpacked(r["id"]) for r in runs]])
         histories = Histories.of(id_of)
         out = []
         for s in streams.to_pylist():
