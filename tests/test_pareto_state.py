@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lotline.operators import pareto, pareto_state
+from lotline.plans import ingest
 from tests.conftest import rows
 
 SCHEMA = "visual_id string, devrevstep string, process_step string, functional_bin string, interface_bin string, subflow_latest_flag string, substructure_id string"
@@ -45,3 +47,14 @@ def test_a_batch_that_fails_leaves_the_state(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         pareto_state.add_batch(bad, path, 1)
     assert rows(pareto_state.current_pareto(spark, path)) == before
+
+
+def test_units_land_in_even_files_whose_number_follows_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "FILE_ROWS", 20)
+    df = spark.createDataFrame([(None, "A")] * 200, "visual_id string, lot string").coalesce(1)
+    assert ingest.land_units(df, str(tmp_path / "many")) == 10
+    back = spark.read.option("header", True).csv(str(tmp_path / "many"))
+    sizes = [r["count"] for r in back.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 200 and len(sizes) >= 5 and max(sizes) <= 60
+    assert ingest.land_units(df.limit(0), str(tmp_path / "none")) == 3
+    assert spark.read.schema(df.schema).option("header", True).csv(str(tmp_path / "none")).count() == 0
