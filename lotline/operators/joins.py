@@ -19,6 +19,7 @@ from lotline.functions.guards import require_rows
 from lotline.functions.numbers import round_half_up
 from lotline.operators import segments
 from lotline.operators.clean import first_non_null, prefix_from_source
+from lotline.session import written
 
 LIMIT_KEYS = ("test_type", "configuration")
 #: Left rows of one key that one split takes, and keys at most that are dealt over splits.
@@ -32,8 +33,11 @@ def limits_left_join(left: DataFrame, limits: DataFrame, keys: Sequence[str] = L
     null, as the reference's merge does); unmatched left rows kept once.
     Right key columns may be named differently (``right_keys`` maps left
     name -> right name). Other right columns whose names clash with left
-    columns get ``suffix``. A key with very many left rows is dealt over tasks."""
+    columns get ``suffix``. A key with very many left rows is dealt over tasks.
+    ``left`` is worked out once, when this is called, and written: its rows are read for the heavy
+    keys and for the join."""
     right_keys = dict(right_keys or {})
+    left = written(left, "left")
     r = limits
     for k in keys:
         src = right_keys.get(k, k)
@@ -43,7 +47,8 @@ def limits_left_join(left: DataFrame, limits: DataFrame, keys: Sequence[str] = L
         r = r.withColumnRenamed(c, c + suffix)
     left, r = _dealt(left, r, keys)
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"_rk_{k}"]) for k in keys]) & (left["_split"] == r["_split"])
-    out = left.join(r, cond, "left")
+    # the limits of a key are read in a row by a merge, and looked up one by one in a hashed table
+    out = left.join(r.hint("merge"), cond, "left")
     names = [c for c in left.columns if c not in ("_split", *[f"_hot_{k}" for k in keys])]
     return out.select(*[left[c] for c in names], *[r[c] for c in r.columns if not c.startswith(("_rk_", "_split"))])
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotline.functions.classify import RULE_MARKER, config_kind, diode_category
+from lotline.session import written
 
 # Fixed values (must equal the reference's for equal results).
 WANTED_METHODS = ("PrimeDcLeakageTestMethod", "TraceAnalyticsDcLeakage")
@@ -36,9 +37,18 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+\z", "")
 
 
-def _extract(c: Column, pattern: str, group: int = 1) -> Column:
+def _extract(c: Column, pattern: str, group: int = 1, word: str = "") -> Column:
+    """``word``: a text that every match holds; most lines lack it, and need no pattern."""
     v = F.regexp_extract(c, pattern, group)
-    return F.when(c.rlike(pattern), v)
+    return F.when(c.contains(word) & c.rlike(pattern), v)
+
+
+def _is_head(line: Column) -> Column:
+    return line.startswith("Test") & line.rlike(HEAD_RE)
+
+
+def _is_end(line: Column) -> Column:
+    return line.contains("Test ") & line.rlike(END_RE)
 
 
 def _carry(lines: DataFrame, values: dict[str, Column], chunk_lines: int, forward: bool, own: bool,
@@ -81,7 +91,7 @@ def _scan_blocks(lines: DataFrame, offset_one_ends: bool, fields: dict[str, Colu
     with 'Test ' (from the second line after the head, or the first with
     ``offset_one_ends``; that line is still searched) or with the file."""
     df = lines.select("file", "line_no", "line", *[c.alias(f"_c_{n}") for n, c in fields.items()])
-    is_head, is_end = F.col("line").rlike(HEAD_RE), F.col("line").rlike(END_RE)
+    is_head, is_end = _is_head(F.col("line")), _is_end(F.col("line"))
     matters = is_head
     for n in fields:
         matters = matters | F.col(f"_c_{n}").isNotNull()
@@ -89,13 +99,14 @@ def _scan_blocks(lines: DataFrame, offset_one_ends: bool, fields: dict[str, Colu
     at = F.col("line_no") - (0 if offset_one_ends else 1)
     places = F.array(F.when(matters, F.struct(F.col("line_no").alias("pos"), F.lit(0).alias("mark"), F.lit(None).cast("int").alias("end"))),
                      F.when(is_end, F.struct(at.alias("pos"), F.lit(1).alias("mark"), F.col("line_no").cast("int").alias("end"))))
-    df = df.filter(matters | is_end).withColumn("_p", F.explode(F.filter(places, lambda x: x.isNotNull())))
+    # read twice below, so written once
+    df = written(df.filter(matters | is_end), "places").withColumn("_p", F.explode(F.filter(places, lambda x: x.isNotNull())))
     df = df.select("file", "line_no", "line", "_p.pos", "_p.mark", "_p.end",
                    *[F.when(F.col("_p.mark") == 0, F.col(f"_c_{n}")).alias(f"_c_{n}") for n in fields])
     values = {f"_n_{n}": F.when(F.col(f"_c_{n}").isNotNull(), F.struct(F.col("line_no").alias("n"), F.col(f"_c_{n}").alias("v")))
               for n in fields}
     df = _carry(df, {"_last": F.col("end"), **values}, chunk_lines, forward=False, own=False, order=("pos", "mark"))
-    heads = df.filter((F.col("mark") == 0) & F.col("line").rlike(HEAD_RE))
+    heads = df.filter((F.col("mark") == 0) & _is_head(F.col("line")))
     return heads.select(
         "file", F.col("line_no").alias("head_line"),
         F.regexp_extract("line", HEAD_RE, 2).alias("test_instance_name"),
@@ -113,7 +124,7 @@ def _config_candidate(lines: DataFrame, chunk_lines: int) -> DataFrame:
     inside a span, and what a later open line of it would give, the first
     finds too, so the others never are a block's first match.)"""
     line = F.col("line")
-    has_cfg, has_semi, is_end = line.contains("Configuration"), line.contains(";"), line.rlike(END_RE)
+    has_cfg, has_semi, is_end = line.contains("Configuration"), line.contains(";"), _is_end(line)
     single = has_cfg & line.contains("=") & has_semi
     df = _carry(lines.filter((has_cfg & ~single) | has_semi | is_end),
                 {"_semi": F.when(has_semi, F.col("line_no")), "_stop": F.when(is_end, F.col("line_no"))},
@@ -137,11 +148,12 @@ def extract_instances(lines: DataFrame, rule_marker: str = RULE_MARKER,
     """T2 (+ P15): leakage test instances with name, method, test type,
     bypass port, configuration and the four rule parameters (hot, cold,
     phm-hot, all; hot is the primary configuration of a rule call).
-    Missing values are 'UNKNOWN'; a block is searched to its end."""
-    df = _config_candidate(lines, chunk_lines)
+    Missing values are 'UNKNOWN'; a block is searched to its end. The lines are written once,
+    when this is called, as several steps read them."""
+    df = _config_candidate(written(lines.select("file", "line_no", "line"), "lines"), chunk_lines)
     fields = {
-        "test_type": _extract(F.col("line"), TEST_TYPE_RE),
-        "bypass_port": _strip(_extract(F.col("line"), BYPASS_RE)),
+        "test_type": _extract(F.col("line"), TEST_TYPE_RE, word="TestType"),
+        "bypass_port": _strip(_extract(F.col("line"), BYPASS_RE, word="BypassPort")),
         "raw_config": F.col("_cfg"),
     }
     df = _scan_blocks(df, False, fields, chunk_lines)
@@ -170,14 +182,14 @@ def extract_instances(lines: DataFrame, rule_marker: str = RULE_MARKER,
 def extract_instance_heads(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """The instances of :func:`extract_instances` with name, method and bypass port only, for
     counts that need no configuration: no span of lines is gathered."""
-    df = _scan_blocks(lines, False, {"bypass_port": _strip(_extract(F.col("line"), BYPASS_RE))}, chunk_lines)
+    df = _scan_blocks(lines, False, {"bypass_port": _strip(_extract(F.col("line"), BYPASS_RE, word="BypassPort"))}, chunk_lines)
     return df.select("file", "head_line", "test_instance_name", "test_method", F.coalesce(F.col("bypass_port"), F.lit(UNKNOWN)).alias("bypass_port"))
 
 
 def extract_instances_lite(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """Name, method and bypass port; the block stops at the next 'Test '
     line (the line right after the head included)."""
-    df = _scan_blocks(lines, True, {"bypass_port": _strip(_extract(F.col("line"), BYPASS_RE))}, chunk_lines)
+    df = _scan_blocks(lines, True, {"bypass_port": _strip(_extract(F.col("line"), BYPASS_RE, word="BypassPort"))}, chunk_lines)
     return df.select("file", "head_line", F.col("test_instance_name").alias("instance_name"), "test_method",
                      F.coalesce(F.col("bypass_port"), F.lit(UNKNOWN)).alias("bypass_port"))
 

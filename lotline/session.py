@@ -7,7 +7,9 @@ local bench run the same code.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins from runtime sizes
 # (a shuffle side that turns out small becomes a broadcast), coalesces
@@ -72,3 +74,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for landed files and stream state."""
     return shared_dir(spark)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written once to a fresh Parquet table of the shared folder, for steps
+    that read them several times."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -60,3 +60,17 @@ def test_limits_join_null_keys_duplicates_and_clash(spark):
     assert got == [("a", "h1", "n1"), ("a", "h2", "n2"), ("b", "h3", "n3"), ("c", None, None)]
     rate = joins.match_rate(left, limits.withColumnRenamed("TestType", "test_type")).collect()[0]
     assert (rate.total_rows, rate.matched_rows, rate.match_rate) == (3, 2, round(2 / 3, 6))
+
+
+def test_limits_join_works_out_its_left_side_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(x):
+        seen.add(1)
+        return x
+    left = spark.createDataFrame([("VSS", f"C{i % 3}") for i in range(30)], "test_type string, c string").repartition(2)
+    left = left.select("test_type", key(F.col("c")).alias("configuration"))
+    limits = spark.createDataFrame([("VSS", "C1", "h")], "test_type string, configuration string, high string")
+    assert joins.limits_left_join(left, limits).filter("high = 'h'").count() == 10
+    assert seen.value == 30
