@@ -163,11 +163,24 @@ def template_lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
              .select("file", (F.col("_base") + F.col("_pos")).cast("int").alias("line_no"), "line")
 
 
+#: Lines, about, that one task puts together.
+TASK_LINES = 100_000
+
+
 def program_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """(file, text): whole files assembled in line order (bounded per file)."""
-    lines = template_lines(spark, sf_dir, name)
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return lines.groupBy("file").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+    """(file, text): whole files assembled in line order (bounded per file). Source rows are dealt by
+    file over a number of tasks that follows their count, before they become lines, and a row's lines
+    are gathered as one array, so a task's memory does not grow with the table."""
+    table, per_file, file_expr, exprs = TEMPLATES[name]
+    width = len(exprs)
+    rows = read_table(spark, sf_dir, table)
+    tasks = max(1, -(-rows.count() * width // TASK_LINES))
+    dealt = rows.selectExpr("*", f"{file_expr} AS file").repartition(tasks, "file")
+    blocks = dealt.selectExpr("file", f"{_KEYS[table]} % {per_file} AS _slot", f"array({', '.join(exprs)}) AS _lines")
+    held = F.transform(F.collect_list(F.struct("_slot", "_lines")), lambda row: F.transform(
+        row["_lines"], lambda line, pos: F.struct((row["_slot"] * width + pos).cast("int").alias("line_no"), line.alias("line"))))
+    ordered = F.array_sort(F.flatten(held))
+    return blocks.groupBy("file").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 
 
 def program_lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import types as T
 
-from lotline.sources import files, text
+from lotline.sources import files, programs, text
 from tests.conftest import rows
 
 
@@ -85,3 +85,16 @@ def test_sniffed_separators(spark):
     schema = T.StructType([T.StructField("SourceLot", T.StringType()), T.StructField("Part", T.StringType())])
     assert rows(files.read_delimited(spark, d, schema, sep=None), "SourceLot", "Part") == [
         ("L1", "x"), ("L2", "y"), ("L3", "z")]
+
+
+def test_texts_are_put_together_in_tasks_that_follow_their_lines(spark, tmp_path, monkeypatch):
+    orders = [(k, k % 30) for k in range(1000)] + [(5, 7), (5, 7), (None, 3), (None, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(programs, "TASK_LINES", 100)
+    texts = programs.program_texts(spark, str(tmp_path), "lot_list")
+    assert texts.rdd.getNumPartitions() == 21  # 1004 orders of two lines
+    want = {}
+    for r in programs.template_lines(spark, str(tmp_path), "lot_list").collect():
+        want.setdefault(r.file, []).append((r.line_no is not None, r.line_no or 0, r.line is not None, r.line or "", r.line))
+    want = {f: "\n".join(x[-1] for x in sorted(rs, key=lambda x: x[:-1]) if x[-1] is not None) for f, rs in want.items()}
+    assert {r.file: r.text for r in texts.collect()} == want and len(want) == 6
