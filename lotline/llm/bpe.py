@@ -68,30 +68,31 @@ def by_place(found: pa.Table, width: str) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate(flat).astype("<u4"), starts[order], lengths[order]
 
 
-def rebuilt(stream: pa.Table, found: pa.Table, width: str) -> pa.Table:
-    """The ids of a block's documents from its stream and its words' ids (by place)."""
+#: Texts in a batch of rebuilt ones: a block goes out in many, of which each is held by itself.
+BATCH = 200
+
+
+def rebuilt(stream: pa.Table, found: pa.Table, width: str, table: list[str] | None = None) -> pa.Table:
+    """The ids of a block's documents from its stream and its words' ids (by place), and with a
+    ``table`` of pieces what they stand for, in batches of BATCH."""
     if not stream.num_rows:
         raise ValueError("words of a block without its texts: the input changed between two reads")
     flat, starts, lengths = by_place(found, width)
-    doc_ids, parts = [], []
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), *[("decoded", pa.string())] * (table is not None)])
+    batches = []
     for s in stream.to_pylist():
         codes = unpack(s["stream"], s["n_words"])
         per_text = np.array(s["lengths"], np.int64)
         ends = np.r_[0, np.cumsum(per_text)]
-        ids_before = np.zeros(len(per_text) + 1, np.int32)
-        out = []
-        for i in range(0, len(per_text), 200):
-            last = min(len(per_text), i + 200)
+        for i in range(0, len(per_text), BATCH):
+            last = min(len(per_text), i + BATCH)
             some = codes[ends[i]:ends[last]]
-            out.append(words.gather(flat, starts[some], lengths[some]))
-            sums = np.r_[0, np.cumsum(lengths[some])]
-            ids_before[i + 1:last + 1] = ids_before[i] + 4 * sums[ends[i + 1:last + 1] - ends[i]]
-        data = np.concatenate(out) if out else np.empty(0, "<u4")
-        parts.append(pa.Array.from_buffers(pa.binary(), len(per_text), [None, pa.py_buffer(ids_before), pa.py_buffer(data)]))
-        doc_ids += s["doc_ids"]
-    table = pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.concat_arrays(parts)})
+            data = words.gather(flat, starts[some], lengths[some])
+            ids_before = (4 * np.r_[0, np.cumsum(lengths[some])][ends[i:last + 1] - ends[i]]).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), last - i, [None, pa.py_buffer(ids_before), pa.py_buffer(data)])
+            batches.append(pa.RecordBatch.from_arrays([pa.array(s["doc_ids"][i:last], pa.int64()), ids, *([_texts(ids, table)] if table is not None else [])], schema=schema))
     words.trim()
-    return table
+    return pa.Table.from_batches(batches, schema)
 
 
 def _texts(ids: pa.Array, table: list[str]) -> pa.Array:
@@ -144,11 +145,7 @@ def _encoded(docs: DataFrame, tokenizer_path: str, with_text: bool) -> DataFrame
         words.trim()
 
     def join(stream: pa.Table, found: pa.Table) -> pa.Table:
-        out = rebuilt(stream, found, width)
-        if table is not None:
-            out = out.append_column("decoded", _texts(out.column("ids").combine_chunks(), table.value))
-            words.trim()
-        return out
+        return rebuilt(stream, found, width, table.value if table is not None else None)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = rows.mapInArrow(_word_rows, "block long, place int, word string")

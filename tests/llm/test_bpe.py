@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -90,3 +92,15 @@ def test_a_changed_input_is_an_error():
     stream = pa.table({"stream": pa.array([], pa.binary())})
     with pytest.raises(ValueError, match="changed"):
         bpe.rebuilt(stream, pa.table({"place": [0], "ids": [b"ab"]}), "<u2")
+
+
+def test_a_block_goes_out_in_small_batches():
+    n = 2 * bpe.BATCH + 1
+    codes = np.zeros(n, np.uint32)
+    data = zstandard.ZstdCompressor().compress(codes.view(np.uint8).reshape(-1, 4).T[:3].tobytes())
+    stream = pa.Table.from_pylist([{"stream": data, "n_words": n, "doc_ids": [None, *range(1, n)], "lengths": [1] * n}])
+    run = zstandard.ZstdCompressor().compress(np.array([0], "<i4").tobytes() + np.array([2], "<u4").tobytes() + np.array([7, 1], "<u2").tobytes())
+    out = bpe.rebuilt(stream, pa.table({"n": [1], "data": [run]}), "<u2", [str(i) for i in range(8)])
+    assert [b.num_rows for b in out.to_batches()] == [bpe.BATCH, bpe.BATCH, 1]
+    assert out.column("doc_id").to_pylist() == [None, *range(1, n)]
+    assert set(out.column("ids").to_pylist()) == {np.array([7, 1], "<u4").tobytes()} and set(out.column("decoded").to_pylist()) == {"7 1"}
