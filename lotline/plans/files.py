@@ -60,8 +60,13 @@ def header_sql() -> str:
     return f"CASE sheet % {len(LAYOUTS)} " + " ".join(f"WHEN {k} THEN '{s.join(h for _, h in cols)}'" for k, (s, _, cols) in LAYOUTS.items()) + " END"
 
 
+#: Requests, about, whose sheets one task lands: a file costs more than its rows, so tasks follow
+#: the requests and not their bytes.
+TASK_REQUESTS = 5_000
+
+
 def land(spark: SparkSession, sf_dir: str, line: str) -> str:
-    """The request sheets as one file each, in the sheet's layout, in a fresh folder. Returns a pattern of the files."""
+    """The request sheets as one file each, in the sheet's layout, in a fresh folder, which is returned."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/requests-{uuid.uuid4().hex}"
     req = adapters.requests(spark, sf_dir)
     heads = req.select("sheet").distinct().selectExpr("sheet", "-1L AS ordinal", f"{header_sql()} AS line")
@@ -70,9 +75,10 @@ def land(spark: SparkSession, sf_dir: str, line: str) -> str:
     for kind, (_, encoding, _) in LAYOUTS.items():
         if encoding != "UTF-8":
             coded = F.when(F.col("sheet") % len(LAYOUTS) == kind, F.encode("line", encoding).cast("string")).otherwise(coded)
-    (rows.repartition("sheet").sortWithinPartitions("sheet", "ordinal").select("sheet", coded.alias("value"))
+    tasks = max(1, -(-req.count() // TASK_REQUESTS))
+    (rows.repartition(tasks, "sheet").sortWithinPartitions("sheet", "ordinal").select("sheet", coded.alias("value"))
      .write.partitionBy("sheet").text(root))
-    return f"{root}/*/*.txt"
+    return root
 
 
 PLAIN = line_sql("part_type || 'é'")

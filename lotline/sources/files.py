@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lotline.session import ensure_checkpoint_dir
+
 # Charsets that can be decoded without ``spark.sql.legacy.javaCharsets``.
 _STANDARD_CHARSETS = {"UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"}
 
@@ -35,6 +37,13 @@ def raw_lines(spark: SparkSession, path) -> DataFrame:
         F.monotonically_increasing_id().alias("_mid"), F.col("value").alias("_raw"))
 
 
+def landed_lines(spark: SparkSession, path) -> DataFrame:
+    """The same, checkpointed, for readers that use the lines several times: the files, which may be
+    many and small, are opened once."""
+    ensure_checkpoint_dir(spark)
+    return raw_lines(spark, path).checkpoint()
+
+
 def first_line() -> Column:
     """Aggregate: the first line of a file, from its split at offset 0."""
     return F.min(F.when(F.col("_blk") == 0, F.struct(F.col("_mid").alias("mid"), F.col("_raw").alias("line"))))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotline.functions.guards import require
-from lotline.sources.files import SEPARATORS, allows, charsets, first_line, raw_lines, separator
+from lotline.sources.files import SEPARATORS, allows, charsets, first_line, landed_lines, separator
 
 #: Lines of a file that one window numbers.
 CHUNK = 50_000
@@ -126,7 +126,7 @@ def read_sheets(spark: SparkSession, path, schema: T.StructType, aliases: Mappin
     or one with a header only, gives no rows.
     """
     names = {f.name: list((aliases or {}).get(f.name, [f.name])) for f in schema.fields}
-    raw = raw_lines(spark, path)
+    raw = landed_lines(spark, path)
     chain = charsets(spark, fallbacks)
     facts = header_facts(raw, names, list(names) if required is None else required, chain, sep)
     rows = _computed(records(raw).filter("line > 0").join(facts, "file"), _text=_decoded("record", chain)).filter(F.trim("_text") != "")

@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
+from lotline.plans import files as plans_files
 from lotline.sources import sheets
 from tests.conftest import rows
 
@@ -98,3 +99,20 @@ def test_reader_by_extension(spark, tmp_path):
     assert rows(sheets.read_any(spark, str(tmp_path / "c.tsv"), SCHEMA), "lot", "qty", "part") == [("L4", 1, None)]
     with pytest.raises(ValueError, match="unsupported"):
         sheets.read_any(spark, "x.xlsx")
+
+
+def test_files_are_opened_once(spark, tmp_path):
+    body = ["Lot,Qty,Part", "L1,1,\"a", "b\"", "L2,2,c"]
+    df = sheets.read_sheets(spark, land(tmp_path, a="\n".join(body).encode(), b="Lot;Qty;Part\né;3;d\n".encode("latin-1")), SCHEMA, ALIASES)
+    assert rows(df, "lot", "qty", "part", "line", "status") == [("L1", 1, "a\nb", 1, "ok"), ("L2", 2, "c", 3, "ok"), ("é", 3, "d", 1, "ok")]
+    assert "FileScan text" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sheets_land_in_tasks_that_follow_their_number(spark, tmp_path, monkeypatch):
+    customers = [(i, i % 25, "SEG", 1.0) for i in range(2000)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey long, c_mktsegment string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(plans_files, "TASK_REQUESTS", 100)
+    root = plans_files.land(spark, str(tmp_path), plans_files.PLAIN)
+    names = spark.read.text(root).select("_metadata.file_name", "sheet").distinct().collect()
+    assert len({r.sheet for r in names}) == 40 == len(names)
+    assert len({r.file_name.split("-")[1] for r in names}) > 8  # one writing task each
