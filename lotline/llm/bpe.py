@@ -52,6 +52,26 @@ def _runs(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"block": block[first], "n": (last - first if len(block) else first).astype(np.int32), "data": data}, _RUN)
 
 
+def encoded_words(batches: Iterator[pa.RecordBatch], encoder: words.Encoder, width: str) -> Iterator[pa.RecordBatch]:
+    """The ids of distinct words (word, at: block and place) as runs for the blocks that have them."""
+    held, size = [], 0
+    for batch in batches:
+        flat, lengths = encoder.distinct(batch.column("word").to_pylist())
+        flat, starts = flat.astype(width), np.cumsum(lengths) - lengths
+        at = batch.column("at")
+        word = np.repeat(np.arange(len(lengths)), at.value_lengths().to_numpy(zero_copy_only=False))
+        spots = at.flatten()
+        held.append((spots.field("block").to_numpy(), spots.field("place").to_numpy(), lengths[word], words.gather(flat, starts[word], lengths[word])))
+        size += len(word)
+        if size >= RUN:
+            yield _runs(held)
+            held, size = [], 0
+            words.trim()
+    if held:
+        yield _runs(held)
+    words.trim()
+
+
 def by_place(found: pa.Table, width: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's words from their runs: the ids, and by place where a word's begin and how many it has."""
     places, counts, flat = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, width)]
@@ -124,25 +144,7 @@ def _encoded(docs: DataFrame, tokenizer_path: str, with_text: bool) -> DataFrame
     table = docs.sparkSession.sparkContext.broadcast(pieces) if with_text else None
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = words.load(vocabulary.value)
-        held, size = [], 0
-        for batch in batches:
-            found = [np.array(e.ids, width) for e in tok.encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)]
-            lengths = np.array([len(x) for x in found], np.int64)
-            flat, starts = np.concatenate([np.empty(0, width), *found]), np.cumsum(lengths) - lengths
-            at = batch.column("at")
-            word = np.repeat(np.arange(len(found)), at.value_lengths().to_numpy(zero_copy_only=False))
-            spots = at.flatten()
-            held.append((spots.field("block").to_numpy(), spots.field("place").to_numpy(), lengths[word], words.gather(flat, starts[word], lengths[word])))
-            size += len(word)
-            if size >= RUN:
-                yield _runs(held)
-                held, size = [], 0
-                words.trim()
-        if held:
-            yield _runs(held)
-        del tok
-        words.trim()
+        yield from encoded_words(batches, words.encoder(vocabulary.value), width)
 
     def join(stream: pa.Table, found: pa.Table) -> pa.Table:
         return rebuilt(stream, found, width, table.value if table is not None else None)

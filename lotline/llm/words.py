@@ -187,6 +187,17 @@ class Encoder:
             known[w] = fresh[w]
         return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
+    def distinct(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words as ``split`` and ``numbered`` give them: flat, and how many each
+        has. Words of plain letters are encoded many to a text, the others one by one."""
+        is_plain = np.fromiter((_PLAIN_WORD.fullmatch(w) is not None for w in names), bool, len(names))
+        flat, some = self._words([w for w, p in zip(names, is_plain.tolist(), strict=True) if p])
+        rest = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(
+            [w for w, p in zip(names, is_plain.tolist(), strict=True) if not p], add_special_tokens=False)]
+        found = np.r_[some, np.array([len(x) for x in rest], np.int64)]
+        order = np.argsort(np.argsort(~is_plain, kind="stable"), kind="stable")
+        return gather(np.concatenate([flat, *rest]), (np.cumsum(found) - found)[order], found[order]), found[order]
+
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of every text (null: none) of a column."""
         for part in slices(column):
@@ -215,7 +226,9 @@ _encoders: dict[int, Encoder] = {}
 
 
 def encoder(json_text: str) -> Encoder:
-    """This Python worker's encoder for a vocabulary; it outlives a task."""
+    """This Python worker's encoder for a vocabulary; it outlives a task. The tokenizers library
+    keeps tens of MB of every tokenizer that has encoded, also when that is gone, so
+    tasks must not load their own."""
     key = hash(json_text)
     if key not in _encoders:
         _encoders.clear()

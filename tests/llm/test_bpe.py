@@ -104,3 +104,29 @@ def test_a_block_goes_out_in_small_batches():
     assert [b.num_rows for b in out.to_batches()] == [bpe.BATCH, bpe.BATCH, 1]
     assert out.column("doc_id").to_pylist() == [None, *range(1, n)]
     assert set(out.column("ids").to_pylist()) == {np.array([7, 1], "<u4").tobytes()} and set(out.column("decoded").to_pylist()) == {"7 1"}
+
+
+def test_distinct_words_encode_as_one_by_one():
+    names = list(dict.fromkeys(w for t in TEXTS for w in words.split(t) if w))
+    flat, lengths = ENCODER.distinct(names)
+    assert lengths.tolist() == [len(ids_of(w)) for w in names]
+    assert flat.tolist() == [i for w in names for i in ids_of(w)]
+    assert [x.tolist() for x in ENCODER.distinct([])] == [[], []]
+
+
+def test_tasks_of_a_worker_share_one_tokenizer(table, monkeypatch):
+    # the library keeps the memory of each tokenizer that has encoded
+    docs, steps, loads = table([(1, "some words")], "doc_id long, text string"), [], []
+    step, load = type(docs).mapInArrow, words.load
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, schema: steps.append((f, schema)) or step(df, f, schema))
+    bpe.encode(docs, PATH)
+    encode_words = next(f for f, schema in steps if schema.endswith("n int, data binary"))
+    monkeypatch.setattr(words, "load", lambda text: loads.append(1) or load(text))
+    words._encoders.clear()
+    at = pa.array([[{"block": 5, "place": 0}], [{"block": 5, "place": 1}, {"block": 6, "place": 0}]])
+    for _ in range(3):
+        runs = pa.Table.from_batches(encode_words(iter([pa.RecordBatch.from_pydict({"word": ["some", "\u00ddx\u4e2d"], "at": at})])))
+        assert runs.column("block").to_pylist() == [5, 6]
+        flat, starts, lengths = bpe.by_place(runs.slice(0, 1), "<u2")
+        assert [flat[s:s + n].tolist() for s, n in zip(starts, lengths, strict=True)] == [ids_of("some"), ids_of("\u00ddx\u4e2d")]
+    assert len(loads) == 1
